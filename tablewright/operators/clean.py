@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tablewright.functions.lenient import na_to_null
 from tablewright.functions.text import strip
 from tablewright.plans.schema import ROW_ID
 
@@ -43,6 +44,12 @@ def column_census(df: DataFrame) -> DataFrame:
     return df.agg(F.array(*per_column).alias("census")).select(F.inline("census"))
 
 
+def null_literals(df: DataFrame) -> DataFrame:
+    """Missing-value literals become NULL in every text column."""
+    texts = set(string_columns(df))
+    return df.select(*[na_to_null(quoted(c)).alias(c) if c in texts else quoted(c) for c in df.columns])
+
+
 def trim_strings(df: DataFrame) -> DataFrame:
     texts = set(string_columns(df))
     return df.select(*[strip(quoted(c)).alias(c) if c in texts else quoted(c) for c in df.columns])

@@ -51,7 +51,8 @@ class Adjusted:
 
 def adjusted_values(p_values: DataFrame, bucket_rows: int = BUCKET_ROWS) -> Adjusted:
     """Adjusted values per distinct p of a table with one DOUBLE column ``p``."""
-    distinct = p_values.where(F.col("p").isNotNull()).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    # the NULL group counts no values; testing the count keeps the test above the aggregate
+    distinct = p_values.groupBy("p").agg(F.count("p").alias("n")).where(F.col("n") > 0)
     shares = [k / MAX_BUCKETS for k in range(1, MAX_BUCKETS)]
     totals = distinct.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("tests"), F.count(F.lit(1)).alias("distinct")).first()

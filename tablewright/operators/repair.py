@@ -52,16 +52,23 @@ def fill_null(c: Column, col: TargetColumn) -> Column:
 
 @dataclass(frozen=True)
 class RepairPlan:
-    """The stages of one source column, in order, for the counters and the final projection."""
+    """The stages of one source column. Each stage is a column of the staged table, so that a stage
+    refers to the one before by name and never repeats its expression."""
 
+    index: int
     col: TargetColumn
     source: str
-    raw: Column
-    moved: Column  # after the value transform
-    typed: Column
-    patterned: Column
-    ranged: Column
-    filled: Column
+    start: str  # column the plan starts from: the source, or the end of an earlier plan on it
+    start_type: T.DataType
+    round: int  # 0 for the first plan on a source, 1 for the second, ...
+    transforms: bool
+
+    def at(self, stage: str) -> str:
+        return f"__{self.index}_{stage}"
+
+    @property
+    def transform(self) -> str:
+        return self.col.transform if self.transforms and not self.col.is_adjustment else "none"
 
     @property
     def checks_pattern(self) -> bool:
@@ -72,25 +79,43 @@ class RepairPlan:
         return self.col.is_numeric and (
             self.col.min_value is not None or self.col.max_value is not None)
 
+    def stages(self) -> list[tuple[str, Column]]:
+        """(stage, expression over the stage before), in order."""
+        moved_type = transformed_type(self.start_type, self.transform)
+        typed = F.col(self.at("typed"))
+        if self.checks_pattern:
+            ranged = repair_pattern(typed, self.col)
+        elif self.checks_range:
+            ranged = clamp_range(typed, self.col)
+            ranged = ranged.cast("bigint") if self.col.type == "int" else ranged
+        else:
+            ranged = typed
+        return [
+            ("moved", transform_value(quoted(self.start), self.start_type, self.transform)),
+            ("typed", lenient.convert(F.col(self.at("moved")), moved_type, self.col.type)),
+            ("ranged", ranged),
+            ("filled", fill_null(F.col(self.at("ranged")), self.col)),
+        ]
+
     def counters(self) -> dict[str, Column]:
-        """Named aggregates; all of them fit in one ``agg``."""
+        """Named aggregates over the staged table; all of them fit in one ``agg``."""
+        moved, typed, ranged = (F.col(self.at(x)) for x in ("moved", "typed", "ranged"))
         out = {
-            "coerced": F.count_if(self.moved.isNotNull() & self.typed.isNull()),
-            "nulls": F.count_if(self.ranged.isNull()),
+            "coerced": F.count_if(moved.isNotNull() & typed.isNull()),
+            "nulls": F.count_if(ranged.isNull()),
         }
-        if self.col.transform != "none":
+        if self.transform != "none":
             out["transformed"] = F.count_if(
-                ~self.moved.cast("string").eqNullSafe(self.raw.cast("string")))
+                ~moved.cast("string").eqNullSafe(quoted(self.start).cast("string")))
         if self.col.type == "int":
-            x = self.moved.try_cast("double")
+            x = moved.try_cast("double")
             out["fractional"] = F.count_if(x != F.rint(x))
         if self.checks_pattern:
             rule = self.col.validation_regex
-            out["pattern_before"] = F.count_if(~text.matches_from_start(self.typed, rule))
-            out["pattern_after"] = F.count_if(~text.matches_from_start(self.patterned, rule))
+            out["pattern_before"] = F.count_if(~text.matches_from_start(typed, rule))
+            out["pattern_after"] = F.count_if(~text.matches_from_start(ranged, rule))
         if self.checks_range:
-            out["clamped"] = F.count_if(
-                _outside(self.patterned, self.col.min_value, self.col.max_value))
+            out["clamped"] = F.count_if(_outside(typed, self.col.min_value, self.col.max_value))
         return out
 
 
@@ -106,48 +131,52 @@ def _outside(c: Column, low: float | None, high: float | None) -> Column:
 def plan_repairs(df: DataFrame, schema: TargetSchema, mapping: dict[str, str],
                  transforms: bool) -> list[RepairPlan]:
     """Plans in schema order. A source bound twice continues from its earlier plan."""
-    state: dict[str, tuple[Column, T.DataType]] = {}
-    plans = []
     types = {f.name: f.dataType for f in df.schema}
+    last: dict[str, RepairPlan] = {}
+    plans = []
     for col in schema.columns:
         source = mapping.get(col.name)
         if source is None or source not in types:
             continue
-        raw, dtype = state.get(source, (quoted(source), types[source]))
-        name = col.transform if transforms and not col.is_adjustment else "none"
-        moved, moved_type = transform_value(raw, dtype, name), transformed_type(dtype, name)
-        typed = lenient.convert(moved, moved_type, col.type)
-        patterned = typed
-        if col.validation_regex and col.type == "string":
-            patterned = repair_pattern(typed, col)
-        ranged = patterned
-        if col.is_numeric and (col.min_value is not None or col.max_value is not None):
-            ranged = clamp_range(patterned, col)
-            if col.type == "int":
-                ranged = ranged.cast("bigint")
-        filled = fill_null(ranged, col)
-        plans.append(RepairPlan(col, source, raw, moved, typed, patterned, ranged, filled))
-        state[source] = (filled, col.spark_type)
+        earlier = last.get(source)
+        if earlier is None:
+            start, dtype, turn = source, types[source], 0
+        else:
+            start, dtype, turn = earlier.at("filled"), earlier.col.spark_type, earlier.round + 1
+        plan = RepairPlan(len(plans), col, source, start, dtype, turn, transforms)
+        plans.append(plan)
+        last[source] = plan
     return plans
 
 
+def staged(df: DataFrame, plans: list[RepairPlan]) -> DataFrame:
+    """``df`` with a column per plan and stage, one projection per stage for all plans together."""
+    for turn in range(max((p.round for p in plans), default=-1) + 1):
+        layers = [p.stages() for p in plans if p.round == turn]
+        current = [p for p in plans if p.round == turn]
+        for layer in zip(*layers):
+            df = df.withColumns({p.at(stage): value for p, (stage, value) in zip(current, layer)})
+    return df
+
+
 def apply_repairs(df: DataFrame, plans: list[RepairPlan]) -> DataFrame:
-    """One projection: every bound source column replaced by its last repaired form."""
-    final = {p.source: p.filled for p in plans}
-    return df.select(*[final[c].alias(c) if c in final else quoted(c) for c in df.columns])
+    """Every bound source column replaced by its last repaired form."""
+    final = {p.source: p.at("filled") for p in plans}
+    return staged(df, plans).select(*[
+        F.col(final[c]).alias(c) if c in final else quoted(c) for c in df.columns])
 
 
 def repair_counters(df: DataFrame, plans: list[RepairPlan]) -> DataFrame:
     """One pass over ``df``: a row per target column with all its counters (NULL where not checked)."""
     names = ["transformed", "coerced", "fractional", "pattern_before", "pattern_after", "clamped", "nulls"]
     rows = []
-    for i, p in enumerate(plans):
+    for p in plans:
         counts = p.counters()
         rows.append(F.struct(
-            F.lit(i).alias("position"), F.lit(p.col.name).alias("target"), F.lit(p.source).alias("column"),
+            F.lit(p.index).alias("position"), F.lit(p.col.name).alias("target"), F.lit(p.source).alias("column"),
             *[counts.get(n, F.lit(None).cast("bigint")).alias(n) for n in names],
             F.count(F.lit(1)).alias("rows")))
-    return df.agg(F.array(*rows).alias("all")).select(F.inline("all"))
+    return staged(df, plans).agg(F.array(*rows).alias("all")).select(F.inline("all"))
 
 
 # the single-step operators, each usable on its own
