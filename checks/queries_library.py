@@ -1 +1,122 @@
-"""Queries."""
+"""The fix library: search, edits, statistics, export and import."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from checks.catalog import query
+from checks.fixtures import LIBRARY, library
+from tablewright.operators import library as lib
+from tablewright.session import scratch_path
+
+
+def _queries(spark, sf_dir):
+    """Every tenth entry asks for its neighbours."""
+    return library(spark, sf_dir).where(F.substring("id", -1, 1) == "0").select("id", "vector")
+
+
+def _near_sql(status: str | None, k: int) -> str:
+    keep = f"WHERE c.status = '{status}'" if status else ""
+    return f"""SELECT query_id, id, distance, rank, script_content, status, error_type FROM (
+    SELECT q.id AS query_id, c.id AS id, round(list_distance(q.vector, c.vector) ** 2, 6) AS distance, c.script_content, c.status,
+      c.error_type, CAST(row_number() OVER (PARTITION BY q.id ORDER BY round(list_distance(q.vector, c.vector) ** 2, 6), c.id) AS INTEGER) AS rank
+    FROM (SELECT * FROM lib WHERE vec_id % 10 = 0) q, lib c {keep}) WHERE rank <= {k}"""
+
+
+@query(f"WITH {LIBRARY} {_near_sql(None, 5)}")
+def library_nearest(spark, sf_dir):
+    return lib.nearest_entries(_queries(spark, sf_dir), library(spark, sf_dir), 5, vocab_id="v1")
+
+
+@query(f"WITH {LIBRARY} SELECT query_id, rank, id, script_content FROM ({_near_sql('SUCCESS', 3)})")
+def library_topk_success(spark, sf_dir):
+    return lib.successful_scripts(_queries(spark, sf_dir), library(spark, sf_dir))
+
+
+@query(f"WITH {LIBRARY} SELECT query_id, rank, id, script_content FROM ({_near_sql('FAILURE', 3)})")
+def library_topk_failure(spark, sf_dir):
+    return lib.failed_scripts(_queries(spark, sf_dir), library(spark, sf_dir))
+
+
+@query(f"""WITH {LIBRARY} SELECT query_id, 'avoid' AS advice, rank, id, left(script_content, 200) || '...' AS text FROM ({_near_sql('FAILURE', 5)})
+UNION ALL SELECT query_id, 'reuse', rank, id, script_content FROM ({_near_sql('SUCCESS', 3)})""")
+def library_advice(spark, sf_dir):
+    return lib.advice(_queries(spark, sf_dir), library(spark, sf_dir))
+
+
+@query(f"WITH {LIBRARY} SELECT id, script_content, status FROM lib WHERE status = 'FAILURE'")
+def library_by_status(spark, sf_dir):
+    return lib.with_status(library(spark, sf_dir), "FAILURE").select("id", "script_content", "status")
+
+
+@query(f"""WITH {LIBRARY}, c AS (SELECT 'total' AS kind, '' AS name, count(*) AS entries FROM lib
+  UNION ALL SELECT 'status', s, (SELECT count(*) FROM lib WHERE status = s) FROM (VALUES ('SUCCESS'), ('FAILURE'), ('PENDING')) v(s)
+  UNION ALL SELECT 'error_type', error_type, count(*) FROM lib GROUP BY error_type) SELECT * FROM c""")
+def library_stats(spark, sf_dir):
+    return lib.stats(library(spark, sf_dir))
+
+
+def _new_rows(spark, sf_dir):
+    """Half of the ids are known, half are not."""
+    return library(spark, sf_dir).withColumn(
+        "id", F.when(F.substring("script_content", -1, 1).isin("0", "2", "4", "6", "8"), F.concat(F.lit("x"), "id")).otherwise(F.col("id")))
+
+
+@query(f"WITH {LIBRARY} SELECT 'x' || id AS id, script_content FROM lib WHERE vec_id % 2 = 0")
+def library_import_new(spark, sf_dir):
+    return lib.only_new(library(spark, sf_dir), _new_rows(spark, sf_dir)).select("id", "script_content")
+
+
+@query(f"WITH {LIBRARY} SELECT id, status FROM lib UNION ALL SELECT 'x' || id, status FROM lib WHERE vec_id % 2 = 0")
+def library_add(spark, sf_dir):
+    return lib.add_new(library(spark, sf_dir), _new_rows(spark, sf_dir)).select("id", "status")
+
+
+@query(f"""WITH {LIBRARY} SELECT id, CASE WHEN vec_id % 3 = 2 THEN 'SUCCESS' ELSE status END AS status,
+CASE WHEN vec_id % 3 = 2 THEN 9.5 ELSE execution_time END AS execution_time, error_message FROM lib""")
+def library_update(spark, sf_dir):
+    pending = library(spark, sf_dir).where(F.col("status") == "PENDING")
+    updates = pending.select("id", F.lit("SUCCESS").alias("status"), F.lit(9.5).alias("execution_time"),
+                             F.lit(None).cast("string").alias("error_message"))
+    return lib.update_status(library(spark, sf_dir), updates).select("id", "status", "execution_time", "error_message")
+
+
+@query(f"WITH {LIBRARY} SELECT id FROM lib WHERE vec_id % 3 <> 1")
+def library_delete(spark, sf_dir):
+    whole = library(spark, sf_dir)
+    return lib.delete(whole, whole.where(F.col("status") == "FAILURE")).select("id")
+
+
+@query(f"WITH {LIBRARY} SELECT id, script_content, status, error_type FROM lib WHERE vec_id % 10 = 0")
+def library_lookup(spark, sf_dir):
+    return lib.lookup(library(spark, sf_dir), _queries(spark, sf_dir)).select("id", "script_content", "status", "error_type")
+
+
+@query(f"WITH {LIBRARY} SELECT id, script_content, status, error_type, vector[5] AS fifth FROM lib")
+def library_json_roundtrip(spark, sf_dir):
+    path = scratch_path(spark, "library-json")
+    lib.export_json(library(spark, sf_dir), path)
+    return lib.read_json(spark, path).select("id", "script_content", "status", "error_type", F.col("vector")[4].alias("fifth"))
+
+
+@query(f"""WITH {LIBRARY} SELECT id, CASE WHEN vec_id % 3 = 2 THEN 'FAILURE' ELSE status END AS status FROM lib WHERE vec_id % 3 <> 1""")
+def library_versions(spark, sf_dir):
+    """Written, updated and thinned out through the versioned table."""
+    store = lib.FixLibrary(spark, scratch_path(spark, "library"))
+    whole = library(spark, sf_dir)
+    store.import_rows(whole)
+    store.import_rows(whole)  # nothing new
+    store.update(whole.where(F.col("status") == "PENDING").select("id", F.lit("FAILURE").alias("status")))
+    store.delete(whole.where(F.col("status") == "FAILURE"))
+    return store.read().select("id", "status")
+
+
+@query(f"""WITH {LIBRARY} SELECT script_content, status, 2::INTEGER AS token_count, 'COL_0_INT DF_CLEAN' AS fingerprint_tokens,
+len(vector) AS dims, 1000::BIGINT AS stored_dims, vector[1] AS first FROM lib""")
+def library_entries(spark, sf_dir):
+    attempts = library(spark, sf_dir).select(
+        "script_content", "status", "error_type", "source_file", "created_at", "vector",
+        F.split("fingerprint_tokens", " ").alias("tokens"), F.size("vector").cast("bigint").alias("dims"))
+    stored = lib.entries(attempts)
+    return stored.select("script_content", "status", "token_count", "fingerprint_tokens", F.lit(64).cast("bigint").alias("dims"),
+                         F.size("vector").cast("bigint").alias("stored_dims"), F.col("vector")[0].alias("first"))

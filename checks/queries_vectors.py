@@ -1 +1,157 @@
-"""Queries."""
+"""Vector functions, neighbours and the similarity graph."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from checks.catalog import query, table
+from checks.fixtures import LIBRARY, library
+from tablewright.functions import vectors
+from tablewright.operators import graph, similarity
+
+LOW = 0.3
+
+
+def _vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), "label")
+
+
+EMB = "emb AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings)"
+PAIRS = EMB + """,
+pairs AS (SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS similarity
+          FROM emb a JOIN emb b ON a.id < b.id)
+"""
+DIRECTED = PAIRS + f""",
+edges AS (SELECT a AS node, b AS neighbour, similarity FROM pairs WHERE similarity >= {LOW}
+          UNION ALL SELECT b, a, similarity FROM pairs WHERE similarity >= {LOW})
+"""
+
+
+@query(f"""WITH {EMB}, s AS (SELECT q.id AS query_id, c.id AS id, round(list_cosine_similarity(q.v, c.v), 6) AS score FROM emb q, emb c)
+SELECT query_id, id, score, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM s)
+WHERE k <= 5""")
+def knn_topk(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return similarity.nearest(v, v, 5)
+
+
+@query(f"""WITH {EMB}, s AS (SELECT q.id AS query_id, c.id AS id, round(list_cosine_similarity(q.v, c.v), 6) AS score FROM emb q, emb c)
+SELECT query_id, id, score, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM s)
+WHERE k <= 3""")
+def knn_topk_by_blocks(spark, sf_dir):
+    """Tiny limits, so that the block way is taken on this data."""
+    v = _vectors(spark, sf_dir)
+    return similarity.nearest(v, v, 3, broadcast_bytes=4096, block_bytes=64 * 1024)
+
+
+@query(f"WITH {PAIRS} SELECT * FROM pairs WHERE similarity >= {LOW}")
+def similarity_pairs(spark, sf_dir):
+    return similarity.similar_pairs(_vectors(spark, sf_dir), LOW)
+
+
+@query(f"WITH {PAIRS} SELECT * FROM pairs WHERE similarity >= 0.7")
+def similarity_pairs_close(spark, sf_dir):
+    return similarity.similar_pairs(_vectors(spark, sf_dir), 0.7)
+
+
+def similarity_pairs_hashed(spark, sf_dir):
+    """May miss pairs by design, so there is no SQL for it."""
+    return similarity.similar_pairs_lsh(_vectors(spark, sf_dir), LOW)
+
+
+query()(similarity_pairs_hashed)
+
+
+@query(f"WITH {DIRECTED} SELECT * FROM edges")
+def similarity_edges(spark, sf_dir):
+    return similarity.both_ways(similarity.similar_pairs(_vectors(spark, sf_dir), LOW))
+
+
+@query(f"WITH {DIRECTED} SELECT DISTINCT least(node, neighbour) AS a, greatest(node, neighbour) AS b FROM edges")
+def undirected_edges(spark, sf_dir):
+    return similarity.undirected(similarity.both_ways(similarity.similar_pairs(_vectors(spark, sf_dir), LOW)))
+
+
+@query(f"WITH {DIRECTED} SELECT emb.id, count(node) AS degree FROM emb LEFT JOIN edges ON node = emb.id GROUP BY emb.id")
+def node_degrees(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return graph.degrees(v, similarity.both_ways(similarity.similar_pairs(v, LOW)))
+
+
+@query(f"WITH {DIRECTED} SELECT (SELECT count(*) FROM emb) AS nodes, (SELECT count(*) FROM edges) // 2 AS connections")
+def map_totals(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return graph.totals(v, similarity.both_ways(similarity.similar_pairs(v, LOW)))
+
+
+@query(f"""WITH {DIRECTED} SELECT emb.id, count(node) AS degree FROM emb LEFT JOIN
+  (SELECT * FROM edges WHERE node % 7 <> 0 AND neighbour % 7 <> 0) ON node = emb.id WHERE emb.id % 7 <> 0 GROUP BY emb.id""")
+def remove_nodes(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    edges = similarity.both_ways(similarity.similar_pairs(v, LOW))
+    return graph.degrees(*graph.remove_nodes(v, edges, v.where(F.col("id") % 7 == 0)))
+
+
+@query(f"""WITH {DIRECTED} SELECT node, neighbour FROM edges WHERE node % 5 <> 0
+UNION ALL SELECT id, id + 1 FROM emb WHERE id % 5 = 0""")
+def replace_edges(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    edges = similarity.both_ways(similarity.similar_pairs(v, LOW)).select("node", "neighbour")
+    new = v.where(F.col("id") % 5 == 0).select(F.col("id").alias("node"), (F.col("id") + 1).alias("neighbour"))
+    return graph.replace_edges(edges, new)
+
+
+@query(f"WITH {EMB} SELECT id, CASE WHEN id % 3 = 0 THEN label + 100 ELSE label END AS label FROM emb UNION ALL SELECT id + 1000000, label FROM emb WHERE id % 4 = 0")
+def upsert_nodes(spark, sf_dir):
+    v = _vectors(spark, sf_dir).select("id", "label")
+    new = v.where(F.col("id") % 3 == 0).select("id", (F.col("label") + 100).alias("label")).unionByName(
+        v.where(F.col("id") % 4 == 0).select((F.col("id") + 1000000).alias("id"), "label"))
+    return graph.upsert_nodes(v, new)
+
+
+@query(f"WITH {EMB} SELECT id, CAST(len(v) AS INTEGER) AS dims, list_min(v) AS \"min\", list_max(v) AS \"max\", round(list_avg(v), 9) AS mean FROM emb")
+def vector_summary(spark, sf_dir):
+    return graph.vector_summary(_vectors(spark, sf_dir)).withColumn("mean", F.round("mean", 9))
+
+
+@query(f"""WITH {EMB} SELECT id, CAST(len(v) AS INTEGER) AS dims, v[1] + 10 * v[3] AS first_three, round(list_dot_product(v, v), 6) AS own,
+round(list_cosine_similarity(v, list_reverse(v)), 6) AS cosine, round(pow(list_distance(v, list_reverse(v)), 2), 6) AS squared FROM emb""")
+def vector_functions(spark, sf_dir):
+    v, r = F.col("vector"), F.reverse("vector")
+    return _vectors(spark, sf_dir).select(
+        "id", F.size(v).alias("dims"), (vectors.fit_length(v, 3)[0] + vectors.fit_length(v, 3)[2] * 10).alias("first_three"), F.round(vectors.dot(v, v), 6).alias("own"),
+        F.round(vectors.cosine(v, r), 6).alias("cosine"), F.round(vectors.squared_l2(v, r), 6).alias("squared"))
+
+
+@query(f"""WITH {EMB} SELECT id, CAST(k AS INTEGER) AS pos, coalesce(v[k + 1], 0.0) AS element FROM emb, range(0, 1000, 7) r(k)""")
+def pad_vectors(spark, sf_dir):
+    padded = _vectors(spark, sf_dir).select("id", F.posexplode(vectors.fit_length(F.col("vector"), 1000)).alias("pos", "element"))
+    return padded.where(F.col("pos") % 7 == 0)
+
+
+@query(f"""WITH {LIBRARY} SELECT id, error_type FROM lib WHERE contains(error_type, 'error_1')
+ORDER BY CASE WHEN starts_with(error_type, 'error_1') THEN 0 ELSE 1 END, error_type, id LIMIT 5""")
+def label_search(spark, sf_dir):
+    return graph.search_labels(library(spark, sf_dir), " Error_1", label="error_type").select("id", "error_type")
+
+
+def principal_axes(spark, sf_dir):
+    """Solver output: tested against numpy, no SQL."""
+    return graph.principal_axes(_vectors(spark, sf_dir))
+
+
+def similarity_map(spark, sf_dir):
+    """Nodes with positions and connections."""
+    nodes, _ = graph.build_map(library(spark, sf_dir), LOW)
+    return nodes
+
+
+def map_box(spark, sf_dir):
+    """Bounds of the node positions."""
+    nodes, _ = graph.build_map(library(spark, sf_dir), LOW)
+    return graph.bounding_box(nodes)
+
+
+for _fn in (principal_axes, similarity_map, map_box):
+    query()(_fn)

@@ -53,7 +53,7 @@ def looks_textual(head: Column) -> Column:
     """No control bytes other than blanks, form feed, escape and bell; or a UTF-16 mark."""
     # Latin-1 maps every byte to the character of the same number
     raw = F.decode(F.substring(head, 1, 4096), "ISO-8859-1")
-    return ~raw.rlike(r"[\x00-\x06\x0E-\x1A\x1C-\x1F]") | (text_encoding(head) == "UTF-16")
+    return ~raw.rlike(r"[\x00-\x06\x0E-\x1A\x1C-\x1F]") | text_encoding(head).eqNullSafe("UTF-16")
 
 
 def media_type(name: Column, head: Column) -> Column:

@@ -133,8 +133,12 @@ def printable_head(content: Column, n: int = 256) -> Column:
 def human_size(size: Column) -> Column:
     """Byte count with one decimal and a unit from B to PB."""
     amount = size.cast("double")
-    out = F.format_string("%.1f PB", amount / float(1024 ** 5))
+
+    def shown(power: int, unit: str) -> Column:
+        # Java's format rounds ties up; rounding to the even digit first settles them
+        return F.format_string(f"%.1f {unit}", F.bround(amount / float(1024 ** power), 1))
+
+    out = shown(5, "PB")
     for power, unit in reversed(list(enumerate(["B", "KB", "MB", "GB", "TB"]))):
-        out = F.when(amount < float(1024 ** (power + 1)),
-                     F.format_string(f"%.1f {unit}", amount / float(1024 ** power))).otherwise(out)
+        out = F.when(amount < float(1024 ** (power + 1)), shown(power, unit)).otherwise(out)
     return out
