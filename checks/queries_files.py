@@ -1 +1,237 @@
-"""Queries."""
+"""Files: every query writes a given table in some form to the shared folder and reads it back."""
+
+from __future__ import annotations
+
+import gzip
+import io
+import tarfile
+import zipfile
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from checks.catalog import query, table
+from checks.fixtures import MESSY, messy, sql_bool, sql_number, sql_repair
+from tablewright.operators.snapshots import SnapshotStore
+from tablewright.plans.schema import STANDARD, TargetColumn, TargetSchema
+from tablewright.session import scratch_path
+from tablewright.sources import sinks, tables
+from tablewright.sources.archives import expand, read_members
+from tablewright.sources.files import inventory, list_files, open_path, typed, with_heads
+from tablewright.sources.ingest import ingest
+from tablewright.streaming import incremental
+
+CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
+CUSTOMER_SQL = ("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, "
+                "c_mktsegment FROM customer")
+
+
+def _customer(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(*[F.col(c).cast("string").alias(c) for c in CUSTOMER])
+
+
+def write_files(lines, folder: str, pack: str):
+    """Run inside tasks: one file per ``file`` key of (file, part, line), packed as named.
+
+    A file takes the rows of one key; the callers cut their tables into keys of bounded size.
+    """
+    def put(batch: pd.DataFrame) -> pd.DataFrame:
+        name = str(batch["file"].iloc[0])
+        body = batch.sort_values("part")["line"].str.cat(sep="\n") + "\n"
+        head = str(batch["head"].iloc[0])
+        data = f"{head}\n{body}".encode(batch["encoding"].iloc[0])
+        out = io.BytesIO()
+        target = name
+        if pack == "plain":
+            out.write(data)
+        elif pack == "gzip":
+            out.write(gzip.compress(data))
+            target += ".gz"
+        elif pack == "zip":
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr(f"inner/{name}", data)
+                z.writestr(f".hidden/{name}", data)
+                z.writestr(f"inner/.{name}", data)
+            target += ".zip"
+        elif pack == "nested":
+            inner = io.BytesIO()
+            with tarfile.open(fileobj=inner, mode="w") as t:
+                info = tarfile.TarInfo(f"deep/{name}")
+                info.size = len(data)
+                t.addfile(info, io.BytesIO(data))
+            with zipfile.ZipFile(out, "w") as z:
+                z.writestr("members.tar", inner.getvalue())
+            target += ".zip"
+        else:
+            with tarfile.open(fileobj=out, mode="w:gz" if pack == "tar.gz" else "w") as t:
+                info = tarfile.TarInfo(f"inner/{name}")
+                info.size = len(data)
+                t.addfile(info, io.BytesIO(data))
+            target += f".{pack}"
+        system, inner_path = open_path(f"{folder}/{target}")
+        system.create_dir(inner_path.rsplit("/", 1)[0], recursive=True)
+        with system.open_output_stream(inner_path, compression=None) as stream:
+            stream.write(out.getvalue())
+        return pd.DataFrame({"path": [f"{folder}/{target}"], "bytes": [len(out.getvalue())]})
+
+    return lines.groupBy("file").applyInPandas(put, "path string, bytes bigint")
+
+
+def _delimited(spark, sf_dir, sep=",", suffix=".csv", encoding="utf-8", rows_per_file=500):
+    """(file, part, head, line, encoding): customers as text lines, a bounded number per file."""
+    df = _customer(spark, sf_dir)
+    key = F.col("c_custkey").cast("bigint")
+    return df.select(
+        F.concat(F.lit("customers"), F.floor(key / rows_per_file).cast("string"), F.lit(suffix)).alias("file"),
+        key.alias("part"), F.lit(sep.join(CUSTOMER)).alias("head"), F.concat_ws(sep, *CUSTOMER).alias("line"),
+        F.lit(encoding).alias("encoding"))
+
+
+def _written(spark, sf_dir, pack, **options):
+    folder = scratch_path(spark, f"files-{pack.replace('.', '-')}")
+    write_files(_delimited(spark, sf_dir, **options), folder, pack).count()
+    return folder
+
+
+def _back(spark, folder):
+    return ingest(spark, folder).union().select(*CUSTOMER)
+
+
+def _round_trip(name, suffix):
+    @query(CUSTOMER_SQL, name=name)
+    def run(spark, sf_dir):
+        path = scratch_path(spark, "sink") + suffix
+        sinks.write_table(_customer(spark, sf_dir), path)
+        return _back(spark, path)
+
+    return run
+
+
+_round_trip("csv_roundtrip", ".csv")
+_round_trip("tsv_roundtrip", ".tsv")
+_round_trip("unknown_suffix_roundtrip", ".out")
+_round_trip("parquet_roundtrip", ".parquet")
+_round_trip("json_roundtrip", ".json")
+
+
+def _packed(name, pack, **options):
+    @query(CUSTOMER_SQL, name=name)
+    def run(spark, sf_dir):
+        return _back(spark, _written(spark, sf_dir, pack, **options))
+
+    return run
+
+
+_packed("read_gzip", "gzip")
+_packed("read_zip", "zip")
+_packed("read_tar", "tar")
+_packed("read_tar_gz", "tar.gz")
+_packed("read_nested_archives", "nested")
+_packed("sniff_semicolon", "plain", sep=";", suffix=".txt")
+_packed("sniff_pipe", "plain", sep="|", suffix=".txt")
+_packed("sniff_tab", "plain", sep="\t", suffix=".dat")
+_packed("read_utf16", "plain", encoding="utf-16")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, 'Caf' || chr(233) || ' ' || n_name AS label FROM nation")
+def read_latin1(spark, sf_dir):
+    """Bytes that are no valid UTF-8 are read as Latin-1."""
+    folder = scratch_path(spark, "files-latin1")
+    lines = table(spark, sf_dir, "nation").select(
+        F.lit("nations.csv").alias("file"), F.col("n_nationkey").alias("part"), F.lit("n_nationkey,label").alias("head"),
+        F.concat(F.col("n_nationkey").cast("string"), F.lit(",Café "), "n_name").alias("line"), F.lit("latin-1").alias("encoding"))
+    write_files(lines, folder, "plain").count()
+    return ingest(spark, folder).union().select("n_nationkey", "label")
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CASE WHEN o_orderkey % 5 <> 1 THEN o_orderstatus END AS o_orderstatus,
+CASE WHEN o_orderkey % 5 NOT IN (1, 2) THEN o_orderpriority END AS o_orderpriority FROM orders WHERE o_orderkey % 5 <> 0""")
+def irregular_rows(spark, sf_dir):
+    """Rows with too many fields go, short rows are padded, missing-value literals become NULL."""
+    folder = scratch_path(spark, "irregular")
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    line = (F.when(k % 5 == 0, F.concat_ws(",", k.cast("string"), "o_orderstatus", "o_orderpriority", F.lit("surplus")))
+            .when(k % 5 == 1, k.cast("string"))
+            .when(k % 5 == 2, F.concat_ws(",", k.cast("string"), "o_orderstatus", F.lit("N/A")))
+            .otherwise(F.concat_ws(",", k.cast("string"), "o_orderstatus", F.concat(F.lit('"'), "o_orderpriority", F.lit('"')))))
+    lines = o.select(F.concat(F.lit("orders"), F.floor(k / 2000).cast("string"), F.lit(".csv")).alias("file"), k.alias("part"),
+                     F.lit("o_orderkey,o_orderstatus,o_orderpriority").alias("head"), line.alias("line"), F.lit("utf-8").alias("encoding"))
+    write_files(lines, folder, "plain").count()
+    return tables.read_delimited(spark, folder, ["o_orderkey", "o_orderstatus", "o_orderpriority"])
+
+
+@query("SELECT count(DISTINCT c_custkey // 500) AS files_extracted, count(DISTINCT c_custkey // 500) AS tabular_files, 0::BIGINT AS failed_files FROM customer")
+def ingest_totals(spark, sf_dir):
+    return ingest(spark, _written(spark, sf_dir, "zip")).totals()
+
+
+@query("""SELECT 'customers' || f || '.csv' AS name, '.csv' AS extension, 'plain' AS kind, 'text/csv' AS mime, true AS is_tabular,
+'csv' AS reader, 'inner/customers' || f || '.csv' AS chain FROM (SELECT DISTINCT c_custkey // 500 AS f FROM customer)""")
+def archive_members(spark, sf_dir):
+    return expand(spark, _written(spark, sf_dir, "zip")).select("name", "extension", "kind", "mime", "is_tabular", "reader", "chain")
+
+
+@query("""SELECT 'customers' || f || '.csv' AS name, '.csv' AS extension, 'text/csv' AS mime, size, CASE WHEN size < 1024 THEN
+printf('%.1f B', size::DOUBLE) ELSE printf('%.1f KB', size / 1024.0::DOUBLE) END AS size_human FROM (
+  SELECT c_custkey // 500 AS f, CAST(42 + sum(length(concat_ws(',', c_custkey, c_name, c_nationkey, c_mktsegment)) + 1) AS BIGINT) AS size
+  FROM customer GROUP BY ALL)""")
+def file_inventory(spark, sf_dir):
+    return inventory(spark, _written(spark, sf_dir, "plain")).drop("path")
+
+
+@query("SELECT 'customers' || f || '.csv' AS name, 'c_custkey,c_name' AS head FROM (SELECT DISTINCT c_custkey // 500 AS f FROM customer)")
+def file_heads(spark, sf_dir):
+    heads = with_heads(list_files(spark, _written(spark, sf_dir, "plain")), 16)
+    return typed(heads).select("name", F.col("head").cast("string").alias("head"))
+
+
+@query("""SELECT 'inner/customers' || f || '.csv' AS member, CAST(42 + sum(length(concat_ws(',', c_custkey, c_name, c_nationkey, c_mktsegment)) + 1) AS BIGINT) AS size,
+CAST(42 + sum(length(concat_ws(',', c_custkey, c_name, c_nationkey, c_mktsegment)) + 1) AS BIGINT) AS content_bytes
+FROM (SELECT *, c_custkey // 500 AS f FROM customer) GROUP BY f""")
+def small_members(spark, sf_dir):
+    members = read_members(spark, _written(spark, sf_dir, "zip"))
+    return members.select("member", "size", F.length("content").cast("bigint").alias("content_bytes"))
+
+
+@query("""SELECT 'preprocessing' AS stage, count(*) AS rows, 4::INTEGER AS "columns" FROM customer
+UNION ALL SELECT 'complete', count(*), 4 FROM customer WHERE c_custkey % 2 = 0""")
+def snapshot_store(spark, sf_dir):
+    store = SnapshotStore(spark, scratch_path(spark, "snapshots"))
+    df = _customer(spark, sf_dir)
+    store.create("preprocessing", df, {"action": "first"})
+    store.create("complete", df)
+    store.create("complete", df.where(F.col("c_custkey").cast("bigint") % 2 == 0))
+    newest = [store.latest_of(s) for s in ("preprocessing", "complete")]
+    out = [data.agg(F.count(F.lit(1)).alias("rows")).select(
+        F.lit(info["stage"]).alias("stage"), "rows", F.lit(info["columns"]).alias("columns")) for info, data in newest]
+    return out[0].unionByName(out[1])
+
+
+ROW_LOCAL = TargetSchema("incremental", columns=[
+    *STANDARD.columns, TargetColumn("Significant", "bool", source="is_sig", required=False),
+    TargetColumn("Visit", "date", required=False)])
+
+
+@query(f"""WITH {MESSY} SELECT row_id, {sql_repair('g')} AS "GeneSymbol", {sql_number('f')} AS "FoldChange",
+CASE WHEN ({sql_number('a')}) < 0 THEN 0.0 WHEN ({sql_number('a')}) > 1 THEN 1.0 ELSE ({sql_number('a')}) END AS "PValue",
+{sql_bool('is_sig')} AS "Significant", CAST(try_strptime(visit, '%Y-%m-%d') AS DATE) AS "Visit" FROM (
+  SELECT row_id, CASE WHEN "Gene_ID" <> 'NA' THEN trim("Gene_ID", ' ' || chr(9)) END AS g,
+    CASE WHEN "log2FC" <> 'N/A' THEN "log2FC" END AS f, CASE WHEN adj_p <> '' THEN adj_p END AS a, is_sig, visit FROM messy)""")
+def incremental_harmonise(spark, sf_dir):
+    """Files arriving in several batches give what one batch job gives."""
+    folder = scratch_path(spark, "arrivals")
+    rows = messy(spark, sf_dir)
+    header = ["row_id", "Gene_ID", "log2FC", "adj_p", "is_sig", "visit"]
+    fields = [F.concat(F.lit('"'), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"')) for c in header]
+    lines = rows.select(
+        F.concat(F.lit("batch"), F.floor(F.col("row_id") / 2500).cast("string"), F.lit(".csv")).alias("file"),
+        F.col("row_id").alias("part"), F.lit(",".join(header)).alias("head"), F.concat_ws(",", *fields).alias("line"),
+        F.lit("utf-8").alias("encoding"))
+    write_files(lines, folder, "plain").count()
+    arrivals = incremental.read_arrivals(spark, folder, header, max_files=2)
+    arrivals = arrivals.withColumn("row_id", F.col("row_id").cast("bigint"))
+    out, notes, state = (scratch_path(spark, x) for x in ("harmonised", "batch-issues", "stream-state"))
+    incremental.start(arrivals, ROW_LOCAL, out, notes, state).awaitTermination()
+    return incremental.harmonised(spark, out)
+
+

@@ -46,14 +46,15 @@ def file_kind(name: Column, head: Column) -> Column:
 
 def text_encoding(head: Column) -> Column:
     """Encoding a byte-order mark names, else NULL."""
-    return (F.when(_starts(head, "EFBBBF"), "UTF-8").when(_starts(head, "FFFE") | _starts(head, "FEFF"), "UTF-16"))
+    return (F.when(_starts(head, "EFBBBF"), "UTF-8").when(_starts(head, "FFFE"), "UTF-16LE")
+            .when(_starts(head, "FEFF"), "UTF-16BE"))
 
 
 def looks_textual(head: Column) -> Column:
     """No control bytes other than blanks, form feed, escape and bell; or a UTF-16 mark."""
     # Latin-1 maps every byte to the character of the same number
     raw = F.decode(F.substring(head, 1, 4096), "ISO-8859-1")
-    return ~raw.rlike(r"[\x00-\x06\x0E-\x1A\x1C-\x1F]") | text_encoding(head).eqNullSafe("UTF-16")
+    return ~raw.rlike(r"[\x00-\x06\x0E-\x1A\x1C-\x1F]") | F.coalesce(F.startswith(text_encoding(head), F.lit("UTF-16")), F.lit(False))
 
 
 def media_type(name: Column, head: Column) -> Column:

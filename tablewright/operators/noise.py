@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tablewright.functions.draws import digest, pick, unit
+from tablewright.functions.draws import SPAN, pick, unit
 from tablewright.functions.lenient import NUMBER_PATTERN
 from tablewright.functions.text import swap_case
 from tablewright.operators.clean import quoted
@@ -43,8 +43,8 @@ FORCED_NUMBER = "99999"
 
 KINDS = ["typo", "semantic", "structural"]
 MODES = ["uniform", "weighted", "targeted"]
-LOG_SCHEMA = ("row_id bigint, column string, original string, modified string, noise_type string, "
-              "modification string")
+HITS = ("array<struct<position int, column string, original string, "
+        "change struct<noise_type string, modified string, modification string>>>")
 
 
 @dataclass
@@ -67,6 +67,8 @@ class NoiseSettings:
         """Chance per cell of each column; the expected number of touched cells is ratio x cells."""
         if self.mode == "targeted":
             hit = [c for c in columns if c in self.targets]
+            if not hit:
+                return {}
             return {c: min(1.0, self.ratio * len(columns) / len(hit)) for c in hit}
         if self.mode == "weighted":
             weights = {c: self.weights.get(c, 1.0) for c in columns}
@@ -86,8 +88,9 @@ def _splice(s: Column, at: Column, new: Column, dropped: int) -> Column:
     return F.concat(F.substr(s, F.lit(1), at), new, F.substr(s, at + 1 + dropped))
 
 
-def _change(modified: Column, note: Column) -> Column:
-    return F.struct(modified.cast("string").alias("modified"), note.alias("modification"))
+def _change(kind: str, modified: Column, note: Column) -> Column:
+    return F.struct(F.lit(kind).alias("noise_type"), modified.cast("string").alias("modified"),
+                    note.alias("modification"))
 
 
 def typo(s: Column, h1: Column, h2: Column) -> Column:
@@ -103,123 +106,147 @@ def typo(s: Column, h1: Column, h2: Column) -> Column:
     mistyped = F.when(here != F.lower(here), F.upper(mistyped)).otherwise(mistyped)
     swapped = F.concat(F.substr(s, swap_at + 2, F.lit(1)), F.substr(s, swap_at + 1, F.lit(1)))
     which = pick(4, h1, 2)
+
+    def made(modified: Column, note: Column) -> Column:
+        return _change("typo", modified, note)
+
     return (
-        F.when(s.isNull(), _change(s, F.lit("skipped_nan")))
-        .when(length < 2, _change(s, F.lit("too_short")))
-        .when(which == 0, _change(_splice(s, swap_at, swapped, 2), F.format_string("swapped chars at %d", swap_at)))
-        .when(which == 1, _change(_splice(s, at, F.lit(""), 1), F.format_string("deleted char at %d", at)))
-        .when(which == 2, _change(_splice(s, insert_at, letter, 0),
-                                  F.format_string("inserted '%s' at %d", letter, insert_at)))
-        .when(near.isNull(), _change(s, F.lit("no_adjacent_found")))
-        .otherwise(_change(_splice(s, at, mistyped, 1),
-                           F.format_string("adjacent key '%s' -> '%s'", F.lower(here), mistyped))))
-
-
-def semantic(s: Column, x: Column | None, whole: bool, h1: Column, h2: Column) -> Column:
+        F.when(s.isNull(), made(s, F.lit("skipped_nan")))
+        .when(length < 2, made(s, F.lit("too_short")))
+        .when(which == 0, made(_splice(s, swap_at, swapped, 2), F.format_string("swapped chars at %d", swap_at)))
+        .when(which == 1, made(_splice(s, at, F.lit(""), 1), F.format_string("deleted char at %d", at)))
+        .when(which == 2, made(_splice(s, insert_at, letter, 0),
+                               F.format_string("inserted '%s' at %d", letter, insert_at)))
+        .when(near.isNull(), made(s, F.lit("no_adjacent_found")))
+        .otherwise(made(_splice(s, at, mistyped, 1),
+                        F.format_string("adjacent key '%s' -> '%s'", F.lower(here), mistyped))))
+
+
+def semantic(s: Column, x: Column, numeric: Column, whole: Column, h1: Column) -> Column:
     """A similar but wrong value. ``x`` is the number behind ``s`` for numeric columns."""
     confusions = F.element_at(F.create_map(*[
         v for k, options in SYMBOL_CONFUSIONS.items()
         for v in (F.lit(k), F.array(*[F.lit(o) for o in options]))]), F.upper(s))
     confused = F.element_at(confusions, pick(F.size(confusions), h1, 3) + 1)
-    out = (F.when(s.isNull(), _change(s, F.lit("skipped_nan")))
-           .when(confusions.isNotNull(), _change(
-               confused, F.format_string("gene_confusion: %s -> %s", F.upper(s), confused))))
-    if x is not None and whole:
-        drift = F.element_at(F.array(*[F.lit(d) for d in DRIFTS]), pick(len(DRIFTS), h1, 3) + 1)
-        moved = x.cast("bigint") + drift
-        return out.otherwise(_change(moved, F.format_string("int_drift: %s -> %s", s, moved.cast("string"))))
-    if x is not None:
-        push = (unit(h1, 3) * 0.2 - 0.1) * F.when(x != 0, F.abs(x)).otherwise(F.lit(1.0))
-        moved = x + push
-        return out.otherwise(_change(moved, F.format_string("float_drift: %s -> %.4f", s, moved)))
+    stepped = x.cast("bigint") + F.element_at(F.array(*[F.lit(d) for d in DRIFTS]), pick(len(DRIFTS), h1, 3) + 1)
+    drifted = x + (unit(h1, 3) * 0.2 - 0.1) * F.when(x != 0, F.abs(x)).otherwise(F.lit(1.0))
     which = pick(3, h1, 2)
     cut = F.substr(s, F.lit(1), F.length(s) - 1 - pick(2, h1, 3))
     prefix = _choice(PREFIXES, h1, 3)
-    return (out.when(which == 0, _change(swap_case(s), F.lit("case_swap")))
-            .when((which == 1) & (F.length(s) > 3), _change(cut, F.lit("truncated")))
-            .otherwise(_change(F.concat(prefix, s), F.format_string("added_prefix: '%s'", prefix))))
+
+    def made(modified: Column, note: Column) -> Column:
+        return _change("semantic", modified, note)
+
+    return (
+        F.when(s.isNull(), made(s, F.lit("skipped_nan")))
+        .when(confusions.isNotNull(), made(
+            confused, F.format_string("gene_confusion: %s -> %s", F.upper(s), confused)))
+        .when(whole, made(stepped, F.format_string("int_drift: %s -> %s", s, stepped.cast("string"))))
+        .when(numeric, made(drifted, F.format_string("float_drift: %s -> %.4f", s, drifted)))
+        .when(which == 0, made(swap_case(s), F.lit("case_swap")))
+        .when((which == 1) & (F.length(s) > 3), made(cut, F.lit("truncated")))
+        .otherwise(made(F.concat(prefix, s), F.format_string("added_prefix: '%s'", prefix))))
 
 
-def structural(s: Column, numeric: bool, h1: Column) -> Column:
+def structural(s: Column, numeric: Column, h1: Column) -> Column:
     """A missing value, a change of type, an empty string or a placeholder."""
     which = pick(4, h1, 2)
     placeholder = _choice(PLACEHOLDERS, h1, 3)
-    if numeric:
-        retyped = _change(F.concat(F.lit("VALUE_"), F.coalesce(s, F.lit("nan"))), F.lit("num_to_str"))
-    else:
-        head = F.replace(F.substr(s, F.lit(1), F.lit(5)), F.lit(","), F.lit("."))
-        number = F.when(head.rlike(NUMBER_PATTERN), F.trim(head).try_cast("double"))
-        retyped = (F.when(number.isNotNull(), _change(number, F.lit("str_to_num")))
-                   .otherwise(_change(F.lit(FORCED_NUMBER), F.lit("forced_num"))))
-    return (F.when(which == 0, _change(F.lit(None), F.lit("injected_nan")))
-            .when(which == 1, retyped)
-            .when(which == 2, _change(F.lit(""), F.lit("empty_string")))
-            .otherwise(_change(placeholder, F.format_string("placeholder: %s", placeholder))))
-
-
-def _corrupt(name: str, dtype: T.DataType, h1: Column, kinds: list[str], address: list) -> Column:
-    """The change of one touched cell, as (noise_type, modified, modification)."""
-    c = quoted(name)
-    s = c.cast("string")
-    numeric = isinstance(dtype, T.NumericType)
-    h2 = digest(*address, "more")
+    head = F.replace(F.substr(s, F.lit(1), F.lit(5)), F.lit(","), F.lit("."))
+    number = F.when(head.rlike(NUMBER_PATTERN), F.trim(head).try_cast("double"))
+
+    def made(modified: Column, note: Column) -> Column:
+        return _change("structural", modified, note)
+
+    return (
+        F.when(which == 0, made(F.lit(None), F.lit("injected_nan")))
+        .when((which == 1) & numeric, made(
+            F.concat(F.lit("VALUE_"), F.coalesce(s, F.lit("nan"))), F.lit("num_to_str")))
+        .when((which == 1) & number.isNotNull(), made(number, F.lit("str_to_num")))
+        .when(which == 1, made(F.lit(FORCED_NUMBER), F.lit("forced_num")))
+        .when(which == 2, made(F.lit(""), F.lit("empty_string")))
+        .otherwise(made(placeholder, F.format_string("placeholder: %s", placeholder))))
+
+
+def _corrupt(cell: Column, prefix: Column, kinds: list[str]) -> Column:
+    """The change of one touched cell."""
+    s, h1, numeric = cell["s"], cell["h"], cell["numeric"]
+    h2 = F.md5(F.concat_ws("|", prefix, cell["column"], F.lit("more")))
     changes = {
         "typo": lambda: typo(s, h1, h2),
-        "semantic": lambda: semantic(s, c.cast("double") if numeric else None,
-                                     isinstance(dtype, T.IntegralType), h1, h2),
+        "semantic": lambda: semantic(s, cell["x"], numeric, cell["whole"], h1),
         "structural": lambda: structural(s, numeric, h1),
     }
     which = pick(len(kinds), h1, 1)
-    out = None
-    for i, kind in enumerate(kinds):
-        change = changes[kind]()
-        tagged = F.struct(F.lit(kind).alias("noise_type"), change["modified"].alias("modified"),
-                          change["modification"].alias("modification"))
-        out = F.when(which == i, tagged) if out is None else out.when(which == i, tagged)
+    out = changes[kinds[-1]]()
+    for i, kind in reversed(list(enumerate(kinds[:-1]))):
+        out = F.when(which == i, changes[kind]()).otherwise(out)
     return out
 
 
+def _limit(chance: Column) -> Column:
+    """A chance as the first digest lane has to stay below it, in the digest's own spelling."""
+    scaled = F.ceil(chance * float(SPAN)).cast("bigint")
+    return F.when(scaled >= SPAN, F.lit("g")).otherwise(F.lower(F.lpad(F.hex(scaled), 8, "0")))
+
+
 def touched_cells(df: DataFrame, settings: NoiseSettings, key: str = ROW_ID, variant: str | None = None,
                   ratio_col: str | None = None) -> DataFrame:
-    """``df`` with a struct column ``__<i>`` per data column: the change of that cell, or NULL.
+    """``df`` with ``__hits``, an array of the touched cells of each row with their changes.
 
     ``variant`` names a column that gives each variant of the table its own draws; ``ratio_col``
-    takes the ratio from a column instead of the settings (uniform mode).
+    takes the ratio from a column instead of the settings (uniform mode). The corruption is written
+    once, over the cells of a row, so the plan does not grow with the number of columns.
     """
-    skip = {key, variant, ratio_col}
-    columns = [c for c in df.columns if c not in skip]
+    columns = noisy_columns(df, key, variant, ratio_col)
     chances = settings.chances(columns)
-    digests, changes = [], []
+    cells = []
     for i, name in enumerate(columns):
         if name not in chances:
             continue
-        address = [settings.seed, *([F.col(variant)] if variant else []), F.col(key), name]
-        digests.append(digest(*address).alias(f"__h{i}"))
-        h1 = F.col(f"__h{i}")
-        chance = F.col(ratio_col) if ratio_col else F.lit(float(chances[name]))
-        hit = unit(h1, 0) < chance
-        changes.append(F.when(hit, _corrupt(name, df.schema[name].dataType, h1, settings.kinds, address))
-                       .alias(f"__{i}"))
+        dtype = df.schema[name].dataType
+        numeric = isinstance(dtype, T.NumericType)
+        number = quoted(name).cast("double") if numeric else F.lit(None).cast("double")
+        cells.append(F.struct(
+            F.lit(i).alias("position"), F.lit(name).alias("column"), quoted(name).cast("string").alias("s"),
+            number.alias("x"), F.lit(numeric).alias("numeric"),
+            F.lit(isinstance(dtype, T.IntegralType)).alias("whole"),
+            _limit(F.col(ratio_col) if ratio_col else F.lit(float(chances[name]))).alias("limit")))
     base = [quoted(c) for c in df.columns]
-    return df.select(*base, *digests).select(*base, *changes)
+    if not cells:
+        return df.select(*base, F.array().cast(HITS).alias("__hits"))
+    parts = [F.lit(str(settings.seed)), *([F.col(variant).cast("string")] if variant else []), F.col(key).cast("string")]
+    work = df.select(*base, F.concat_ws("|", *parts).alias("__prefix"), F.array(*cells).alias("__cells"))
+    prefix = F.col("__prefix")
+    fields = ("position", "column", "s", "x", "numeric", "whole", "limit")
+    drawn = F.transform("__cells", lambda c: F.struct(
+        *[c[f].alias(f) for f in fields], F.md5(F.concat_ws("|", prefix, c["column"])).alias("h")))
+    work = work.select(*base, prefix, F.filter(drawn, lambda c: F.substring(c["h"], 1, 8) < c["limit"]).alias("__drawn"))
+    hits = F.transform("__drawn", lambda c: F.struct(
+        c["position"].alias("position"), c["column"].alias("column"), c["s"].alias("original"),
+        _corrupt(c, prefix, settings.kinds).alias("change")))
+    return work.select(*base, hits.alias("__hits"))
+
+
+def noisy_columns(df: DataFrame, key: str, variant: str | None, ratio_col: str | None) -> list[str]:
+    return [c for c in df.columns if c not in (key, variant, ratio_col)]
 
 
 def inject(df: DataFrame, settings: NoiseSettings, key: str = ROW_ID, variant: str | None = None,
            ratio_col: str | None = None) -> DataFrame:
     """The corrupted table. Columns that may be touched become STRING."""
-    touched = touched_cells(df, settings, key, variant, ratio_col)
-    return noisy_table(touched, df, key, variant, ratio_col)
-
-
-def noisy_table(touched: DataFrame, df: DataFrame, key: str = ROW_ID, variant: str | None = None,
-                ratio_col: str | None = None) -> DataFrame:
-    columns = [c for c in df.columns if c not in (key, variant, ratio_col)]
+    columns = noisy_columns(df, key, variant, ratio_col)
+    eligible = settings.chances(columns)
+    base = [quoted(c) for c in df.columns]
+    changed = F.map_from_entries(F.transform(
+        "__hits", lambda h: F.struct(h["position"].alias("key"), h["change"]["modified"].alias("value"))))
+    touched = touched_cells(df, settings, key, variant, ratio_col).select(*base, changed.alias("__new"))
     out = [F.col(c) for c in (variant, key) if c]
     for i, name in enumerate(columns):
-        if f"__{i}" in touched.columns:
-            change = F.col(f"__{i}")
-            out.append(F.when(change.isNotNull(), change["modified"])
-                       .otherwise(quoted(name).cast("string")).alias(name))
+        if name in eligible:
+            c = F.when(F.map_contains_key("__new", i), F.element_at("__new", F.lit(i))).otherwise(
+                quoted(name).cast("string"))
+            out.append(c.alias(name))
         else:
             out.append(quoted(name))
     return touched.select(*out)
@@ -230,17 +257,17 @@ def noise_log(df: DataFrame, settings: NoiseSettings, key: str = ROW_ID, variant
     """([variant,] row_id, column, original, modified, noise_type, modification) of every touched cell,
     cells the noise left as they were included."""
     touched = touched_cells(df, settings, key, variant, ratio_col)
-    columns = [c for c in df.columns if c not in (key, variant, ratio_col)]
-    cells = [
-        F.when(F.col(f"__{i}").isNotNull(), F.struct(
-            F.lit(name).alias("column"), quoted(name).cast("string").alias("original"),
-            F.col(f"__{i}.modified").alias("modified"), F.col(f"__{i}.noise_type").alias("noise_type"),
-            F.col(f"__{i}.modification").alias("modification")))
-        for i, name in enumerate(columns) if f"__{i}" in touched.columns]
     keys = [F.col(c) for c in (variant,) if c] + [F.col(key).alias("row_id")]
-    if not cells:
-        return df.sparkSession.createDataFrame([], LOG_SCHEMA)
-    return touched.select(*keys, F.inline(F.filter(F.array(*cells), lambda s: s.isNotNull())))
+    return touched.select(*keys, F.explode("__hits").alias("h")).select(
+        *[c for c in (variant,) if c], "row_id", "h.column", "h.original", "h.change.modified",
+        "h.change.noise_type", "h.change.modification")
+
+
+def hit_counts(df: DataFrame, settings: NoiseSettings, key: str = ROW_ID, variant: str | None = None,
+               ratio_col: str | None = None) -> DataFrame:
+    """([variant,] cells_modified): touched cells, without making their changes."""
+    touched = touched_cells(df, settings, key, variant, ratio_col)
+    return touched.groupBy(*[c for c in (variant,) if c]).agg(F.sum(F.size("__hits")).alias("cells_modified"))
 
 
 def noise_summary(log: DataFrame, rows: int, columns: int) -> DataFrame:

@@ -23,8 +23,7 @@ def variant_changes(df: DataFrame, grid: list[tuple[int, float, int]], settings:
                     key: str = ROW_ID) -> DataFrame:
     """(variant, cells_modified)."""
     variants = df.sparkSession.createDataFrame([(v, r) for v, r, _ in grid], "variant int, ratio double")
-    log = noise.noise_log(noise.with_variants(df, variants), settings, key, "variant", "ratio")
-    return log.groupBy("variant").agg(F.count(F.lit(1)).alias("cells_modified"))
+    return noise.hit_counts(noise.with_variants(df, variants), settings, key, "variant", "ratio")
 
 
 def variant_fingerprints(df: DataFrame, grid: list[tuple[int, float, int]], settings: noise.NoiseSettings,

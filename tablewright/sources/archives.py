@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tablewright.functions import files as ff
 from tablewright.session import materialise, scratch_path
 from tablewright.sources.files import HEAD_BYTES, list_files, open_path, same_path, typed, with_heads
+from tablewright.sources.paths import qualified
 
 MAX_DEPTH = 5
 COPY_BYTES = 4 << 20
@@ -172,7 +173,7 @@ def expand(spark: SparkSession, paths: list[str] | str, staging: str | None = No
     ``chain`` names the members leading to a file, joined by '!'. Archives below the depth limit are
     left out; archives that fail, or that no standard codec opens, appear with an error.
     """
-    staging = staging or scratch_path(spark, "members")
+    staging = qualified(spark, staging or scratch_path(spark, "members"))
     level = list_files(spark, paths).select(
         F.col("path").alias("root"), F.lit("").alias("chain"), "path", "name", "size",
         F.lit(None).cast("string").alias("error"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tablewright.functions import files as ff
 from tablewright.functions.text import human_size
@@ -28,7 +28,7 @@ def open_path(path: str):
 
 def same_path(c):
     """One spelling for local paths, whatever part of Spark reports them."""
-    return F.regexp_replace(c, "^file:/+", "file:///")
+    return F.regexp_replace(c, "^(file:)?/+", "file:///")
 
 
 def list_files(spark: SparkSession, paths: list[str] | str) -> DataFrame:
@@ -52,7 +52,7 @@ def with_heads(files: DataFrame, n: int = HEAD_BYTES, path_col: str = "path") ->
                     heads.append(stream.read(n))
             yield batch.assign(head=heads)[[*columns, "head"]]
 
-    schema = files.schema.add("head", "binary")
+    schema = T.StructType([*files.schema.fields, T.StructField("head", T.BinaryType())])
     return files.mapInPandas(read, schema)
 
 

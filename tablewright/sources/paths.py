@@ -11,6 +11,12 @@ def _fs_and_path(spark: SparkSession, path: str):
     return hpath.getFileSystem(spark._jsc.hadoopConfiguration()), hpath
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system named, so that tasks open it where the driver means it."""
+    fs, hpath = _fs_and_path(spark, path)
+    return fs.makeQualified(hpath).toString()
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     fs, hpath = _fs_and_path(spark, path)
     return fs.exists(hpath)

@@ -20,7 +20,7 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     fmt = format_of(path)
     writer = df.write.mode(mode)
     if fmt in ("csv", "tsv"):
-        (writer.option("header", True).option("sep", "\t" if fmt == "tsv" else ",")
+        (writer.option("header", True).option("sep", "\t" if fmt == "tsv" else ",").option("extension", fmt)
          .option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path))
     elif fmt == "parquet":
         writer.parquet(path)

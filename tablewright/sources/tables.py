@@ -89,12 +89,18 @@ def read_delimited(spark: SparkSession, paths: list[str] | str, header: list[str
     breaks: such files are read whole, one task each.
     """
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*header, SPARE]])
-    raw = (spark.read.schema(schema)
-           .option("header", True).option("enforceSchema", True).option("sep", sep).option("encoding", encoding)
-           .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
-           .option("nullValue", ABSENT).option("emptyValue", "")
-           .option("maxCharsPerColumn", -1).option("mode", "PERMISSIVE")
-           .csv(paths))
+    wide = encoding.startswith("UTF-16")
+    reader = (spark.read.schema(schema)
+              .option("header", True).option("enforceSchema", True).option("sep", sep).option("encoding", encoding)
+              .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
+              .option("nullValue", ABSENT).option("emptyValue", "")
+              .option("maxCharsPerColumn", -1).option("mode", "PERMISSIVE"))
+    if wide:
+        # line ends are two bytes wide and have to be named to be found
+        reader = reader.option("lineSep", "\n")
+    raw = reader.csv(paths)
+    if wide:
+        raw = raw.withColumns({n: F.rtrim(quoted(n), F.lit("\r")) for n in (header[-1], SPARE)})
     kept = raw.where(quoted(SPARE).isNull())
     cells = [na_to_null(clean_text(quoted(n))).alias(n) for n in header]
     return kept.select(*cells, *([source_path().alias("source_file")] if with_source else []))
