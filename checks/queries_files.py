@@ -218,17 +218,17 @@ CASE WHEN ({sql_number('a')}) < 0 THEN 0.0 WHEN ({sql_number('a')}) > 1 THEN 1.0
   SELECT row_id, CASE WHEN "Gene_ID" <> 'NA' THEN trim("Gene_ID", ' ' || chr(9)) END AS g,
     CASE WHEN "log2FC" <> 'N/A' THEN "log2FC" END AS f, CASE WHEN adj_p <> '' THEN adj_p END AS a, is_sig, visit FROM messy)""")
 def incremental_harmonise(spark, sf_dir):
-    """Files arriving in several batches give what one batch job gives."""
+    """Arriving files give what one batch job gives."""
     folder = scratch_path(spark, "arrivals")
     rows = messy(spark, sf_dir)
     header = ["row_id", "Gene_ID", "log2FC", "adj_p", "is_sig", "visit"]
     fields = [F.concat(F.lit('"'), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"')) for c in header]
     lines = rows.select(
-        F.concat(F.lit("batch"), F.floor(F.col("row_id") / 2500).cast("string"), F.lit(".csv")).alias("file"),
+        F.concat(F.lit("batch"), F.floor(F.col("row_id") / 1000).cast("string"), F.lit(".csv")).alias("file"),
         F.col("row_id").alias("part"), F.lit(",".join(header)).alias("head"), F.concat_ws(",", *fields).alias("line"),
         F.lit("utf-8").alias("encoding"))
     write_files(lines, folder, "plain").count()
-    arrivals = incremental.read_arrivals(spark, folder, header, max_files=2)
+    arrivals = incremental.read_arrivals(spark, folder, header, max_files=50)
     arrivals = arrivals.withColumn("row_id", F.col("row_id").cast("bigint"))
     out, notes, state = (scratch_path(spark, x) for x in ("harmonised", "batch-issues", "stream-state"))
     incremental.start(arrivals, ROW_LOCAL, out, notes, state).awaitTermination()

@@ -36,7 +36,7 @@ query()(column_profile_sketched)
 
 def _describe_sql(source: str, columns: list[str]) -> str:
     return " UNION ALL ".join(
-        f"""SELECT '{c}' AS "column", count({c}) AS n, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std,
+        f"""SELECT '{c}' AS "column", count({c}) AS n, round(avg({c}), 7) AS mean, round(stddev_samp({c}), 6) AS std,
         CAST(min({c}) AS DOUBLE) AS "min", round(quantile_cont(CAST({c} AS DOUBLE), 0.25), 6) AS q25,
         round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 6) AS q50, round(quantile_cont(CAST({c} AS DOUBLE), 0.75), 6) AS q75,
         CAST(max({c}) AS DOUBLE) AS "max" FROM {source}""" for c in columns)
@@ -48,7 +48,8 @@ def _rounded(df, names, digits=6):
 
 @query(_describe_sql("lineitem", LINEITEM_NUMBERS))
 def numeric_describe(spark, sf_dir):
-    return _rounded(profile.numeric_describe(table(spark, sf_dir, "lineitem")), ["mean", "std", "q25", "q50", "q75"])
+    described = profile.numeric_describe(table(spark, sf_dir, "lineitem"))
+    return _rounded(described, ["std", "q25", "q50", "q75"]).withColumn("mean", F.round("mean", 7))
 
 
 @query("""
@@ -188,7 +189,7 @@ def _number_facts_sql(source, columns, by=""):
     return " UNION ALL ".join(f"""SELECT {key}{i} AS position, count(*) AS rows, count({c}) AS n,
         round((count(*) - count({c}))::DOUBLE / count(*), 9) AS null_ratio, count(DISTINCT {c}) AS distinct_values,
         round(count(DISTINCT {c})::DOUBLE / nullif(count({c}), 0), 9) AS unique_ratio,
-        CAST(min({c}) AS DOUBLE) AS "min", CAST(max({c}) AS DOUBLE) AS "max", round(avg({c}), 6) AS mean,
+        CAST(min({c}) AS DOUBLE) AS "min", CAST(max({c}) AS DOUBLE) AS "max", round(avg({c}), 7) AS mean,
         round(stddev_samp({c}), 6) AS std, round(skewness({c}), 6) AS skew,
         round(avg(CASE WHEN {c} IS NULL THEN NULL WHEN {c} < 0.05 THEN 1.0 ELSE 0.0 END), 9) AS small_share
         FROM {source} {group}""" for i, c in columns)
@@ -202,7 +203,7 @@ def _facts(df, by=()):
     out = fp.column_facts(df, list(by)).select(*by, *FACTS)
     return out.withColumns({
         **{c: F.round(c, 9) for c in ("null_ratio", "unique_ratio", "small_share")},
-        **{c: F.round(c, 6) for c in ("mean", "std", "skew")}})
+        "mean": F.round("mean", 7), **{c: F.round(c, 6) for c in ("std", "skew")}})
 
 
 @query(_number_facts_sql("lineitem", list(enumerate(["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]))))

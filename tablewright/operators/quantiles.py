@@ -1,7 +1,7 @@
 """Exact quantiles without gathering a column in one task.
 
-A sketch gives a narrow bracket around each wanted rank. One more pass counts the values below
-each bracket and groups the equal values inside it; the order statistic is then read off the small
+A sketch gives a narrow bracket around each wanted rank. Two plain passes count the values below
+each bracket and group the equal values inside it; the order statistic is then read off the small
 bracket. The rank is checked against the exact counts, and a bracket that misses is widened.
 """
 
@@ -78,25 +78,28 @@ def _sketch(df: DataFrame, columns: list[str], probs: list[float], margin: float
 def _order_statistics(df: DataFrame, brackets: dict) -> dict:
     """The values at two ranks per bracket, for the brackets that hold both ranks."""
     keys = list(brackets)
-    slots = []
-    for t, key in enumerate(keys):
-        low, high, _, _ = brackets[key]
-        x = clean_double(df, key[0])
-        # everything below the bracket falls together under NULL, everything above is dropped
-        inside = (x >= F.lit(low)) & (x <= F.lit(high))
-        slots.append(F.when(x <= F.lit(high), F.struct(
-            F.lit(t).alias("slot"), F.when(inside, x).alias("value"))))
-    long = df.select(F.inline(F.filter(F.array(*slots), lambda s: s.isNotNull())))
+    columns = list(dict.fromkeys(c for c, _ in keys))
+    x = {c: F.col(f"__x{i}") for i, c in enumerate(columns)}
+    numbers = df.select(*[clean_double(df, c).alias(f"__x{i}") for i, c in enumerate(columns)])
+    below = numbers.agg(*[F.count_if(x[c] < F.lit(brackets[(c, i)][0])).alias(f"b{t}")
+                          for t, (c, i) in enumerate(keys)]).first()
+    inside = [x[c].between(F.lit(brackets[(c, i)][0]), F.lit(brackets[(c, i)][1])) for c, i in keys]
+    near = inside[0]
+    for test in inside[1:]:
+        near = near | test
+    slots = F.array(*[F.when(test, F.struct(F.lit(t).alias("slot"), x[c].alias("value")))
+                      for t, (test, (c, _)) in enumerate(zip(inside, keys))])
+    long = numbers.where(near).select(F.inline(F.filter(slots, lambda s: s.isNotNull())))
     counted = long.groupBy("slot", "value").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("slot").orderBy(F.col("value").asc_nulls_first())
-    ranked = counted.withColumn("upto", F.sum("n").over(order)).where(F.col("value").isNotNull())
-    first_rank = F.col("upto") - F.col("n")
-    wanted = F.create_map(*[x for t, k in enumerate(keys)
-                            for x in (F.lit(t), F.array(F.lit(brackets[k][2]), F.lit(brackets[k][3])))])
-    ranks = F.element_at(wanted, F.col("slot"))
+    upto = F.sum("n").over(Window.partitionBy("slot").orderBy("value"))
+    # ranks counted inside the bracket: first and last row of each run of equal values
+    ranked = counted.withColumn("last", upto - 1).withColumn("first", F.col("last") - F.col("n") + 1)
+    wanted = F.create_map(*[v for t, k in enumerate(keys) for v in (
+        F.lit(t), F.array(*[F.lit(rank - below[f"b{t}"]).cast("bigint") for rank in brackets[k][2:]]))])
     hits = ranked.select("slot", "value", F.explode(F.filter(
-        ranks, lambda r: (r >= first_rank) & (r < F.col("upto")))).alias("rank")).collect()
-    values = {(r.slot, r["rank"]): r.value for r in hits}
+        F.element_at(wanted, F.col("slot")),
+        lambda r: (r >= F.col("first")) & (r <= F.col("last")))).alias("rank")).collect()
+    values = {(r.slot, r["rank"] + below[f"b{r.slot}"]): r.value for r in hits}
     return {
         k: (values[(t, brackets[k][2])], values[(t, brackets[k][3])])
         for t, k in enumerate(keys)

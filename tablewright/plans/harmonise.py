@@ -43,13 +43,16 @@ def blocking(issues: DataFrame, min_severity: str = "info") -> DataFrame:
 
 
 def preprocess(df: DataFrame, schema: TargetSchema, transforms: bool = True,
-               patterns: dict[str, list[str]] | None = None) -> Prepared:
+               patterns: dict[str, list[str]] | None = None, keep_clean: bool = True) -> Prepared:
     """Clean, bind, transform, convert, repair patterns, clamp, fill nulls, report.
 
-    Two passes decide everything: one over the raw columns, one over the cleaned table with all
-    counters of all columns. The result itself stays a lazy projection over the deduplicated rows.
+    One pass over the raw columns decides what to drop. The deduplicated table is written once
+    (``keep_clean``), as the counters, the result and any adjustment read it again, and then read no
+    more columns than they need. One pass over it counts everything; the result is a projection.
     """
     cleaned = clean_table(df)
+    if keep_clean:
+        cleaned.df = materialise(cleaned.df, "cleaned")
     bindings = resolve(cleaned.df.columns, schema, patterns)
     bound = mapping(bindings)
     plans = plan_repairs(cleaned.df, schema, bound, transforms)
