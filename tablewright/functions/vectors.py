@@ -41,4 +41,4 @@ def vector_max(v: Column) -> Column:
 
 
 def vector_mean(v: Column) -> Column:
-    return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x) / F.size(v)
+    return F.try_divide(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x), F.size(v))

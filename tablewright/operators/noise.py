@@ -128,7 +128,9 @@ def semantic(s: Column, x: Column, numeric: Column, whole: Column, h1: Column) -
         v for k, options in SYMBOL_CONFUSIONS.items()
         for v in (F.lit(k), F.array(*[F.lit(o) for o in options]))]), F.upper(s))
     confused = F.element_at(confusions, pick(F.size(confusions), h1, 3) + 1)
-    stepped = x.cast("bigint") + F.element_at(F.array(*[F.lit(d) for d in DRIFTS]), pick(len(DRIFTS), h1, 3) + 1)
+    # from the text, as a double would lose the last digits of large whole numbers
+    stepped = F.try_add(s.try_cast("bigint"), F.element_at(
+        F.array(*[F.lit(d).cast("bigint") for d in DRIFTS]), pick(len(DRIFTS), h1, 3) + 1))
     drifted = x + (unit(h1, 3) * 0.2 - 0.1) * F.when(x != 0, F.abs(x)).otherwise(F.lit(1.0))
     which = pick(3, h1, 2)
     cut = F.substr(s, F.lit(1), F.length(s) - 1 - pick(2, h1, 3))

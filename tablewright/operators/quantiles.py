@@ -81,27 +81,41 @@ def _order_statistics(df: DataFrame, brackets: dict) -> dict:
     columns = list(dict.fromkeys(c for c, _ in keys))
     x = {c: F.col(f"__x{i}") for i, c in enumerate(columns)}
     numbers = df.select(*[clean_double(df, c).alias(f"__x{i}") for i, c in enumerate(columns)])
-    below = numbers.agg(*[F.count_if(x[c] < F.lit(brackets[(c, i)][0])).alias(f"b{t}")
-                          for t, (c, i) in enumerate(keys)]).first()
-    inside = [x[c].between(F.lit(brackets[(c, i)][0]), F.lit(brackets[(c, i)][1])) for c, i in keys]
+    counts = numbers.agg(*[
+        F.count_if(test).alias(f"{name}{t}") for t, key in enumerate(keys)
+        for name, test in (("below", x[key[0]] < F.lit(brackets[key][0])), ("upto", x[key[0]] <= F.lit(brackets[key][1])))
+    ]).first()
+    found, open_keys = {}, {}
+    for t, key in enumerate(keys):
+        low, high, *ranks = brackets[key]
+        below, upto = counts[f"below{t}"], counts[f"upto{t}"]
+        if all(below <= r < upto for r in ranks):
+            if low == high:  # a bracket of one value needs no second look
+                found[key] = (low, low)
+            else:
+                open_keys[key] = (low, high, *[r - below for r in ranks])
+    if open_keys:
+        found.update(_inside(numbers, x, open_keys))
+    return found
+
+
+def _inside(numbers: DataFrame, x: dict[str, Column], brackets: dict) -> dict:
+    """The values at two ranks counted inside each bracket."""
+    keys = list(brackets)
+    inside = [x[k[0]].between(F.lit(brackets[k][0]), F.lit(brackets[k][1])) for k in keys]
     near = inside[0]
     for test in inside[1:]:
         near = near | test
-    slots = F.array(*[F.when(test, F.struct(F.lit(t).alias("slot"), x[c].alias("value")))
-                      for t, (test, (c, _)) in enumerate(zip(inside, keys))])
+    slots = F.array(*[F.when(test, F.struct(F.lit(t).alias("slot"), x[k[0]].alias("value")))
+                      for t, (test, k) in enumerate(zip(inside, keys))])
     long = numbers.where(near).select(F.inline(F.filter(slots, lambda s: s.isNotNull())))
     counted = long.groupBy("slot", "value").agg(F.count(F.lit(1)).alias("n"))
     upto = F.sum("n").over(Window.partitionBy("slot").orderBy("value"))
-    # ranks counted inside the bracket: first and last row of each run of equal values
     ranked = counted.withColumn("last", upto - 1).withColumn("first", F.col("last") - F.col("n") + 1)
     wanted = F.create_map(*[v for t, k in enumerate(keys) for v in (
-        F.lit(t), F.array(*[F.lit(rank - below[f"b{t}"]).cast("bigint") for rank in brackets[k][2:]]))])
+        F.lit(t), F.array(*[F.lit(r).cast("bigint") for r in brackets[k][2:]]))])
     hits = ranked.select("slot", "value", F.explode(F.filter(
         F.element_at(wanted, F.col("slot")),
         lambda r: (r >= F.col("first")) & (r <= F.col("last")))).alias("rank")).collect()
-    values = {(r.slot, r["rank"] + below[f"b{r.slot}"]): r.value for r in hits}
-    return {
-        k: (values[(t, brackets[k][2])], values[(t, brackets[k][3])])
-        for t, k in enumerate(keys)
-        if (t, brackets[k][2]) in values and (t, brackets[k][3]) in values
-    }
+    values = {(r.slot, r["rank"]): r.value for r in hits}
+    return {k: tuple(values[(t, r)] for r in brackets[k][2:]) for t, k in enumerate(keys)}

@@ -87,7 +87,7 @@ class RepairPlan:
             ranged = repair_pattern(typed, self.col)
         elif self.checks_range:
             ranged = clamp_range(typed, self.col)
-            ranged = ranged.cast("bigint") if self.col.type == "int" else ranged
+            ranged = ranged.try_cast("bigint") if self.col.type == "int" else ranged
         else:
             ranged = typed
         return [

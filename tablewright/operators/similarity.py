@@ -209,8 +209,10 @@ def similar_pairs_lsh(df: DataFrame, threshold: float = 0.7, id_col: str = "id",
     """As ``similar_pairs``, by locality-sensitive hashing. Opt-in: may miss pairs, never adds wrong ones."""
     v = _vector_rows(df, id_col, vector_col, "c")
     length = F.sqrt(F.aggregate("cv", F.lit(0.0), lambda acc, x: acc + x * x))
-    unit = v.where(length > 0).select(
-        F.col("cid").alias("id"), array_to_vector(F.transform("cv", lambda x: x / length)).alias("unit"))
+    # a zero vector is like no other; the guarded division matters, as filters may run after it
+    filled = F.when(length > 0, F.col("cv")).otherwise(F.transform("cv", lambda x: F.lit(1.0)))
+    unit = v.where(length > 0).withColumn("cv", filled).select(
+        F.col("cid").alias("id"), array_to_vector(F.transform("cv", lambda x: F.try_divide(x, length))).alias("unit"))
     lsh = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", numHashTables=tables,
                                       bucketLength=bucket_length, seed=7)
     model = lsh.fit(unit)

@@ -28,8 +28,7 @@ class SchemaRegistry:
 
     def files(self) -> DataFrame:
         """(path, text) of every schema file; whole files, as each holds one document."""
-        return (self.spark.read.option("wholetext", True).option("pathGlobFilter", "*.json")
-                .option("recursiveFileLookup", True).text(self.root)
+        return (self.spark.read.option("pathGlobFilter", "*.json").text(self.root, wholetext=True)
                 .select(F.input_file_name().alias("path"), F.col("value").alias("text")))
 
     def _load(self) -> None:

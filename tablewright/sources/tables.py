@@ -84,8 +84,8 @@ def read_delimited(spark: SparkSession, paths: list[str] | str, header: list[str
                    encoding: str = "UTF-8", multi_line: bool = False, with_source: bool = False) -> DataFrame:
     """Text files with one header line, all columns STRING.
 
-    Short rows are padded with NULL; rows with too many fields are left out; missing-value literals
-    become NULL; characters that cannot be shown are cleaned. Set ``multi_line`` for quoted line
+    Short rows are padded with NULL; rows with too many fields are left out (an empty field after the
+    last separator does not count as one); missing-value literals become NULL; characters that cannot be shown are cleaned. Set ``multi_line`` for quoted line
     breaks: such files are read whole, one task each.
     """
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*header, SPARE]])
