@@ -93,7 +93,8 @@ def preservation_check(before: DataFrame, after: DataFrame, key: str = ROW_ID,
                    F.coalesce(F.sum("r"), F.lit(0)).alias("rewritten_rows")))
     same = F.col("original_rows") == F.col("rewritten_rows")
     share = F.col("matched_columns") / F.lit(float(max(total, 1)))
-    both = counts.withColumn("one", F.lit(1)).join(matched.withColumn("one", F.lit(1)), "one")
+    both = counts.unionByName(matched, allowMissingColumns=True).agg(
+        *[F.max(c).cast("bigint").alias(c) for c in ("original_rows", "rewritten_rows", "matched_columns")])
     return both.select(
         "original_rows", "rewritten_rows", same.alias("row_count_valid"),
         F.when(same, F.col("matched_columns")).otherwise(F.lit(0)).alias("matched_columns"),

@@ -28,7 +28,8 @@ def table_text(df: DataFrame, n: int = 20, key: str = ROW_ID) -> DataFrame:
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "block"))),
                                  lambda s: s["block"]), "\n\n").alias("body"))
     total = df.agg(F.count(F.lit(1)).alias("total"))
-    both = blocks.withColumn("one", F.lit(1)).join(total.withColumn("one", F.lit(1)), "one")
+    both = blocks.unionByName(total, allowMissingColumns=True).agg(
+        F.max("body").alias("body"), F.max("total").alias("total"))
     head = "\n".join(["CSV Data:", "=" * 50, "Columns: " + ", ".join(names), "", ""])
     more = F.when(F.col("total") > n, F.format_string("\n\n... (%d more rows)", F.col("total") - n)).otherwise("")
     return both.select(F.when(F.col("total") == 0, F.lit("Empty CSV file")).otherwise(

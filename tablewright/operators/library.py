@@ -170,35 +170,55 @@ def read_bundles(spark: SparkSession, paths: list[str], size: int = VECTOR_SIZE)
 
 
 class FixLibrary:
-    """A library at a path."""
+    """A library at a path: full versions, and additions on top of them.
+
+    Adding writes the new rows only; changing and deleting write a new full version. A reader takes
+    the last full version and the additions after it.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def versions(self) -> list[int]:
-        """Finished versions, oldest first."""
-        found = []
+    def _finished(self) -> dict[int, str]:
+        """Directory of each finished version, oldest first."""
+        found = {}
         for name in child_names(self.spark, self.root):
-            hit = re.fullmatch(r"v(\d{8})", name)
+            hit = re.fullmatch(r"v(\d{8})-(full|add)", name)
             if hit and path_exists(self.spark, f"{self.root}/{name}/_SUCCESS"):
-                found.append(int(hit.group(1)))
-        return sorted(found)
+                found[int(hit.group(1))] = name
+        return dict(sorted(found.items()))
+
+    def versions(self) -> list[int]:
+        return list(self._finished())
 
     def read(self, version: int | None = None) -> DataFrame:
-        known = self.versions()
-        if not known:
+        parts: list[str] = []
+        for number, name in self._finished().items():
+            if version is not None and number > version:
+                break
+            parts = [name] if name.endswith("full") else [*parts, name]
+        if not parts:
             return self.spark.createDataFrame([], LIBRARY_SCHEMA)
-        return self.spark.read.schema(LIBRARY_SCHEMA).parquet(f"{self.root}/v{version or known[-1]:08d}")
+        return self.spark.read.schema(LIBRARY_SCHEMA).parquet(*[f"{self.root}/{p}" for p in parts])
 
-    def write(self, library: DataFrame) -> int:
+    def _write(self, rows: DataFrame, kind: str) -> int:
         known = self.versions()
         version = known[-1] + 1 if known else 1
-        library.select(*_COLUMNS).write.mode("overwrite").parquet(f"{self.root}/v{version:08d}")
+        rows.select(*_COLUMNS).write.mode("overwrite").parquet(f"{self.root}/v{version:08d}-{kind}")
         return version
 
+    def write(self, library: DataFrame) -> int:
+        """A new full version."""
+        return self._write(library, "full")
+
     def add(self, attempts: DataFrame) -> int:
-        return self.write(add_new(self.read(), entries(attempts)))
+        return self._write(only_new(self.read(), entries(attempts)), "add")
+
+    def import_rows(self, rows: DataFrame) -> int:
+        """Add unknown entries; returns how many were new."""
+        version = self._write(only_new(self.read(), rows.select(*_COLUMNS)), "add")
+        return self.spark.read.parquet(f"{self.root}/v{version:08d}-add").count()
 
     def update(self, updates: DataFrame) -> int:
         return self.write(update_status(self.read(), updates))
@@ -206,15 +226,12 @@ class FixLibrary:
     def delete(self, ids: DataFrame) -> int:
         return self.write(delete(self.read(), ids))
 
+    def compact(self) -> int:
+        """Fold the additions into one full version."""
+        return self.write(self.read())
+
     def clear(self) -> int:
         return self.write(self.spark.createDataFrame([], LIBRARY_SCHEMA))
 
-    def import_rows(self, rows: DataFrame) -> int:
-        """Add unknown entries; returns how many were new."""
-        before = self.read()
-        count_before = before.count()
-        self.write(add_new(before, rows.select(*_COLUMNS)))
-        return self.read().count() - count_before
-
     def stats(self) -> DataFrame:
         return stats(self.read())

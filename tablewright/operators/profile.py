@@ -173,7 +173,8 @@ def quick_summary(df: DataFrame, issues: DataFrame) -> DataFrame:
         F.when(F.col("issue_type") == "null_values", 1).otherwise(0))
     found = issues.agg(F.coalesce(n, F.lit(0)).cast("bigint").alias("issues"))
     rows = df.agg(F.count(F.lit(1)).alias("total_rows"))
-    both = rows.withColumn("one", F.lit(1)).join(found.withColumn("one", F.lit(1)), "one")
+    both = rows.unionByName(found, allowMissingColumns=True).agg(
+        F.max("total_rows").alias("total_rows"), F.max("issues").alias("issues"))
     return both.select("total_rows", F.lit(len(data_columns(df))).cast("bigint").alias("total_columns"),
                        "issues", (F.col("issues") > 0).alias("has_issues"))
 

@@ -81,7 +81,8 @@ def utf8_files(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def read_delimited(spark: SparkSession, paths: list[str] | str, header: list[str], sep: str = ",",
-                   encoding: str = "UTF-8", multi_line: bool = False, with_source: bool = False) -> DataFrame:
+                   encoding: str = "UTF-8", multi_line: bool = False, with_source: bool = False,
+                   compose: bool = True) -> DataFrame:
     """Text files with one header line, all columns STRING.
 
     Short rows are padded with NULL; rows with too many fields are left out (an empty field after the
@@ -102,7 +103,7 @@ def read_delimited(spark: SparkSession, paths: list[str] | str, header: list[str
     if wide:
         raw = raw.withColumns({n: F.rtrim(quoted(n), F.lit("\r")) for n in (header[-1], SPARE)})
     kept = raw.where(quoted(SPARE).isNull())
-    cells = [na_to_null(clean_text(quoted(n))).alias(n) for n in header]
+    cells = [na_to_null(clean_text(quoted(n), compose)).alias(n) for n in header]
     return kept.select(*cells, *([source_path().alias("source_file")] if with_source else []))
 
 

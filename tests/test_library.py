@@ -33,8 +33,11 @@ def test_versions(spark):
     assert store.read().count() == 5 and store.read(1).count() == 6
     stats = {(r.kind, r.name): r.entries for r in store.stats().collect()}
     assert stats[("total", "")] == 5 and stats[("status", "PENDING")] == 1 and stats[("error_type", "e0")] == 2
+    assert store.add(attempts(spark).limit(2)) == 5 and store.read().count() == 7
+    store.compact()
+    assert store.read().count() == 7
     store.clear()
-    assert store.read().count() == 0
+    assert store.read().count() == 0 and store.versions() == [1, 2, 3, 4, 5, 6, 7]
 
 
 def test_nearest_by_status_and_vocabulary(spark):
@@ -75,7 +78,7 @@ def test_unfinished_versions_are_not_read(spark):
     root = scratch_path(spark, "lib")
     store = lib.FixLibrary(spark, root)
     store.add(attempts(spark))
-    write_text(spark, f"{root}/v00000009/part-0.parquet", "half")
+    write_text(spark, f"{root}/v00000009-full/part-0.parquet", "half")
     assert store.versions() == [1] and store.read().count() == 6
 
 
