@@ -6,14 +6,19 @@ Counting terms is one shuffle of distinct terms. Vectorising is row-local: the v
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tablewright.functions.vectors import fit_length
+from tablewright.operators.fingerprint import fingerprint
+
 MAX_FEATURES = 1000
 TOKEN_PATTERN = "([A-Za-z0-9_]+)"
 
@@ -63,6 +68,18 @@ class TfidfModel:
     low: int = 1
     high: int = 2
 
+    @property
+    def vocab_id(self) -> str:
+        """Marks vectors of this vocabulary, so that they are never compared with others."""
+        return hashlib.md5(self.to_json().encode()).hexdigest()[:16]
+
+    def to_json(self) -> str:
+        return json.dumps(asdict(self))
+
+    @classmethod
+    def from_json(cls, text: str) -> TfidfModel:
+        return cls(**json.loads(text))
+
     def idf(self) -> list[float]:
         return [math.log((1 + self.texts) / (1 + d)) + 1 for d in self.documents]
 
@@ -111,3 +128,19 @@ def fit(df: DataFrame, text_col: str, max_features: int = MAX_FEATURES, low: int
 def fit_transform(df: DataFrame, text_col: str, out: str = "vector", **options) -> tuple[TfidfModel, DataFrame]:
     model = fit(df, text_col, **options)
     return model, model.transform_dense(df, text_col, out)
+
+
+def vectorise_table(df: DataFrame, model: TfidfModel, by: list[str] | None = None, key: str = "row_id") -> DataFrame:
+    """Fingerprint and vector of a table (or of each of its variants) in one call.
+
+    (by, tokens, token_string, vector, vocab_id).
+    """
+    prints = fingerprint(df, by, key)
+    return model.transform_dense(prints, "token_string").withColumn("vocab_id", F.lit(model.vocab_id))
+
+
+def revectorise(library: DataFrame, model: TfidfModel, size: int) -> DataFrame:
+    """A fix library with all vectors made anew from the stored tokens, after a refit."""
+    fresh = model.transform_dense(library.drop("vector"), "fingerprint_tokens")
+    return fresh.withColumn("vector", fit_length(F.col("vector"), size)).withColumn(
+        "vocab_id", F.lit(model.vocab_id)).select(*library.columns)

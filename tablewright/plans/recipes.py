@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from tablewright.functions import lenient, numbers, text
+from tablewright.functions.vectors import fit_length
 from tablewright.operators import clean
+from tablewright.operators import library as lib
+from tablewright.operators import tfidf
 from tablewright.operators.clean import quoted
 from tablewright.operators.repair import transform_value
 from tablewright.plans.harmonise import FixResult, apply_fix
@@ -72,3 +75,27 @@ def apply_stored(df: DataFrame, stored: list[tuple[str, str]]) -> list[tuple[str
         if result.success:
             df = result.df
     return results
+
+
+def fix_from_library(df: DataFrame, store: lib.FixLibrary, model: tfidf.TfidfModel, source_file: str,
+                     k: int = 3) -> tuple[DataFrame, list[tuple[str, FixResult]]]:
+    """Run the recipes that worked on the k most similar tables, and record how they did here.
+
+    Only entries of the same vocabulary are compared. Returns the last good table and the results.
+    """
+    made = tfidf.vectorise_table(df, model).withColumn("id", F.lit("query"))
+    query = made.select("id", fit_length(F.col("vector")).alias("vector"))
+    library = store.read().where(F.col("vocab_id") == model.vocab_id)
+    near = lib.successful_scripts(query, library, k).orderBy("rank").collect()  # at most k rows
+    results = apply_stored(df, [(r.id, r.script_content) for r in near])
+    for _, result in results:
+        df = result.df if result.success else df
+    if results:
+        bodies = {r.id: r.script_content for r in near}
+        rows = [(bodies[i], "SUCCESS" if r.success else "FAILURE", r.error_kind or "applied", r.seconds, r.error or "")
+                for i, r in results]
+        outcome = df.sparkSession.createDataFrame(
+            rows, "script_content string, status string, error_type string, execution_time double, error_message string")
+        facts = made.select("tokens", "vector", "vocab_id", F.lit(source_file).alias("source_file"), F.lit(1).alias("one"))
+        store.add(outcome.withColumn("one", F.lit(1)).join(F.broadcast(facts), "one").drop("one"))
+    return df, results

@@ -180,3 +180,29 @@ def test_repeats_across_batches_are_dropped_with_an_event_time(spark):
         stream = incremental.read_arrivals(spark, folder, header).withColumn("at", F.to_timestamp("at"))
         incremental.start(stream, STANDARD, out, notes, state, event_time="at").awaitTermination()
     assert incremental.harmonised(spark, out).count() == 1
+
+
+def test_recipes_of_similar_tables_are_reused(spark):
+    from tablewright.operators import tfidf
+    from tablewright.operators.library import FixLibrary
+    from tablewright.plans.recipes import fix_from_library
+
+    from tablewright.operators.fingerprint import fingerprint
+
+    model = tfidf.fit(fingerprint(dirty(spark)), "token_string")
+    assert tfidf.TfidfModel.from_json(model.to_json()).vocab_id == model.vocab_id
+    store = FixLibrary(spark, scratch_path(spark, "reuse"))
+    known = tfidf.vectorise_table(dirty(spark), model)
+    good = recipe_json([{"op": "transform", "column": "gene", "name": "uppercase"}])
+    bad = recipe_json([{"op": "keep", "columns": ["zz"]}])
+    bodies = spark.createDataFrame([(good, "SUCCESS", 1), (bad, "SUCCESS", 1), ("x", "FAILURE", 1)], "script_content string, status string, one int")
+    store.add(bodies.join(known.withColumn("one", F.lit(1)), "one").drop("one").withColumns(
+        {"error_type": F.lit("case"), "source_file": F.lit("a.csv")}))
+    out, results = fix_from_library(dirty(spark), store, model, "b.csv")
+    assert {r.gene for r in out.collect()} == {"TP53", "MYC", None}
+    assert sorted(r.success for _, r in results) == [False, True]
+    kept = {(r.source_file, r.status) for r in store.read().collect()}
+    assert kept == {("a.csv", "SUCCESS"), ("a.csv", "FAILURE"), ("b.csv", "SUCCESS"), ("b.csv", "FAILURE")}
+    again = tfidf.revectorise(store.read(), tfidf.fit(store.read(), "fingerprint_tokens", max_features=5), 1000)
+    assert again.count() == 5 and len(again.first().vector) == 1000
+    assert again.first().vocab_id not in ("", model.vocab_id)
