@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import io
+import json
+import zipfile
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from checks.catalog import query
 from checks.fixtures import LIBRARY, library
 from tablewright.operators import library as lib
 from tablewright.session import scratch_path
+from tablewright.sources.files import open_path
 
 
 def _queries(spark, sf_dir):
@@ -120,3 +126,32 @@ def library_entries(spark, sf_dir):
     stored = lib.entries(attempts)
     return stored.select("script_content", "status", "token_count", "fingerprint_tokens", F.lit(64).cast("bigint").alias("dims"),
                          F.size("vector").cast("bigint").alias("stored_dims"), F.col("vector")[0].alias("first"))
+
+
+@query(f"""WITH {LIBRARY} SELECT id, script_content, status, error_type, CASE WHEN vec_id % 5 = 0 THEN 0.0 ELSE vector[5] END AS fifth,
+1000::INTEGER AS dims FROM lib""")
+def library_bundle_import(spark, sf_dir):
+    """Entries packed as zip bundles, some without a vector, and imported again."""
+    folder = scratch_path(spark, "bundles")
+
+    def pack(batch: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for r in batch.itertuples(index=False):
+                if r.number % 5:
+                    z.writestr(f"{r.id}/embedding.json", json.dumps([float(x) for x in r.vector]))
+                z.writestr(f"{r.id}/script.py", r.script_content)
+                z.writestr(f"{r.id}/metadata.json", json.dumps({"status": r.status, "error_type": r.error_type}))
+        path = f"{folder}/bundle{int(batch['bundle'].iloc[0])}.zip"
+        system, inner = open_path(path)
+        system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+        with system.open_output_stream(inner, compression=None) as stream:
+            stream.write(out.getvalue())
+        return pd.DataFrame({"path": [path]})
+
+    number = F.regexp_extract("script_content", r"(\d+)$", 1).cast("bigint")
+    rows = library(spark, sf_dir).withColumn("number", number).withColumn("bundle", F.floor(F.col("number") / 100))
+    # a bundle takes a hundred entries, however many there are
+    rows.groupBy("bundle").applyInPandas(pack, "path string").count()
+    return lib.read_bundles(spark, [folder]).select(
+        "id", "script_content", "status", "error_type", F.col("vector")[4].alias("fifth"), F.size("vector").alias("dims"))
