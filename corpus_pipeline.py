@@ -1,7 +1,8 @@
 """A training corpus from raw documents, stage by stage.
 
 Every stage works on all rows that the stage before kept. The stages between are written to the shared
-folder as Parquet and read again, so a lost executor costs part of one stage.
+folder as Parquet and read again, so a lost executor costs part of one stage. Rows with a null doc_id
+take part as one document; columns beside those of ``documents`` are dropped.
 """
 
 from __future__ import annotations
@@ -9,25 +10,63 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tablewright.llm.decontaminate import leaks, split_items
+from tablewright.llm.line_dedup import remove_spread_lines
 from tablewright.llm.near_dedup import NearRule, near_duplicates
+from tablewright.llm.packing import pack
+from tablewright.llm.quality_rules import quality_rules
+from tablewright.llm.queries import WORD_TOKENIZER
 from tablewright.session import materialise
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the documents whose id ``gone`` lists."""
+    gone = gone.select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti").select(*COLUMNS)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules, from hosts that do."""
+    return _without(docs, quality_rules(docs).where("not kept"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that spread over many sources; one that loses all its words is dropped."""
+    clean = remove_spread_lines(docs.select(*COLUMNS))
+    changed = F.size("removed_lines") > 0
+    left = clean.where(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return left.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: five-word shingles, similarity 0.8 or more."""
-    found = near_duplicates(docs, NearRule(shingle=5, percent=80))
-    gone = found.where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return _without(docs, near_duplicates(docs, NearRule(shingle=5, percent=80)).where("not kept"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return _without(docs, leaks(docs, split_items(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences, with a digest of their token ids."""
+    return pack(docs, WORD_TOKENIZER).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality),
+    ("line_dedup", line_dedup),
     ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
 ]
 
-#: signatures, packing and tokens are beyond SQL; tests hold each stage against brute force
+#: signatures, passages and tokens are beyond SQL; tests hold the stages against brute force
 ORACLE_SQL = None
 
 
