@@ -41,11 +41,13 @@ K1, B = 1.2, 0.75
 @dataclass(frozen=True)
 class LeakRule:
     """``share``: of an item's own BM25 score; ``overlap``: of the words of question and of answer, each;
-    ``run``: words in a row that must agree for a word to count."""
+    ``run``: words in a row that must agree for a word to count; ``least``: words of an item, as fewer
+    cannot be told from ordinary text."""
 
     share: float = 0.6
     overlap: float = 0.5
     run: int = 3
+    least: int = 5
 
 
 def split_items(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -63,11 +65,11 @@ def term_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return found.hashes(), found.first
 
 
-def postings(items: DataFrame) -> DataFrame:
+def postings(items: DataFrame, least: int = 1) -> DataFrame:
     """(item_id, words, split, term, tf, score): weights are shares of the item's own score.
 
     ``words`` are the term hashes of question and answer in order, ``split`` is the place of the answer.
-    Items without a word are left out: nothing can match them. Of items that repeat an id all count.
+    Items of fewer than ``least`` words are left out, as are those without a word. Of items that repeat an id all count.
     """
     id_type = dict(items.dtypes)["item_id"]
 
@@ -87,7 +89,7 @@ def postings(items: DataFrame) -> DataFrame:
 
     read = items.select("item_id", "question", "answer").mapInArrow(
         terms, f"item_id {id_type}, words binary, split long, length long, terms array<long>, tfs array<long>")
-    read = materialise(read.where("length > 0").withColumn("item", F.xxhash64("item_id", "words", "split")), "items")
+    read = materialise(read.where(F.col("length") >= max(1, least)).withColumn("item", F.xxhash64("item_id", "words", "split")), "items")
     flat = read.select("item", "length", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select("item", "length", "p.terms", "p.tfs")
     df = flat.groupBy("terms").agg(F.count("*").alias("df"))
     corpus = read.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
@@ -234,7 +236,7 @@ def leaks(docs: DataFrame, items: DataFrame, rule: LeakRule = LeakRule(), doc_id
     """(doc_id, item_id, score, question_overlap, answer_overlap): every verified match of a document and an item.
 
     ``items`` has item_id, question and answer (see ``split_items``); an empty question or answer counts
-    as covered. ``score`` is the share of the item's own BM25 score in the best passage. Null and empty
+    as covered, an item of fewer than ``rule.least`` words matches nothing. ``score`` is the share of the item's own BM25 score in the best passage. Null and empty
     texts match nothing; an empty table of either kind gives no rows. Rows that repeat a doc_id are one
     document. Other columns are ignored.
     """
@@ -242,7 +244,7 @@ def leaks(docs: DataFrame, items: DataFrame, rule: LeakRule = LeakRule(), doc_id
     bounded_batches(spark)
     doc_type, item_type = dict(docs.dtypes)[doc_id], dict(items.dtypes)["item_id"]
     schema = f"doc_id {doc_type}, item_id {item_type}, score double, question_overlap double, answer_overlap double"
-    index = postings(items).withColumn("class", F.floor(F.log(F.col("length")) / F.log(F.lit(float(CLASS_FACTOR)))))
+    index = postings(items, rule.least).withColumn("class", F.floor(F.log(F.col("length")) / F.log(F.lit(float(CLASS_FACTOR)))))
     total = index.agg(F.sum(F.size("postings"))).first()[0] or 0
     shards = max(1, -(-total // SHARD_POSTINGS))
     index = materialise(index.withColumn("shard", F.pmod("item", F.lit(shards))), "index")
