@@ -176,7 +176,7 @@ def noise_sweep_counts(spark, sf_dir):
 
 @query(f"""WITH {PART}, many AS (SELECT prt.*, variant, ratio FROM prt, {_variant_rows(GRID)}),
 cells AS ({_cells("many", "16", "v")}), n AS (SELECT variant, ratio, count(*) AS hits FROM cells WHERE {_unit("h", 0)} < ratio GROUP BY ALL)
-SELECT variant, 'PSE_DND_typo_' || CAST(round(ratio * 100) AS INTEGER) || '%' AS error_type, 'PENDING' AS status,
+SELECT variant, 'noise_typo_' || CAST(round(ratio * 100) AS INTEGER) || '%' AS error_type, 'PENDING' AS status,
 '# Synthetic variant. Table: 5 columns; noise ratio ' || printf('%.4f', ratio) || '; kinds typo, semantic, structural; cells modified ' || hits AS script_content
 FROM n""")
 def noise_sweep(spark, sf_dir):

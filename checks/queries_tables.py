@@ -311,15 +311,15 @@ PREP_ISSUES = f"""
 prep AS (SELECT "Gene_ID" AS g, {sql_repair('"Gene_ID"')} AS r, "log2FC" AS f, {SQL_FC} AS fn, {SQL_P} AS p FROM cleaned),
 prep_issues AS (SELECT * FROM (
   SELECT 'Gene_ID' AS "column", 'pattern_violation' AS issue_type, 'warning' AS severity,
-    count(*) || ' values don''t match pattern ^[A-Za-z][A-Za-z0-9\\-]*$' AS description, count(*) AS affected_rows
+    count(*) || ' cells break the pattern ^[A-Za-z][A-Za-z0-9\\-]*$' AS description, count(*) AS affected_rows
     FROM prep WHERE NOT regexp_matches(r, '^[A-Za-z][A-Za-z0-9-]*$')
-  UNION ALL SELECT 'Gene_ID', 'null_values', 'critical', 'Column ''Gene_ID'' has ' || count(*) || ' null values',
+  UNION ALL SELECT 'Gene_ID', 'null_values', 'critical', count(*) || ' required cells are missing',
     count(*) FROM prep WHERE g IS NULL
   UNION ALL SELECT 'log2FC', 'coercion_failure', 'warning', count(*) || ' values could not be read as float', count(*)
     FROM prep WHERE f IS NOT NULL AND fn IS NULL
-  UNION ALL SELECT 'log2FC', 'null_values', 'critical', 'Column ''log2FC'' has ' || count(*) || ' null values',
+  UNION ALL SELECT 'log2FC', 'null_values', 'critical', count(*) || ' required cells are missing',
     count(*) FROM prep WHERE fn IS NULL
-  UNION ALL SELECT 'adj_p', 'null_values', 'critical', 'Column ''adj_p'' has ' || count(*) || ' null values',
+  UNION ALL SELECT 'adj_p', 'null_values', 'critical', count(*) || ' required cells are missing',
     count(*) FROM prep WHERE p IS NULL) WHERE affected_rows > 0)
 """
 
@@ -338,12 +338,13 @@ def issues_by_severity(spark, sf_dir):
 
 
 @query(f"""WITH {CLEANED}, {PREP_ISSUES}
-SELECT severity, CAST(number AS INTEGER) AS number, 'Issue #' || number || chr(10) || '  Severity: [' || upper(severity) || ']' || chr(10) ||
-  '  Column:   ' || "column" || chr(10) || '  Problem:  ' || description AS block
+SELECT severity, CAST(CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END AS INTEGER) AS rank, CAST(number AS INTEGER) AS number,
+  severity || '/' || issue_type || ' ' || "column" || ': ' || description || ' -> look' AS note
 FROM (SELECT *, row_number() OVER (PARTITION BY severity ORDER BY "column", issue_type, description) AS number FROM prep_issues)""")
 def issues_rendered(spark, sf_dir):
     prepared = preprocess(nulled(spark, sf_dir), STANDARD)
-    return issues.rendered(prepared.issues.where(F.col("issue_type") != issues.NOTE).withColumn("suggested_fix", F.lit("")))
+    found = prepared.issues.where(F.col("issue_type") != issues.NOTE).withColumn("suggested_fix", F.lit("look"))
+    return issues.ranked(found).select("severity", "rank", "number", "note")
 
 
 @query(f"""WITH {CLEANED}, prep AS (SELECT "Gene_ID" AS g, {sql_repair('"Gene_ID"')} AS r, {SQL_P} AS p FROM cleaned)
@@ -369,7 +370,7 @@ def preprocess_changes(spark, sf_dir):
 
 @query(f"""WITH {CLEANED}, {PREP_ISSUES} SELECT count(*) = 0 AS is_valid,
 CASE WHEN count(*) = 0 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS quality_score, count(*) AS issues,
-'Rules-based preprocessing completed. ' || count(*) || ' issues remain.' AS summary FROM prep_issues""")
+'open issues: ' || count(*) AS summary FROM prep_issues""")
 def rule_diagnosis_row(spark, sf_dir):
     prepared = preprocess(nulled(spark, sf_dir), STANDARD)
     return rule_diagnosis(prepared.issues.where(F.col("issue_type") != issues.NOTE)).row()

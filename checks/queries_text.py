@@ -182,15 +182,12 @@ both_ AS (SELECT coalesce(f.request_id, r.request_id) AS request_id, r.text, f.p
 """
 
 
-@query(f"""WITH {REQUESTS}, g AS (SELECT request_id, any_value(text) AS text, count(position) AS files,
-  string_agg(name, ', ' ORDER BY position) FILTER (named) AS named,
-  string_agg(chr(10) || chr(10) || '--- UPLOADED FILE: ' || name || ' (' || kind || ') ---' || chr(10) || content || chr(10) ||
-    '--- END OF FILE: ' || name || ' ---' || chr(10), chr(10) ORDER BY position) AS sections FROM both_ GROUP BY request_id)
-SELECT request_id, CASE WHEN coalesce(text, '') <> '' OR files > 0 THEN array_to_string(list_filter([
-  CASE WHEN coalesce(text, '') <> '' THEN 'USER PROVIDED CONTEXT:' || chr(10) || text END,
-  CASE WHEN files > 0 THEN CASE WHEN coalesce(text, '') <> '' THEN chr(10) || chr(10) ELSE '' END || 'UPLOADED FILES:' END,
-  CASE WHEN named IS NOT NULL THEN chr(10) || 'Note: The following files are referenced in your context: ' || named || chr(10) ||
-    'Their contents are included below for reference.' || chr(10) END, sections], lambda x: x IS NOT NULL), chr(10)) END AS context FROM g""")
+@query(f"""WITH {REQUESTS}, g AS (SELECT request_id, any_value(text) AS text,
+  string_agg(name, chr(10) ORDER BY position) FILTER (named) AS named,
+  string_agg('## file ' || name || ' (' || kind || ')' || chr(10) || content, chr(10) || chr(10) ORDER BY position) AS held FROM both_ GROUP BY request_id)
+SELECT request_id, CASE WHEN coalesce(text, '') <> '' OR held IS NOT NULL THEN array_to_string(list_filter([
+  CASE WHEN coalesce(text, '') <> '' THEN '## request' || chr(10) || text END, '## named in the request' || chr(10) || named, held],
+  lambda x: x IS NOT NULL), chr(10) || chr(10)) END AS context FROM g""")
 def build_contexts(spark, sf_dir):
     return context.build_contexts(*_requests(spark, sf_dir))
 

@@ -47,42 +47,41 @@ def stem(name: Column) -> Column:
     return F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
 
 
-def file_section(name: Column, kind: Column, content: Column) -> Column:
-    return F.concat(F.lit("\n\n--- UPLOADED FILE: "), name, F.lit(" ("), kind, F.lit(") ---\n"), content,
-                    F.lit("\n--- END OF FILE: "), name, F.lit(" ---\n"))
-
-
 def mentioned(text: Column, name: Column) -> Column:
     """True when the text names the file, with or without its extension."""
     return F.contains(text, name) | F.contains(text, stem(name))
 
 
+def context_parts(requests: DataFrame, files: DataFrame) -> DataFrame:
+    """(request_id, part, position, title, text): what belongs to each request, one row per part.
+
+    From requests (request_id, text) and files (request_id, position, name, kind, content). ``part`` is
+    request, named (the files that the request names, one per line) or file. Parts stay rows, so a
+    request may have any number of files; empty texts of requests give no row.
+    """
+    said = requests.where(F.coalesce("text", F.lit("")) != "")
+    asked = said.select("request_id", F.lit("request").alias("part"), F.lit(None).cast("bigint").alias("position"),
+                        F.lit("request").alias("title"), "text")
+    named = files.join(said, "request_id").where(mentioned(F.col("text"), F.col("name"))).groupBy("request_id").agg(
+        F.sort_array(F.collect_list(F.struct("position", "name"))).alias("names"))
+    listed = named.select("request_id", F.lit("named").alias("part"), F.lit(None).cast("bigint").alias("position"),
+                          F.lit("named in the request").alias("title"), F.array_join(F.transform("names", lambda n: n["name"]), "\n").alias("text"))
+    held = files.select("request_id", F.lit("file").alias("part"), F.col("position").cast("bigint").alias("position"),
+                        F.format_string("file %s (%s)", "name", "kind").alias("title"), F.col("content").alias("text"))
+    return asked.unionByName(listed).unionByName(held)
+
+
 def build_contexts(requests: DataFrame, files: DataFrame) -> DataFrame:
-    """(request_id, context) from requests (request_id, text) and files (request_id, position, name, kind, content).
+    """(request_id, context): the parts of each request joined into one text, NULL where there are none.
 
-    A request has a handful of uploaded files; their sections are gathered per request.
+    For requests whose parts fit in one row; ``context_parts`` has no such limit.
     """
-    both = files.join(requests, "request_id", "left")
-    item = F.struct("position", "name", file_section(F.col("name"), F.col("kind"), F.col("content")).alias("section"),
-                    F.coalesce(mentioned(F.col("text"), F.col("name")), F.lit(False)).alias("named"))
-    gathered = both.groupBy("request_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    work = requests.join(gathered, "request_id", "full")
-    said = F.coalesce("text", F.lit("")) != ""
-    items = F.coalesce(F.col("items"), F.array().cast(gathered.schema["items"].dataType))
-    has_files = F.size(items) > 0
-    named = F.transform(F.filter(items, lambda s: s["named"]), lambda s: s["name"])
-    parts = F.concat(
-        F.when(said, F.array(F.lit("USER PROVIDED CONTEXT:"), F.col("text"))).otherwise(_none()),
-        F.when(has_files, F.array(F.when(said, "\n\nUPLOADED FILES:").otherwise("UPLOADED FILES:"))).otherwise(_none()),
-        F.when(F.size(named) > 0, F.array(
-            F.concat(F.lit("\nNote: The following files are referenced in your context: "), F.array_join(named, ", ")),
-            F.lit("Their contents are included below for reference.\n"))).otherwise(_none()),
-        F.transform(items, lambda s: s["section"]))
-    return work.select("request_id", F.when(said | has_files, F.array_join(parts, "\n")).alias("context"))
-
-
-def _none() -> Column:
-    return F.array().cast("array<string>")
+    order = F.array_position(F.array(F.lit("request"), F.lit("named"), F.lit("file")), F.col("part"))
+    block = F.concat(F.lit("## "), "title", F.lit("\n"), F.coalesce("text", F.lit("")))
+    joined = context_parts(requests, files).groupBy("request_id").agg(
+        F.sort_array(F.collect_list(F.struct(order.alias("order"), "position", block.alias("block")))).alias("parts"))
+    joined = joined.select("request_id", F.array_join(F.transform("parts", lambda p: p["block"]), "\n\n").alias("context"))
+    return requests.select("request_id").join(joined, "request_id", "full")
 
 
 def mentions(texts: DataFrame, names: DataFrame, text_key: str = "request_id", text_col: str = "text",

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 ISSUE_SCHEMA = ("column string, issue_type string, severity string, description string, "
                 "affected_rows bigint, suggested_fix string")
-CHANGE_SCHEMA = "step int, column string, metric string, n bigint, message string"
+CHANGE_SCHEMA = "step int, column string, metric string, n bigint, detail string"
 SEVERITIES = ["critical", "warning", "info"]
 NOTE = "column_binding"
 
@@ -42,34 +42,20 @@ def append_schema_errors(issues: DataFrame, errors: DataFrame) -> DataFrame:
     as_issues = errors.select(
         F.lit("schema").alias("column"), F.lit("schema_mismatch").alias("issue_type"),
         F.lit("critical").alias("severity"), "description", "affected_rows",
-        F.lit("Map or transform columns to match schema").alias("suggested_fix"))
+        F.lit("Bind another column or convert this one").alias("suggested_fix"))
     return issues.unionByName(as_issues)
 
 
-def issue_text(issues: DataFrame) -> str:
-    """Numbered plain text, most severe first. Issue tables hold a few rows per column."""
-    rank = F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("severity"))
-    rows = issues.orderBy(rank, "column", "issue_type", "description").collect()
-    if not rows:
-        return "[OK] No issues found! Data is valid."
-    lines = [f"Found {len(rows)} issue(s):", "=" * 50, ""]
-    for i, r in enumerate(rows, 1):
-        lines += [f"Issue #{i}", f"  Severity: [{(r.severity or 'info').upper()}]",
-                  f"  Column:   {r.column}", f"  Problem:  {r.description}"]
-        if r.suggested_fix:
-            lines.append(f"  Fix:      {r.suggested_fix}")
-        lines += ["-" * 50, ""]
-    return "\n".join(lines)
-
+def ranked(issues: DataFrame) -> DataFrame:
+    """The issues with ``rank`` (0 for the most severe level), ``number`` within the level, and a one-line ``note``."""
+    rank = F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("severity")) - 1
+    # an issue table holds a few rows per column
+    order = Window.partitionBy("severity").orderBy("column", "issue_type", "description")
+    advice = F.when(F.col("suggested_fix") != "", F.concat(F.lit(" -> "), "suggested_fix")).otherwise("")
+    note = F.concat(F.col("severity"), F.lit("/"), F.col("issue_type"), F.lit(" "), F.col("column"), F.lit(": "), F.col("description"), advice)
+    return issues.select("*", rank.cast("int").alias("rank"), F.row_number().over(order).alias("number"), note.alias("note"))
 
-def rendered(issues: DataFrame) -> DataFrame:
-    """The text block of every issue, one row each, numbered within its severity."""
-    from pyspark.sql import Window
 
-    order = Window.partitionBy("severity").orderBy("column", "issue_type", "description")
-    number = F.row_number().over(order)
-    block = F.concat_ws(
-        "\n", F.format_string("Issue #%d", number), F.format_string("  Severity: [%s]", F.upper("severity")),
-        F.format_string("  Column:   %s", "column"), F.format_string("  Problem:  %s", "description"),
-        F.when(F.col("suggested_fix") != "", F.format_string("  Fix:      %s", "suggested_fix")))
-    return issues.select("severity", number.alias("number"), block.alias("block"))
+def issue_notes(issues: DataFrame) -> list[str]:
+    """The notes of all issues, most severe first."""
+    return [r["note"] for r in ranked(issues).orderBy("rank", "number").select("note").collect()]

@@ -30,11 +30,18 @@ class Prepared:
     issues: DataFrame
     mapping: dict[str, str]
     bindings: dict[str, Binding]
-    report: str
 
     def is_valid(self, min_severity: str = "info") -> bool:
         return not blocking(self.issues, min_severity).head(1)
 
+    def report(self) -> DataFrame:
+        """(part, subject, finding, n, note): what was changed and what is open, as one table."""
+        done = self.changes.select(F.lit("changed").alias("part"), F.col("column").alias("subject"), F.col("metric").alias("finding"),
+                                   "n", F.col("detail").alias("note"))
+        still = self.issues.select(F.concat(F.lit("open:"), "severity").alias("part"), F.col("column").alias("subject"),
+                                   F.col("issue_type").alias("finding"), F.col("affected_rows").alias("n"), F.col("description").alias("note"))
+        return done.unionByName(still)
+
 
 def blocking(issues: DataFrame, min_severity: str = "info") -> DataFrame:
     """Issues that make a table invalid. Notes about name binding never do."""
@@ -62,99 +69,56 @@ def preprocess(df: DataFrame, schema: TargetSchema, transforms: bool = True,
     by_target = {r.target: r for r in counters}
     changes = _changes(cleaned, plans, by_target, rows_after)
     found = _issues(plans, by_target) + [
-        (target, iss.NOTE, "warning", note, rows_after, "Check the column binding")
+        (target, iss.NOTE, "warning", note, rows_after, "bind the column by its source name")
         for target, note in binding_notes(bindings)]
     spark = df.sparkSession
     return Prepared(
         apply_repairs(cleaned.df, plans),
         spark.createDataFrame(changes, iss.CHANGE_SCHEMA), spark.createDataFrame(found, iss.ISSUE_SCHEMA),
-        bound, bindings, report_text(schema, changes, found))
+        bound, bindings)
 
 
 def _changes(cleaned: CleanResult, plans: list[RepairPlan], counters: dict, rows_after: int) -> list[tuple]:
-    out = []
-
-    def note(step: int, column: str, metric: str, n: int, message: str) -> None:
-        if n:
-            out.append((step, column, metric, int(n), message))
-
-    for metric, names, words in (("all_null", cleaned.all_null, "all-null"), ("blank", cleaned.blank, "empty")):
-        note(1, "*", metric, len(names), f"Removed {len(names)} {words} column(s): {', '.join(names[:5])}")
-    note(1, "*", "trimmed", len(cleaned.trimmed), f"Trimmed whitespace in {len(cleaned.trimmed)} column(s)")
-    gone = cleaned.rows_before - rows_after
-    note(1, "*", "duplicates", gone, f"Removed {gone} duplicate row(s)")
-    note(1, "*", "renamed", len(cleaned.renamed), f"Cleaned {len(cleaned.renamed)} column name(s)")
-    before = (cleaned.rows_before, cleaned.columns_before)
-    after = (rows_after, len(cleaned.df.columns))
-    note(1, "*", "shape", before != after, f"Shape changed: {before} -> {after}")
+    """(step, column, metric, n, detail) of everything that was touched; steps number the stages."""
+    whole_table = [
+        ("all_null", len(cleaned.all_null), ", ".join(cleaned.all_null)),
+        ("blank", len(cleaned.blank), ", ".join(cleaned.blank)),
+        ("trimmed", len(cleaned.trimmed), ", ".join(cleaned.trimmed)),
+        ("duplicates", cleaned.rows_before - rows_after, ""),
+        ("renamed", len(cleaned.renamed), ", ".join(cleaned.renamed)),
+        ("shape", int((cleaned.rows_before, cleaned.columns_before) != (rows_after, len(cleaned.df.columns))),
+         f"{cleaned.rows_before}x{cleaned.columns_before} to {rows_after}x{len(cleaned.df.columns)}"),
+    ]
+    out = [(1, "*", metric, n, detail) for metric, n, detail in whole_table]
     for p in plans:
-        c = counters[p.col.name]
-        if c.transformed:
-            note(3, p.source, "transformed", c.transformed, f"Applied {p.col.transform} transform to '{p.source}'")
-        words = {"float": "float", "int": "integer", "bool": "boolean", "date": "datetime",
-                 "datetime": "datetime", "string": "string"}[p.col.type]
-        before_type = cleaned.df.schema[p.source].dataType
-        if before_type != p.col.spark_type:
-            note(4, p.source, "converted", rows_after, f"Converted '{p.source}' to {words}")
-        if p.checks_pattern:
-            fixed = c.pattern_before - c.pattern_after
-            note(5, p.source, "pattern_fixed", max(fixed, 0), f"Fixed {fixed} pattern violations in '{p.source}'")
-        if p.checks_range:
-            note(6, p.source, "clamped", c.clamped, f"Clamped {c.clamped} values in '{p.source}' to range "
-                                                    f"[{p.col.min_value}, {p.col.max_value}]")
-        if p.col.default_value is not None:
-            note(7, p.source, "filled", c.nulls,
-                 f"Filled {c.nulls} null values in '{p.source}' with default: {p.col.default_value}")
-    return out
+        c, held = counters[p.col.name], cleaned.df.schema[p.source].dataType
+        out += [(step, p.source, metric, n, detail) for step, metric, n, detail in (
+            (3, "transformed", c.transformed, p.col.transform),
+            (4, "converted", rows_after if held != p.col.spark_type else 0, f"{held.simpleString()} to {p.col.spark_type.simpleString()}"),
+            (5, "pattern_fixed", c.pattern_before - c.pattern_after if p.checks_pattern else 0, p.col.validation_regex),
+            (6, "clamped", c.clamped if p.checks_range else 0, f"{p.col.min_value} to {p.col.max_value}"),
+            (7, "filled", c.nulls if p.col.default_value is not None else 0, str(p.col.default_value)))]
+    return [(step, column, metric, int(n), detail or "") for step, column, metric, n, detail in out if n and n > 0]
 
 
 def _issues(plans: list[RepairPlan], counters: dict) -> list[tuple]:
+    """(column, issue_type, severity, description, affected_rows, suggested_fix) of what repairs could not settle."""
     out = []
     for p in plans:
-        c, source = counters[p.col.name], p.source
-        if c.coerced:
-            out.append((source, "coercion_failure", "warning",
-                        f"{c.coerced} values could not be read as {p.col.type}", c.coerced,
-                        "Review the source values"))
-        if c.fractional:
-            out.append((source, "fractional_values", "warning",
-                        f"{c.fractional} values were rounded to integers", c.fractional, "Use a float column"))
-        if c.pattern_after:
-            out.append((source, "pattern_violation", "warning",
-                        f"{c.pattern_after} values don't match pattern {p.col.validation_regex}", c.pattern_after,
-                        "Manual review required for remaining pattern violations"))
-        if c.nulls and p.col.default_value is None:
-            if p.col.required:
-                out.append((source, "null_values", "critical", f"Column '{source}' has {c.nulls} null values",
-                            c.nulls, "Fill with appropriate values or remove rows"))
-            else:
-                out.append((source, "null_values", "info", f"Optional column '{source}' has {c.nulls} null values",
-                            c.nulls, "Consider filling with appropriate values"))
+        c = counters[p.col.name]
+        missing = c.nulls if p.col.default_value is None else 0
+        needed = p.col.required
+        kinds = (
+            ("coercion_failure", "warning", c.coerced, f"values could not be read as {p.col.type}", "look at the source values"),
+            ("fractional_values", "warning", c.fractional, "values were rounded to integers", "declare the column as float"),
+            ("pattern_violation", "warning", c.pattern_after, f"cells break the pattern {p.col.validation_regex}", "correct them by hand"),
+            ("null_values", "critical" if needed else "info", missing, f"{'required' if needed else 'optional'} cells are missing",
+             "give a default value or drop the rows" if needed else "a default value would fill them"),
+        )
+        out += [(p.source, kind, level, f"{n} {words}", n, advice) for kind, level, n, words, advice in kinds if n]
     return out
 
 
-def report_text(schema: TargetSchema, changes: list[tuple], found: list[tuple]) -> str:
-    """Changes, then issues by severity, as text."""
-    bar = "=" * 50
-    lines = [bar, "RULES-BASED PREPROCESSING REPORT", bar, f"Target Schema: {schema.name}", ""]
-    if changes:
-        lines += [f"Changes Applied ({len(changes)}):", "-" * 30]
-        lines += [f"  {i}. {c[4]}" for i, c in enumerate(changes, 1)]
-    else:
-        lines.append("No changes were needed.")
-    lines.append("")
-    if found:
-        lines += [f"Remaining Issues ({len(found)}):", "-" * 30]
-        for level, title in zip(iss.SEVERITIES, ("Critical", "Warnings", "Info")):
-            of_level = [i for i in found if i[2] == level]
-            if of_level:
-                lines.append(f"  {title} ({len(of_level)}):")
-                lines += [f"    - {i[0]}: {i[3]}" for i in of_level]
-    else:
-        lines.append("All issues resolved by preprocessing!")
-    return "\n".join([*lines, "", bar])
-
-
 # diagnosis
 
 @dataclass
@@ -174,8 +138,7 @@ class Diagnosis:
 def rule_diagnosis(found: DataFrame, min_severity: str = "info") -> Diagnosis:
     """Valid when no blocking issue is left; the score is 1.0, else 0.5."""
     n = blocking(found, min_severity).count()
-    words = "All issues resolved." if n == 0 else f"{n} issues remain."
-    return Diagnosis(n == 0, 1.0 if n == 0 else 0.5, found, f"Rules-based preprocessing completed. {words}")
+    return Diagnosis(n == 0, 1.0 if n == 0 else 0.5, found, f"open issues: {n}")
 
 
 def diagnose(df: DataFrame, schema: TargetSchema, min_severity: str = "critical") -> Diagnosis:
@@ -297,7 +260,7 @@ def run(df: DataFrame, schema: TargetSchema, fixes: dict[str, Callable[[DataFram
         if result.success:
             current = result.df
             keep("fix_attempt", current, attempt=attempt, fix=name)
-            diagnosis = diagnose(current, schema)
+            diagnosis = diagnose(current, schema, min_severity)
             outcome.df, outcome.diagnosis = current, diagnosis
             if diagnosis.is_valid:
                 outcome.success = True

@@ -42,7 +42,7 @@ def noise_sweep(df: DataFrame, grid: list[tuple[int, float, int]], settings: noi
     model, vectors = tfidf.fit_transform(prints, "token_string")
     first_kind = settings.kinds[0] if settings.kinds else "mixed"
     labels = df.sparkSession.createDataFrame(
-        [(v, r, f"PSE_DND_{first_kind}_{p}%") for v, r, p in grid], "variant int, ratio double, error_type string")
+        [(v, r, f"noise_{first_kind}_{p}%") for v, r, p in grid], "variant int, ratio double, error_type string")
     changed = variant_changes(df, grid, settings, key)
     shape = f"{len(data_columns(df))} columns"
     script = F.format_string(

@@ -170,8 +170,8 @@ def expand(spark: SparkSession, paths: list[str] | str, staging: str | None = No
     """Every plain file behind the paths, archives opened down to ``max_depth`` levels.
 
     (root, chain, path, name, size, head, extension, kind, mime, is_tabular, reader, error).
-    ``chain`` names the members leading to a file, joined by '!'. Archives below the depth limit are
-    left out; archives that fail, or that no standard codec opens, appear with an error.
+    ``chain`` names the members leading to a file, joined by '!'. Archives below the depth limit,
+    archives that fail, and those that no standard codec opens, appear with an error.
     """
     staging = qualified(spark, staging or scratch_path(spark, "members"))
     level = list_files(spark, paths).select(
@@ -188,51 +188,70 @@ def expand(spark: SparkSession, paths: list[str] | str, staging: str | None = No
         unread = F.when(F.col("kind").isin(ff.UNREAD_ARCHIVES), F.concat(F.lit("no codec for "), "kind"))
         leaves += [plain.withColumn("error", unread), broken]
         nested = sound.where(is_archive)
-        if depth == max_depth or nested.isEmpty():
+        if depth == max_depth:
+            leaves.append(nested.withColumn("error", F.lit(f"archive nested deeper than {max_depth} levels")))
+            break
+        if nested.isEmpty():
             break
         level = materialise(unpack_once(nested, f"{staging}/d{depth}"), f"members{depth}")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), leaves)
 
 
+def _member_bytes(r, raw, opened) -> Iterator[tuple[str, bytes]]:
+    """(member, bytes) of a planned row; a tar.gz stream gives all its members."""
+    if r.kind == "zip":
+        yield r.member, opened.read(r.member)
+    elif r.kind == "tar":
+        yield r.member, _Span(raw, int(r.at), int(r.size)).read()
+    elif r.kind == "gzip":
+        raw.seek(0)
+        yield r.member, gzip.GzipFile(fileobj=raw).read()
+    else:
+        raw.seek(0)
+        with tarfile.open(fileobj=raw, mode="r|gz") as t:
+            for m in t:
+                if m.isfile() and not _hidden(m.name):
+                    yield m.name, t.extractfile(m).read()
+
+
 def _contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Members as rows; a batch is passed on as soon as it holds a few megabytes."""
     path, raw, opened = None, None, None
-    columns = ["archive", "member", "size", "content"]
+    columns = ["archive", "member", "size", "content", "error"]
     for batch in batches:
         rows, held = [], 0
         for r in batch.itertuples(index=False):
             if r.error is not None:
+                rows.append((r.root, r.member, None, None, r.error))
                 continue
-            if path != r.path:
-                if raw is not None:
-                    raw.close()
-                path, raw, opened = r.path, _open(r.path), None
-            if r.kind == "zip":
-                opened = opened or zipfile.ZipFile(raw)
-                data = opened.read(r.member)
-            elif r.kind == "tar":
-                data = _Span(raw, int(r.at), int(r.size)).read()
-            else:
-                raw.seek(0)
-                data = gzip.GzipFile(fileobj=raw).read()
-            rows.append((r.root, r.member, len(data), data))
-            held += len(data)
-            if held > COPY_BYTES:
-                yield pd.DataFrame(rows, columns=columns)
-                rows, held = [], 0
+            try:
+                if path != r.path:
+                    if raw is not None:
+                        raw.close()
+                    path, raw, opened = r.path, _open(r.path), None
+                if r.kind == "zip" and opened is None:
+                    opened = zipfile.ZipFile(raw)
+                for member, data in _member_bytes(r, raw, opened):
+                    rows.append((r.root, member, len(data), data, None))
+                    held += len(data)
+                    if held > COPY_BYTES:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, held = [], 0
+            except Exception as exc:  # as in _unpack: a finding
+                rows.append((r.root, r.member, None, None, f"{type(exc).__name__}: {exc}"))
         yield pd.DataFrame(rows, columns=columns)
     if raw is not None:
         raw.close()
 
 
 def read_members(spark: SparkSession, paths: list[str] | str, tasks: int | None = None) -> DataFrame:
-    """(archive, member, size, content) of the members of zip, tar and gzip bundles of small files.
+    """(archive, member, size, content, error) of the members of zip, tar, tar.gz and gzip bundles of small files.
 
-    Members are read straight into rows, without a staged copy; broken bundles give no rows.
+    Members are read straight into rows, without a staged copy; what cannot be read is a row with an error.
     """
     files = list_files(spark, paths).select(
         F.col("path").alias("root"), F.lit("").alias("chain"), "path", "name", "size")
-    bundles = typed(with_heads(files, 512)).where(F.col("kind").isin("zip", "tar", "gzip"))
+    bundles = typed(with_heads(files, 512)).where(F.col("kind").isin(ff.ARCHIVES))
     planned = bundles.select("root", "chain", "path", "name", "kind").mapInPandas(_plan, PLAN_SCHEMA)
     dealt = planned.repartition(tasks or spark.sparkContext.defaultParallelism).sortWithinPartitions("path", "member")
-    return dealt.mapInPandas(_contents, "archive string, member string, size bigint, content binary")
+    return dealt.mapInPandas(_contents, "archive string, member string, size bigint, content binary, error string")

@@ -17,6 +17,7 @@ from tablewright.sources.files import same_path
 # Delimiters in the order they are tried.
 DELIMITERS = [",", "\t", ";", "|"]
 SPARE = "__extra"
+START = "__start"
 # marks "no field here" apart from "empty field"; cannot occur in text read as a table
 ABSENT = "\x00absent"
 LAYOUT = T.StructType([
@@ -73,51 +74,98 @@ def source_path() -> Column:
     return same_path(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
 
 
-def utf8_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, valid): whether every line of a text file is valid UTF-8. Reads the files once, split."""
+def text_facts(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, valid, breaks) of text files, in one split pass.
+
+    ``valid``: every line is UTF-8. ``breaks``: some line leaves a quote open, so records may run over
+    line ends; such a file has to be read whole, the others can be split.
+    """
     lines = spark.read.text(paths)
     return lines.groupBy(source_path().alias("path")).agg(
-        F.bool_and(F.is_valid_utf8("value")).alias("valid"))
-
+        F.bool_and(F.is_valid_utf8("value")).alias("valid"),
+        F.bool_or(F.regexp_count("value", F.lit('"')) % 2 == 1).alias("breaks"))
 
-def read_delimited(spark: SparkSession, paths: list[str] | str, header: list[str], sep: str = ",",
-                   encoding: str = "UTF-8", multi_line: bool = False, with_source: bool = False,
-                   compose: bool = True) -> DataFrame:
-    """Text files with one header line, all columns STRING.
 
-    Short rows are padded with NULL; rows with too many fields are left out (an empty field after the
-    last separator does not count as one); missing-value literals become NULL; characters that cannot be shown are cleaned. Set ``multi_line`` for quoted line
-    breaks: such files are read whole, one task each.
-    """
+def _delimited(reader, header: list[str], sep: str, encoding: str, multi_line: bool = False):
+    """Options of batch and stream readers alike; a spare column catches surplus fields."""
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*header, SPARE]])
-    wide = encoding.startswith("UTF-16")
-    reader = (spark.read.schema(schema)
+    reader = (reader.schema(schema)
               .option("header", True).option("enforceSchema", True).option("sep", sep).option("encoding", encoding)
               .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
               .option("nullValue", ABSENT).option("emptyValue", "")
               .option("maxCharsPerColumn", -1).option("mode", "PERMISSIVE"))
-    if wide:
-        # line ends are two bytes wide and have to be named to be found
-        reader = reader.option("lineSep", "\n")
-    raw = reader.csv(paths)
-    if wide:
+    # line ends of UTF-16 are two bytes wide and have to be named to be found
+    return reader.option("lineSep", "\n") if encoding.startswith("UTF-16") and not multi_line else reader
+
+
+def _fitting(raw: DataFrame, header: list[str], encoding: str) -> DataFrame:
+    """Rows without surplus fields."""
+    if encoding.startswith("UTF-16"):
         raw = raw.withColumns({n: F.rtrim(quoted(n), F.lit("\r")) for n in (header[-1], SPARE)})
-    kept = raw.where(quoted(SPARE).isNull())
+    return raw.where(quoted(SPARE).isNull())
+
+
+def stream_delimited(spark: SparkSession, folder: str, header: list[str], sep: str = ",", encoding: str = "UTF-8",
+                     multi_line: bool = False, max_files: int | None = None) -> DataFrame:
+    """Arriving text files, by the rules of ``read_delimited``; cells are not cleaned yet."""
+    reader = _delimited(spark.readStream, header, sep, encoding, multi_line)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return _fitting(reader.csv(folder), header, encoding).select(*[quoted(n) for n in header])
+
+
+def read_delimited(spark: SparkSession, paths: list[str] | str, header: list[str], sep: str = ",",
+                   encoding: str = "UTF-8", multi_line: bool = False, with_source: bool = False,
+                   compose: bool = True, with_start: bool = False) -> DataFrame:
+    """Text files with one header line, all columns STRING (see ``typed_columns``).
+
+    Short rows are padded with NULL; rows with too many fields are left out (an empty field after the
+    last separator does not count as one); missing-value literals become NULL; characters that cannot
+    be shown are cleaned. ``multi_line`` is for quoted line breaks: such files are read whole, one task each.
+    """
+    raw = _fitting(_delimited(spark.read, header, sep, encoding, multi_line).csv(paths), header, encoding)
     cells = [na_to_null(clean_text(quoted(n), compose)).alias(n) for n in header]
-    return kept.select(*cells, *([source_path().alias("source_file")] if with_source else []))
+    return raw.select(*cells, *_origin(with_source, with_start))
+
+
+def _origin(with_source: bool, with_start: bool) -> list[Column]:
+    """The file of a row, and where the split of that file begins that it was read from."""
+    source = [source_path().alias("source_file")] if with_source else []
+    return source + ([F.col("_metadata.file_block_start").alias(START)] if with_start else [])
+
+
+def typed_columns(df: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
+    """STRING columns whose every value is a whole number, a number or a truth value get that type.
+
+    One pass counts the fitting values of all columns. Columns without a value stay STRING.
+    """
+    names = [f.name for f in df.schema if isinstance(f.dataType, T.StringType) and f.name not in skip]
+    if not names:
+        return df
+    counts = []
+    for i, n in enumerate(names):
+        c = F.trim(quoted(n))
+        counts += [F.count(c).alias(f"n{i}"), F.count_if(c.rlike(r"^[+-]?\d+$") & c.try_cast("bigint").isNotNull()).alias(f"i{i}"),
+                   F.count_if(c.try_cast("double").isNotNull() & ~c.rlike("[dDfF]$")).alias(f"d{i}"),
+                   F.count_if(F.lower(c).isin("true", "false")).alias(f"b{i}")]
+    seen = df.agg(*counts).first()
+    kinds = {}
+    for i, n in enumerate(names):
+        fits = [kind for kind, letter in (("bigint", "i"), ("double", "d"), ("boolean", "b")) if seen[f"{letter}{i}"] == seen[f"n{i}"]]
+        if seen[f"n{i}"] and fits:
+            kinds[n] = fits[0]
+    return df.select(*[F.trim(quoted(c)).cast(kinds[c]).alias(c) if c in kinds else quoted(c) for c in df.columns])
 
 
 def read_json_table(spark: SparkSession, paths: list[str] | str, lines: bool | None = None,
-                    with_source: bool = False) -> DataFrame:
+                    with_source: bool = False, with_start: bool = False) -> DataFrame:
     """Records from JSON lines, or from files that hold one array (read whole, one task each)."""
     raw = spark.read.option("multiLine", not lines).json(paths)
     columns = [clean_text(quoted(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else quoted(f.name)
                for f in raw.schema]
-    return raw.select(*columns, *([source_path().alias("source_file")] if with_source else []))
+    return raw.select(*columns, *_origin(with_source, with_start))
 
 
-def read_parquet_table(spark: SparkSession, paths: list[str] | str, with_source: bool = False) -> DataFrame:
+def read_parquet_table(spark: SparkSession, paths: list[str] | str, with_source: bool = False, with_start: bool = False) -> DataFrame:
     raw = spark.read.parquet(*(paths if isinstance(paths, list) else [paths]))
-    if not with_source:
-        return raw
-    return raw.select(*[quoted(c) for c in raw.columns], source_path().alias("source_file"))
+    return raw.select(*[quoted(c) for c in raw.columns], *_origin(with_source, with_start))

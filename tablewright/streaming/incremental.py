@@ -16,6 +16,7 @@ from tablewright.operators.project import project
 from tablewright.operators.repair import apply_repairs, plan_repairs, repair_counters
 from tablewright.plans.resolve import mapping, resolve
 from tablewright.plans.schema import TargetSchema
+from tablewright.sources.tables import stream_delimited
 
 
 def row_local(df: DataFrame, schema: TargetSchema) -> DataFrame:
@@ -41,14 +42,9 @@ def batch_issues(df: DataFrame, schema: TargetSchema) -> DataFrame:
 
 
 def read_arrivals(spark: SparkSession, folder: str, header: list[str], sep: str = ",",
-                  max_files: int | None = None) -> DataFrame:
-    """Stream of delimited files with one header line, all columns STRING."""
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in header])
-    reader = (spark.readStream.schema(schema).option("header", True).option("sep", sep)
-              .option("quote", '"').option("escape", '"'))
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.csv(folder)
+                  max_files: int | None = None, encoding: str = "UTF-8", multi_line: bool = False) -> DataFrame:
+    """Stream of delimited files with one header line, all columns STRING; surplus fields as in the batch reader."""
+    return stream_delimited(spark, folder, header, sep, encoding, multi_line, max_files)
 
 
 def start(arrivals: DataFrame, schema: TargetSchema, output: str, issues: str, checkpoint: str,
@@ -64,8 +60,12 @@ def start(arrivals: DataFrame, schema: TargetSchema, output: str, issues: str, c
         arrivals = arrivals.withWatermark(event_time, lateness).dropDuplicatesWithinWatermark(columns)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        row_local(batch, schema).write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
-        (batch_issues(batch, schema).write.mode("overwrite").parquet(f"{issues}/batch={batch_id}"))
+        batch.persist()  # two results are made of it; its files are read and parsed once
+        try:
+            row_local(batch, schema).write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+            batch_issues(batch, schema).write.mode("overwrite").parquet(f"{issues}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     writer = arrivals.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if available_now else writer.start()

@@ -7,8 +7,8 @@ import pandas as pd
 import pytest
 
 from tablewright.sources import sinks, tables
-from tablewright.sources.archives import expand
-from tablewright.sources.ingest import file_preview, ingest, load_table
+from tablewright.sources.archives import expand, read_members
+from tablewright.sources.ingest import file_preview, ingest, load_table, load_tables
 
 CSV = "a,b\n1,x\n2,y\n"
 
@@ -78,7 +78,7 @@ def test_depth_limit(spark, tmp_path):
     (tmp_path / "n5.zip").write_bytes(nested(5))
     (tmp_path / "n6.zip").write_bytes(nested(6))
     assert expand(spark, str(tmp_path / "n5.zip")).count() == 1
-    assert expand(spark, str(tmp_path / "n6.zip")).count() == 0
+    assert [r.error for r in expand(spark, str(tmp_path / "n6.zip")).collect()] == ["archive nested deeper than 5 levels"]
     assert ingest(spark, str(tmp_path / "n6.zip")).status == "FAILED"
 
 
@@ -117,6 +117,38 @@ def test_headers(spark, tmp_path):
     assert ingest(spark, str(tmp_path / "d.csv")).tables[0].columns[:3] == ["a", "a.1", "Unnamed: 2"]
 
 
+def test_quoted_line_breaks_are_found(spark, tmp_path):
+    (tmp_path / "m.csv").write_text('a,b\n1,"x\ny"\n2,plain\n')
+    (tmp_path / "n.csv").write_text('a,b\n3,"q ""z"""\n')
+    result = ingest(spark, str(tmp_path))
+    assert sorted((len(x.paths), x.multi_line) for x in result.layouts) == [(1, False), (1, True)]
+    assert rows(result.union(), "a", "b") == [("1", "x\ny"), ("2", "plain"), ("3", 'q "z"')]
+
+
+def test_types_tables_and_row_order(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("i,d,b,s,e\n1,1,true,x,\n-2,2.5e3,FALSE,007a,\n,,,,\n")
+    (tmp_path / "b.csv").write_text("x,y,z\n1,2,3\n")
+    first, second = load_tables(spark, str(tmp_path))
+    assert [t for _, t in first.dtypes] == ["bigint", "bigint", "double", "boolean", "string"] and second.columns == ["row_id", "x", "y", "z"]
+    assert [tuple(r) for r in first.orderBy("row_id").collect()] == [(0, 1, 1.0, True, "x"), (1, -2, 2500.0, False, "007a"), (2, None, None, None, None)]
+    with pytest.raises(ValueError, match="2 tables"):
+        load_table(spark, str(tmp_path))
+    (tmp_path / "many").mkdir()
+    for k, n in enumerate([3, 4000, 50]):
+        (tmp_path / "many" / f"f{k}.csv").write_text("k,v\n" + "".join(f"{k},{i}\n" for i in range(n)))
+    keyed = load_table(spark, str(tmp_path / "many")).orderBy("row_id").collect()
+    assert [(r.k, r.v) for r in keyed] == [(k, i) for k, n in enumerate([3, 4000, 50]) for i in range(n)]
+    assert [r.row_id for r in keyed] == list(range(4053))
+
+
+def test_members_of_bundles_and_broken_ones(spark, tmp_path):
+    (tmp_path / "t.tar.gz").write_bytes(tarred({"d/a.txt": "A", "b.txt": "BB"}, "w:gz"))
+    (tmp_path / "z.zip").write_bytes(b"PK\x03\x04 broken")
+    got = read_members(spark, str(tmp_path)).collect()
+    assert sorted((r.member, bytes(r.content)) for r in got if r.error is None) == [("b.txt", b"BB"), ("d/a.txt", b"A")]
+    assert [r.archive.rsplit("/", 1)[1] for r in got if r.error] == ["z.zip"]
+
+
 def test_quoted_line_breaks_on_request(spark, tmp_path):
     (tmp_path / "m.csv").write_text('a,b\n1,"x\ny"\n')
     assert rows(ingest(spark, str(tmp_path / "m.csv"), multi_line=True).tables[0], "a", "b") == [("1", "x\ny")]

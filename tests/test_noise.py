@@ -116,5 +116,5 @@ def test_sweep_stores_pending_entries(spark, people):
     sweep.noise_sweep(people, grid, NoiseSettings(seed=9), store)
     rows = store.read().collect()
     assert len(rows) == 6 and {r.status for r in rows} == {"PENDING"} and len({r.id for r in rows}) == 6
-    assert {r.error_type for r in rows} == {"PSE_DND_typo_10%", "PSE_DND_typo_20%", "PSE_DND_typo_30%"}
+    assert {r.error_type for r in rows} == {"noise_typo_10%", "noise_typo_20%", "noise_typo_30%"}
     assert all(len(r.vector) == 1000 for r in rows)

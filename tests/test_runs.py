@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.operators import context, responses
-from tablewright.operators.issues import issue_text
+from tablewright.operators.issues import issue_notes
 from tablewright.operators.snapshots import SnapshotStore, attempt_numbers
 from tablewright.plans import job
 from tablewright.plans.harmonise import apply_fix, diagnose, pandas_fix, preprocess, run
@@ -72,9 +72,9 @@ def test_diagnosis_lists_schema_errors_as_critical(spark):
     kinds = {(r.column, r.issue_type, r.severity) for r in found.issues.collect()}
     assert ("schema", "schema_mismatch", "critical") in kinds and ("gene", "null_values", "warning") in kinds
     assert (found.is_valid, found.quality_score) == (False, 0.5)
-    text = issue_text(found.issues)
-    assert text.startswith("Found ") and "  Severity: [CRITICAL]" in text.split("Issue #2")[0]
-    assert issue_text(found.issues.where("false")) == "[OK] No issues found! Data is valid."
+    notes = issue_notes(found.issues)
+    assert notes[0].startswith("critical/schema_mismatch schema: ") and len(notes) == found.issues.count()
+    assert issue_notes(found.issues.where("false")) == []
 
 
 def test_recipes(spark):
@@ -115,8 +115,10 @@ def test_contexts(spark):
     files = spark.createDataFrame([(1, 1, "notes.csv", "csv", "N"), (3, 1, "b.txt", "text", "B")],
                                   "request_id int, position int, name string, kind string, content string")
     got = {r.request_id: r.context for r in context.build_contexts(requests, files).collect()}
-    assert got[2] is None and got[3].startswith("UPLOADED FILES:\n\n\n--- UPLOADED FILE: b.txt (text) ---\nB\n--- END")
-    assert "referenced in your context: notes.csv" in got[1] and got[1].startswith("USER PROVIDED CONTEXT:\nsee notes now")
+    assert got[2] is None and got[3] == "## file b.txt (text)\nB"
+    assert got[1] == "## request\nsee notes now\n\n## named in the request\nnotes.csv\n\n## file notes.csv (csv)\nN"
+    parts = {(r.request_id, r.part, r.position) for r in context.context_parts(requests, files).collect()}
+    assert parts == {(1, "request", None), (1, "named", None), (1, "file", 1), (3, "file", 1)}
 
 
 def test_responses_take_defaults(spark):
@@ -137,7 +139,7 @@ def test_job(spark, tmp_path, capsys, monkeypatch):
     assert job.main(["-i", str(tmp_path / "d.csv"), "--diagnose-only"]) == 0
     assert job.main(["-i", str(tmp_path / "none.csv")]) == 1
     assert job.main(["-i", str(tmp_path / "d.csv"), "-s", "zz"]) == 1
-    assert "Success: True" in capsys.readouterr().out
+    assert '"success": true' in capsys.readouterr().out
 
 
 HEADER = ["row_id", "Gene", "fold", "p_val"]

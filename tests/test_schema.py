@@ -22,7 +22,7 @@ def test_missing_fields_take_defaults_and_unknown_types_are_refused():
 
 
 def test_rule_text_shows_a_zero_minimum():
-    assert STANDARD.rules_text().splitlines()[2] == "- PValue (float) [REQUIRED] range: [0.0, 1.0]"
+    assert STANDARD.rules_text().splitlines()[2] == "PValue: type=float; required=True; at_least=0.0; at_most=1.0"
     assert STANDARD.required_columns() == ["GeneSymbol", "FoldChange", "PValue"]
 
 
