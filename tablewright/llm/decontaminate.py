@@ -12,12 +12,14 @@ which the maxima of the lists reach the threshold, blocks that cannot reach it a
 Retrieved items are verified on the words: the question and the answer must both be covered by runs of
 words that stand in the passage.
 
-The index is built by aggregation and cut into shards of at most about ``SHARD_POSTINGS`` postings; one
-shard at a time is broadcast, so its size is bounded however many test items there are.
+The index is built by aggregation and cut into shards of at most about ``SHARD_POSTINGS`` postings. A pass
+over the documents broadcasts and searches ``PASS_SHARDS`` of them, so what is broadcast is bounded
+however many test items there are.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +33,9 @@ from tablewright.llm.near_dedup import shingle_hashes
 from tablewright.llm.streams import bounded_batches
 from tablewright.session import materialise
 
-SHARD_POSTINGS = 500_000
+SHARD_POSTINGS = 20_000
+#: shards that one pass over the documents searches
+PASS_SHARDS = 8
 BLOCK_ITEMS = 4
 #: items of a class differ in length by less than this factor
 CLASS_FACTOR = 4
@@ -116,13 +120,15 @@ class Shard:
         weight = np.array([p["score"] / r["own"] for r in rows for p in r["postings"]])
         self.terms, place = np.unique(term, return_inverse=True)
         order = np.lexsort((item, place))
-        self.item, self.weight = item[order], weight[order]
-        self.first = np.searchsorted(place[order], np.arange(len(self.terms) + 1))
+        # lists: cursors step through single numbers
+        self.item, self.weight = item[order].tolist(), weight[order].tolist()
+        self.first = np.searchsorted(place[order], np.arange(len(self.terms) + 1)).tolist()
         self.blocks = -(-len(rows) // BLOCK_ITEMS)
         self.block_max = np.zeros((len(self.terms), self.blocks), np.float32)
         np.maximum.at(self.block_max, (place, item // BLOCK_ITEMS), weight.astype(np.float32))
         self.block_max *= np.float32(1 + 1e-6)  # a bound also after rounding
         self.term_max = self.block_max.max(axis=1)
+        self.bounds = self.block_max.tolist()
 
     def look_up(self, hashes: np.ndarray) -> np.ndarray:
         """The term number of each word, -1 for words outside the index."""
@@ -131,44 +137,47 @@ class Shard:
 
     def wand(self, query: np.ndarray) -> list[tuple[int, float]]:
         """(item, score) of all items that the distinct terms of ``query`` give the threshold, by block-max WAND."""
-        cursors = [[int(self.item[self.first[t]]), int(self.first[t]), int(self.first[t + 1]), t] for t in query]
-        found, last = [], len(self.ids)
+        items, bounds, share, last = self.item, self.bounds, self.share, len(self.ids)
+        most = self.term_max[query].tolist()
+        cursors = [[items[self.first[t]], self.first[t], self.first[t + 1], m, t] for t, m in zip(query.tolist(), most)]
+        found = []
+
+        def advance(some: list[list], item: int) -> None:
+            for c in some:
+                if c[0] < item:
+                    c[1] = at = bisect_left(items, item, c[1], c[2])
+                    c[0] = items[at] if at < c[2] else last
+
         while True:
-            cursors = [c for c in cursors if c[0] < last]
             cursors.sort()
+            while cursors and cursors[-1][0] == last:
+                cursors.pop()
             bound, pivot = 0.0, -1
             for k, c in enumerate(cursors):
-                bound += self.term_max[c[3]]
-                if bound >= self.share:
+                bound += c[3]
+                if bound >= share:
                     pivot = k
                     break
             if pivot < 0:
                 return found
             item = cursors[pivot][0]
-            block = item // BLOCK_ITEMS
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
                 pivot += 1
+            block = item // BLOCK_ITEMS
             ahead = cursors[:pivot + 1]
-            if sum(self.block_max[c[3], block] for c in ahead) < self.share:
+            bound = 0.0
+            for c in ahead:
+                bound += bounds[c[4]][block]
+            if bound < share:
                 to = (block + 1) * BLOCK_ITEMS  # nothing of this block can reach it
-                if pivot + 1 < len(cursors):
-                    to = min(to, cursors[pivot + 1][0])
-                for c in ahead:
-                    self._advance(c, to)
+                advance(ahead, min(to, cursors[pivot + 1][0]) if pivot + 1 < len(cursors) else to)
             elif ahead[0][0] == item:
-                score = float(sum(self.weight[c[1]] for c in ahead))
-                if score >= self.share:
+                score = sum(self.weight[c[1]] for c in ahead)
+                if score >= share:
                     found.append((item, score))
-                for c in ahead:
-                    self._advance(c, item + 1)
+                advance(ahead, item + 1)
             else:
-                for c in ahead:
-                    self._advance(c, item)
-
-    def _advance(self, cursor: list, item: int) -> None:
-        if cursor[0] < item:
-            cursor[1] += int(np.searchsorted(self.item[cursor[1]:cursor[2]], item))
-            cursor[0] = int(self.item[cursor[1]]) if cursor[1] < cursor[2] else len(self.ids)
+                advance(ahead, item)
 
     def passages(self, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
         """(text, from word, to word, term numbers) of the passages that some block could answer."""
@@ -250,11 +259,11 @@ def leaks(docs: DataFrame, items: DataFrame, rule: LeakRule = LeakRule(), doc_id
     index = materialise(index.withColumn("shard", F.pmod("item", F.lit(shards))), "index")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     found = None
-    for number in range(shards):
-        held: dict[int, list] = {}
-        for r in index.where(F.col("shard") == number).drop("shard").collect():  # bounded by SHARD_POSTINGS
-            held.setdefault(r["class"], []).append(r)
-        shared = spark.sparkContext.broadcast([Shard(rows_, rule.share) for rows_ in held.values()])
+    for low in range(0, shards, PASS_SHARDS):
+        held: dict[tuple, list] = {}
+        for r in index.where(F.col("shard").between(low, low + PASS_SHARDS - 1)).collect():  # bounded, see above
+            held.setdefault((r["shard"], r["class"]), []).append(r)
+        shared = spark.sparkContext.broadcast([Shard(own, rule.share) for own in held.values()])
         part = rows.mapInArrow(_search(shared, rule), schema)
         found = part if found is None else found.union(part)
     return found.groupBy("doc_id", "item_id").agg(F.max(F.struct(
