@@ -18,7 +18,7 @@ from tablewright.session import scratch_path
 from tablewright.sources import sinks, tables
 from tablewright.sources.archives import expand, read_members
 from tablewright.sources.files import inventory, list_files, open_path, typed, with_heads
-from tablewright.sources.ingest import ingest
+from tablewright.sources.ingest import ingest, load_tables
 from tablewright.streaming import incremental
 
 CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
@@ -160,6 +160,41 @@ def irregular_rows(spark, sf_dir):
     return tables.read_delimited(spark, folder, ["o_orderkey", "o_orderstatus", "o_orderpriority"])
 
 
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, CAST(n_chars AS VARCHAR) AS n_chars FROM documents")
+def read_quoted_breaks(spark, sf_dir):
+    """Texts with line breaks and quotes, as quoted fields of CSV files."""
+    folder = scratch_path(spark, "breaks")
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+    held = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    lines = d.select(F.concat(F.lit("docs"), F.floor(k / 500).cast("string"), F.lit(".csv")).alias("file"), k.alias("part"),
+                     F.lit("doc_id,text,n_chars").alias("head"), F.concat_ws(",", k.cast("string"), held, F.col("n_chars").cast("string")).alias("line"),
+                     F.lit("utf-8").alias("encoding"))
+    write_files(lines, folder, "plain").count()
+    return ingest(spark, folder).union().select("doc_id", "text", "n_chars")
+
+
+@query("""SELECT l_orderkey, l_partkey, l_suppkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax,
+l_returnflag, l_linestatus, strftime(l_shipdate, '%Y-%m-%d') AS l_shipdate, l_quantity > 25 AS is_large FROM lineitem""")
+def ingest_typed(spark, sf_dir):
+    """Every column of lineitem through CSV and back, with its type."""
+    path = scratch_path(spark, "typed") + ".csv"
+    df = table(spark, sf_dir, "lineitem").withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd")).withColumn("is_large", F.col("l_quantity") > 25)
+    sinks.write_table(df, path)
+    return ingest(spark, path, typed=True).union().drop("source_file")
+
+
+@query("""SELECT 'customer' AS kind, c_custkey AS key, c_name AS name FROM customer
+UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier""")
+def ingest_two_layouts(spark, sf_dir):
+    """Two kinds of tables in one folder: both come back."""
+    folder = scratch_path(spark, "layouts")
+    for name in ("customer", "supplier"):
+        sinks.write_table(table(spark, sf_dir, name), f"{folder}/{name}.csv")
+    found = {df.columns[1][0]: df for df in load_tables(spark, folder)}
+    return found["c"].select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("key"), F.col("c_name").alias("name")).unionByName(
+        found["s"].select(F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("key"), F.col("s_name").alias("name")))
+
+
 @query("SELECT count(DISTINCT c_custkey // 500) AS files_extracted, count(DISTINCT c_custkey // 500) AS tabular_files, 0::BIGINT AS failed_files FROM customer")
 def ingest_totals(spark, sf_dir):
     return ingest(spark, _written(spark, sf_dir, "zip")).totals()

@@ -17,21 +17,22 @@ from tablewright.sources.files import open_path
 
 
 def _queries(spark, sf_dir):
-    """Every tenth entry asks for its neighbours."""
-    return library(spark, sf_dir).where(F.substring("id", -1, 1) == "0").select("id", "vector")
+    """Every entry asks for its neighbours."""
+    return library(spark, sf_dir).select("id", "vector")
 
 
 def _near_sql(status: str | None, k: int) -> str:
     keep = f"WHERE c.status = '{status}'" if status else ""
     return f"""SELECT query_id, id, distance, rank, script_content, status, error_type FROM (
     SELECT q.id AS query_id, c.id AS id, round(list_distance(q.vector, c.vector) ** 2, 6) AS distance, c.script_content, c.status,
-      c.error_type, CAST(row_number() OVER (PARTITION BY q.id ORDER BY round(list_distance(q.vector, c.vector) ** 2, 6), c.id) AS INTEGER) AS rank
-    FROM (SELECT * FROM lib WHERE vec_id % 10 = 0) q, lib c {keep}) WHERE rank <= {k}"""
+      c.error_type, CAST(row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.vector, c.vector), c.id) AS INTEGER) AS rank
+    FROM lib q, lib c {keep}) WHERE rank <= {k}"""
 
 
 @query(f"WITH {LIBRARY} {_near_sql(None, 5)}")
 def library_nearest(spark, sf_dir):
-    return lib.nearest_entries(_queries(spark, sf_dir), library(spark, sf_dir), 5, vocab_id="v1")
+    found = lib.nearest_entries(_queries(spark, sf_dir), library(spark, sf_dir), 5, vocab_id="v1")
+    return found.withColumn("distance", F.round("distance", 6))
 
 
 @query(f"WITH {LIBRARY} SELECT query_id, rank, id, script_content FROM ({_near_sql('SUCCESS', 3)})")
@@ -93,16 +94,18 @@ def library_delete(spark, sf_dir):
     return lib.delete(whole, whole.where(F.col("status") == "FAILURE")).select("id")
 
 
-@query(f"WITH {LIBRARY} SELECT id, script_content, status, error_type FROM lib WHERE vec_id % 10 = 0")
+@query(f"WITH {LIBRARY} SELECT id, script_content, status, error_type FROM lib")
 def library_lookup(spark, sf_dir):
-    return lib.lookup(library(spark, sf_dir), _queries(spark, sf_dir)).select("id", "script_content", "status", "error_type")
+    ids = library(spark, sf_dir).select(F.explode(F.array("id", F.concat(F.lit("x"), "id"))).alias("id"))  # half are unknown
+    return lib.lookup(library(spark, sf_dir), ids).select("id", "script_content", "status", "error_type")
 
 
-@query(f"WITH {LIBRARY} SELECT id, script_content, status, error_type, vector[5] AS fifth FROM lib")
+@query(f"""WITH {LIBRARY} SELECT id, script_content, status, error_type, CAST(k - 1 AS INTEGER) AS pos, vector[k] AS element
+FROM lib, range(1, len(vector) + 1) r(k)""")
 def library_json_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "library-json")
     lib.export_json(library(spark, sf_dir), path)
-    return lib.read_json(spark, path).select("id", "script_content", "status", "error_type", F.col("vector")[4].alias("fifth"))
+    return lib.read_json(spark, path).select("id", "script_content", "status", "error_type", F.posexplode("vector").alias("pos", "element"))
 
 
 @query(f"""WITH {LIBRARY} SELECT id, CASE WHEN vec_id % 3 = 2 THEN 'FAILURE' ELSE status END AS status FROM lib WHERE vec_id % 3 <> 1""")
@@ -123,13 +126,14 @@ def library_entries(spark, sf_dir):
     attempts = library(spark, sf_dir).select(
         "script_content", "status", "error_type", "source_file", "created_at", "vector",
         F.split("fingerprint_tokens", " ").alias("tokens"), F.size("vector").cast("bigint").alias("dims"))
+    widths = attempts.select("script_content", "dims").distinct()
     stored = lib.entries(attempts)
-    return stored.select("script_content", "status", "token_count", "fingerprint_tokens", F.lit(64).cast("bigint").alias("dims"),
+    return stored.join(widths, "script_content").select("script_content", "status", "token_count", "fingerprint_tokens", "dims",
                          F.size("vector").cast("bigint").alias("stored_dims"), F.col("vector")[0].alias("first"))
 
 
-@query(f"""WITH {LIBRARY} SELECT id, script_content, status, error_type, CASE WHEN vec_id % 5 = 0 THEN 0.0 ELSE vector[5] END AS fifth,
-1000::INTEGER AS dims FROM lib""")
+@query(f"""WITH {LIBRARY} SELECT id, script_content, status, error_type, CAST(k - 1 AS INTEGER) AS pos,
+CASE WHEN vec_id % 5 = 0 THEN 0.0 ELSE coalesce(vector[k], 0.0) END AS element FROM lib, range(1, 1001) r(k)""")
 def library_bundle_import(spark, sf_dir):
     """Entries packed as zip bundles, some without a vector, and imported again."""
     folder = scratch_path(spark, "bundles")
@@ -154,4 +158,4 @@ def library_bundle_import(spark, sf_dir):
     # a bundle takes a hundred entries, however many there are
     rows.groupBy("bundle").applyInPandas(pack, "path string").count()
     return lib.read_bundles(spark, [folder]).select(
-        "id", "script_content", "status", "error_type", F.col("vector")[4].alias("fifth"), F.size("vector").alias("dims"))
+        "id", "script_content", "status", "error_type", F.posexplode("vector").alias("pos", "element"))

@@ -1,6 +1,7 @@
 """Nearest neighbours and similarity pairs over vector tables.
 
-Both are exact and need every pair to be looked at once, so the work is cut into blocks of rows:
+Scores are ranked, and held against thresholds, at full precision; equal scores go by id. Both are
+exact and need every pair to be looked at once, so the work is cut into blocks of rows:
 a task holds two blocks and compares them as one matrix product. No pair is ever a row unless it
 is part of the answer. Block sizes are bounded by construction, as rows are dealt out by hash.
 """
@@ -18,7 +19,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 BLOCK_BYTES = 32 << 20
 BROADCAST_BYTES = 64 << 20
-DECIMALS = 6
+#: scores that a task holds at once
+SCORE_CELLS = 4 << 20
 METRICS = ("cosine", "squared_l2")
 
 
@@ -31,19 +33,53 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
     return np.divide(m, lengths, out=np.zeros_like(m), where=lengths > 0)
 
 
-def _scores(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
-    """Score matrix where larger is nearer, rounded so that ranking does not hang on the last bit."""
+def _close(q: np.ndarray, c: np.ndarray, metric: str) -> tuple[np.ndarray, float]:
+    """Score matrix by products, larger is nearer, and a bound of its error."""
     if metric == "cosine":
-        return np.round(_unit_rows(q) @ _unit_rows(c).T, DECIMALS)
-    gap = (q * q).sum(axis=1)[:, None] + (c * c).sum(axis=1)[None, :] - 2.0 * (q @ c.T)
-    return -np.round(np.maximum(gap, 0.0), DECIMALS)
+        return _unit_rows(q) @ _unit_rows(c).T, 1e-12
+    own, other = (q * q).sum(axis=1), (c * c).sum(axis=1)
+    error = 1e-14 * (q.shape[1] + 8) * (own.max(initial=0.0) + other.max(initial=0.0))
+    return 2.0 * (q @ c.T) - own[:, None] - other[None, :], error
 
 
-def _nearest(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Column positions of the k best per row: best score first, then smallest id."""
-    by_id = np.argsort(ids, kind="stable")
-    order = np.argsort(-scores[:, by_id], axis=1, kind="stable")[:, :k]
-    return by_id[order]
+def _exact(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of row i of ``q`` and row i of ``c``, element by element, so near and equal rows are told apart."""
+    if metric == "cosine":
+        scale = np.sqrt((q * q).sum(axis=1)) * np.sqrt((c * c).sum(axis=1))
+        return np.divide((q * c).sum(axis=1), scale, out=np.zeros(len(q)), where=scale > 0)
+    gap = q - c
+    return -(gap * gap).sum(axis=1)
+
+
+def _best(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, id, score) of the k nearest rows of ``c`` per row of ``q``: best score first, then smallest id.
+
+    A slice of queries at a time is scored by products. Every row that the error of the products leaves in
+    question is scored again exactly, and the exact scores are ranked. A slice holds SCORE_CELLS scores.
+    """
+    parts = []
+    step = max(1, SCORE_CELLS // max(1, len(c)))
+    for at in range(0, len(q), step):
+        scores, error = _close(q[at:at + step], c, metric)
+        if len(c) > k:
+            least = -np.partition(-scores, k - 1, axis=1)[:, k - 1:k]
+            row, column = np.nonzero(scores >= least - 2 * error)
+        else:
+            row, column = np.indices(scores.shape).reshape(2, -1)
+        exact = np.empty(len(row))
+        width = max(1, SCORE_CELLS // q.shape[1])
+        for i in range(0, len(row), width):
+            exact[i:i + width] = _exact(q[at + row[i:i + width]], c[column[i:i + width]], metric)
+        parts.append(_leading(at + row, ids[column], exact, k))
+    return tuple(np.concatenate(p) for p in zip(*parts))
+
+
+def _leading(row: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first k of each row by score and id."""
+    order = np.lexsort((ids, -score, row))
+    row, ids, score = row[order], ids[order], score[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], ids[place < k], score[place < k]
 
 
 def _vector_rows(df: DataFrame, id_col: str, vector_col: str, prefix: str) -> DataFrame:
@@ -106,22 +142,14 @@ def _by_broadcast(q: DataFrame, c: DataFrame, rows: list, k: int, metric: str) -
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         query_ids, matrix = shared.value
-        held_ids, held_scores = None, None
+        held = None
         for batch in batches:
             if batch.empty:
                 continue
-            scores = _scores(matrix, _matrix(batch["cv"]), metric)
-            found = np.broadcast_to(batch["cid"].to_numpy(), scores.shape)
-            if held_ids is not None:
-                scores = np.hstack([held_scores, scores])
-                found = np.hstack([held_ids, found])
-            pick = np.lexsort((found, -scores), axis=1)[:, :k]
-            held_scores = np.take_along_axis(scores, pick, axis=1)
-            held_ids = np.take_along_axis(found, pick, axis=1)
-        if held_ids is not None:
-            width = held_ids.shape[1]
-            yield pd.DataFrame({"query_id": np.repeat(query_ids, width), "id": held_ids.ravel(),
-                                "score": held_scores.ravel()})
+            found = _best(matrix, _matrix(batch["cv"]), batch["cid"].to_numpy(), k, metric)
+            held = found if held is None else _leading(*(np.concatenate(pair) for pair in zip(held, found)), k)
+        if held is not None:
+            yield pd.DataFrame({"query_id": query_ids[held[0]], "id": held[1], "score": held[2]})
 
     return c.mapInPandas(best, _partial_schema(q, c))
 
@@ -147,12 +175,8 @@ def _by_blocks(q: DataFrame, c: DataFrame, k: int, metric: str, block_bytes: int
     def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"query_id": a["qid"].iloc[:0], "id": b["cid"].iloc[:0], "score": []})
-        scores = _scores(_matrix(a["qv"]), _matrix(b["cv"]), metric)
-        ids = b["cid"].to_numpy()
-        pick = _nearest(scores, ids, k)
-        return pd.DataFrame({
-            "query_id": np.repeat(a["qid"].to_numpy(), pick.shape[1]), "id": ids[pick].ravel(),
-            "score": np.take_along_axis(scores, pick, axis=1).ravel()})
+        row, ids, score = _best(_matrix(a["qv"]), _matrix(b["cv"]), b["cid"].to_numpy(), k, metric)
+        return pd.DataFrame({"query_id": a["qid"].to_numpy()[row], "id": ids, "score": score})
 
     return (left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb"))
             .applyInPandas(cell, _partial_schema(q, c)))
@@ -170,8 +194,7 @@ def similar_pairs(df: DataFrame, threshold: float = 0.7, id_col: str = "id", vec
     n, width = _size_of(v, "cv")
     # enough block pairs to use every core, and blocks small enough for one task
     cores = parallelism or df.sparkSession.sparkContext.defaultParallelism
-    spread = math.ceil(math.sqrt(2 * cores)) if n > 512 else 1
-    g = max(_grid(n, width, block_bytes), spread)
+    g = max(_grid(n, width, block_bytes), math.ceil(math.sqrt(2 * cores)))
     own = F.pmod(F.xxhash64("cid"), F.lit(g)).cast("int")
     sent = v.withColumn("own", own).select(
         F.explode(F.sequence(F.lit(0), F.lit(g - 1))).alias("other"), "own", "cid", "cv")
@@ -185,17 +208,22 @@ def similar_pairs(df: DataFrame, threshold: float = 0.7, id_col: str = "id", vec
         cols = part if first == last else part[part["own"] == last]
         out = []
         if len(rows) and len(cols):
-            right, right_ids = _unit_rows(_matrix(cols["cv"])), cols["cid"].to_numpy()
-            left, left_ids = _unit_rows(_matrix(rows["cv"])), rows["cid"].to_numpy()
-            for at in range(0, len(left), 1024):
-                scores = np.round(left[at:at + 1024] @ right.T, DECIMALS)
-                r, s = np.nonzero(scores >= threshold)
-                a, b = left_ids[at:at + 1024][r], right_ids[s]
+            left, left_ids = _matrix(rows["cv"]), rows["cid"].to_numpy()
+            right, right_ids = _matrix(cols["cv"]), cols["cid"].to_numpy()
+            step = max(1, SCORE_CELLS // len(right))
+            for at in range(0, len(left), step):
+                scores, error = _close(left[at:at + step], right, "cosine")
+                r, s = np.nonzero(scores >= threshold - error)
+                a, b = left_ids[at + r], right_ids[s]
                 # inside one block each pair shows up twice and each row meets itself
                 keep = a < b if first == last else a != b
-                a, b, score = a[keep], b[keep], scores[r, s][keep]
-                out.append(pd.DataFrame({"a": np.where(a < b, a, b), "b": np.where(a < b, b, a),
-                                         "similarity": score}))
+                r, s, a, b = r[keep], s[keep], a[keep], b[keep]
+                width = max(1, SCORE_CELLS // right.shape[1])
+                for i in range(0, len(r), width):
+                    score = _exact(left[at + r[i:i + width]], right[s[i:i + width]], "cosine")
+                    near = score >= threshold
+                    x, y = a[i:i + width][near], b[i:i + width][near]
+                    out.append(pd.DataFrame({"a": np.where(x < y, x, y), "b": np.where(x < y, y, x), "similarity": score[near]}))
         empty = pd.DataFrame({"a": part["cid"].iloc[:0], "b": part["cid"].iloc[:0], "similarity": []})
         return pd.concat(out, ignore_index=True) if out else empty
 
@@ -218,7 +246,7 @@ def similar_pairs_lsh(df: DataFrame, threshold: float = 0.7, id_col: str = "id",
     model = lsh.fit(unit)
     reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
     found = model.approxSimilarityJoin(unit, unit, reach, "distance")
-    similarity = F.round(1 - F.col("distance") * F.col("distance") / 2, DECIMALS)
+    similarity = 1 - F.col("distance") * F.col("distance") / 2
     return (found.select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"),
                          similarity.alias("similarity"))
             .where((F.col("a") < F.col("b")) & (F.col("similarity") >= threshold)))

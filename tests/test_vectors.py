@@ -21,14 +21,15 @@ def points(spark):
 def cosines(m):
     lengths = np.linalg.norm(m, axis=1, keepdims=True)
     u = np.divide(m, lengths, out=np.zeros_like(m), where=lengths > 0)
-    return np.round(u @ u.T, 6)
+    # element by element, so equal rows give equal scores
+    return (u[:, None] * u[None]).sum(2)
 
 
 @pytest.mark.parametrize("limits", [{}, {"broadcast_bytes": 100, "block_bytes": 1500}])
 @pytest.mark.parametrize("metric", similarity.METRICS)
 def test_nearest_equals_brute_force(points, limits, metric):
     m, df = points
-    score = cosines(m) if metric == "cosine" else np.round(((m[:, None] - m[None]) ** 2).sum(2), 6)
+    score = cosines(m) if metric == "cosine" else ((m[:, None] - m[None]) ** 2).sum(2)
     got = similarity.nearest(df, df, 4, metric=metric, **limits).collect()
     rows = {(r.query_id, r["rank"]): (r.id, r.score) for r in got}
     assert len(rows) == 120 * 4
@@ -39,6 +40,16 @@ def test_nearest_equals_brute_force(points, limits, metric):
         assert rows[(q, 1)][1] == pytest.approx(score[q, want[0]], abs=1e-6)
 
 
+@pytest.mark.parametrize("limits", [{}, {"broadcast_bytes": 100, "block_bytes": 1500}])
+def test_small_slices_and_near_rows(spark, monkeypatch, limits):
+    """Scores held at once are bounded whatever the limits, and distances far below the lengths are told apart."""
+    monkeypatch.setattr(similarity, "SCORE_CELLS", 50)
+    m = 1000 + np.array([[0, 0], [4e-4, 0], [3e-4, 0], [0, 0], [1, 1]] + [[i, -i] for i in range(5, 40)], float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id bigint, vector array<double>").repartition(3)
+    got = similarity.nearest(df.where("id = 0"), df, 4, metric="squared_l2", **limits).orderBy("rank").collect()
+    assert [r.id for r in got] == [0, 3, 2, 1] and got[3].score == pytest.approx(1.6e-7, rel=1e-6)
+
+
 def test_nearest_with_fewer_rows_than_asked(points):
     _, df = points
     few = df.where("id < 2")
@@ -53,7 +64,7 @@ def test_pairs_equal_brute_force(points, block_bytes):
     want = {(i, j) for i in range(120) for j in range(i + 1, 120) if c[i, j] >= 0.7}
     got = similarity.similar_pairs(df, 0.7, block_bytes=block_bytes).collect()
     assert len(got) == len(want) and {(r.a, r.b) for r in got} == want
-    assert all(r.similarity == c[r.a, r.b] for r in got)
+    assert all(r.similarity == pytest.approx(c[r.a, r.b]) for r in got)
 
 
 def test_hashed_pairs_are_true_pairs(points):
