@@ -10,6 +10,7 @@ tail of each partition is left over; it is cut into sequences of powers of two,
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ BUCKETS = 256
 DIMENSIONS = 4
 BITS = 8
 #: ids by word that a Python worker keeps; the cache starts anew beyond
-CACHE_WORDS = 150_000
+CACHE_WORDS = 400_000
 #: sequence ids of a partition start at its number times this
 PER_PARTITION = 1 << 40
 
@@ -74,30 +75,53 @@ def curve_keys(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class WordIds(dict):
-    """Token ids by word as packed bytes. The tokenizer drops white space, so words are independent."""
+    """Token ids by word as packed bytes. The tokenizer drops white space, so words are independent.
+
+    A new word of Latin-1 characters is split by the tokenizer's pattern here, and only its new parts go
+    to the tokenizer's model, as a whole call costs several times as much; every other word is encoded whole.
+    """
+
+    #: the tokenizer's pattern for lower-case Latin-1 without spaces: contractions, letters, a digit, the rest
+    LETTERS, DIGITS = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe"
+    PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^\x85\xa0{LETTERS}{DIGITS}]+")
+    LATIN = re.compile(r"[\x00-\xff]*")
 
     def __init__(self, path: str):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-
-    def learn(self, words: set[str]) -> None:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        new = [w for w in words if w not in self]
-        for at in range(0, len(new), 4096):
-            some = new[at:at + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                self[w] = np.array(e.ids, self.dtype).tobytes()
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.parts: dict[str, bytes] = {}
+        shown = ByteLevel(add_prefix_space=False, use_regex=False)
+        # how the model writes the bytes of the Latin-1 characters
+        self.written = {c: "".join(x for x, _ in shown.pre_tokenize_str(chr(c))) for c in range(256)}
+
+    def __missing__(self, word: str) -> bytes:
+        if self.LATIN.fullmatch(word) and not any(s in word for s in self.specials):
+            ids = b"".join(map(self._part, self.PARTS.findall(word.lower())))
+        else:
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
+        self[word] = ids
+        return ids
+
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            ids = np.array([t.id for t in self.model.tokenize(part.translate(self.written))], self.dtype).tobytes()
+            self.parts[part] = ids
+        return ids
 
     def of(self, texts: list[str | None], end: int) -> list[bytes]:
-        words = [WORD.findall(t) if t else [] for t in texts]
-        self.learn(set().union(*words))
+        for known in (self, self.parts):
+            if len(known) > CACHE_WORDS:
+                known.clear()
         last = np.array([end], self.dtype).tobytes()
-        return [b"".join(map(self.__getitem__, w)) + last for w in words]
+        return [b"".join(map(self.__getitem__, WORD.findall(t))) + last if t else last for t in texts]
 
 
 _loaded: dict[str, WordIds] = {}
