@@ -85,7 +85,8 @@ def remove_spread_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     gone = gone.groupBy(F.col("row_key").alias("_row_key")).agg(F.sort_array(F.collect_set("line_no")).alias("_gone"))
     gone = materialise(gone, "gone")
     keyed = docs.select(*columns).withColumn("_row_key", F.xxhash64(F.col(doc_id), F.col(text)))
-    out = keyed.join(gone, "_row_key", "left")
+    # the list grows with the corpus: sent to all executors while it is small, it would change the plan with the size
+    out = keyed.join(gone.hint("merge"), "_row_key", "left")
     cleaned = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains("_gone", i)), "\n")
     new_text = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(cleaned)
     return out.select(*(new_text.alias(c) if c == text else F.col(c) for c in columns),
