@@ -88,6 +88,17 @@ def library_update(spark, sf_dir):
     return lib.update_status(library(spark, sf_dir), updates).select("id", "status", "execution_time", "error_message")
 
 
+@query(f"""WITH {LIBRARY} SELECT id, CASE WHEN vec_id % 2 = 0 THEN 'FAILURE' ELSE status END AS status,
+CASE WHEN vec_id % 2 = 0 THEN 2.0 ELSE execution_time END AS execution_time FROM lib""")
+def library_update_repeated(spark, sf_dir):
+    """Each second entry is updated three times; the latest counts, and no entry is multiplied."""
+    even = library(spark, sf_dir).where(F.pmod(F.regexp_extract("script_content", r"(\d+)$", 1).cast("bigint"), F.lit(2)) == 0)
+    times = F.explode(F.array(*[F.struct(F.lit(at).alias("updated_at"), F.lit(s).alias("status"), F.lit(float(at)).alias("execution_time"))
+                                for at, s in ((1, "SUCCESS"), (2, "FAILURE"), (0, "PENDING"))]))
+    updates = even.select("id", times.alias("u")).select("id", "u.*")
+    return lib.update_status(library(spark, sf_dir), updates).select("id", "status", "execution_time")
+
+
 @query(f"WITH {LIBRARY} SELECT id FROM lib WHERE vec_id % 3 <> 1")
 def library_delete(spark, sf_dir):
     whole = library(spark, sf_dir)

@@ -240,7 +240,7 @@ PART_TEXTS = ["p_name", "brand", "symbol", "p_type"]
     round(avg(CASE WHEN regexp_matches({c}, '\\d') THEN 1.0 ELSE 0.0 END), 9) AS digit_share,
     round(avg(CASE WHEN regexp_matches({c}, '[^A-Za-z0-9\\s]') THEN 1.0 ELSE 0.0 END), 9) AS special_share,
     round(avg(CASE WHEN regexp_matches({c}, '^[A-Z][A-Z0-9]{{1,10}}$') THEN 1.0 ELSE 0.0 END), 9) AS symbol_share
-    FROM (SELECT {c} FROM part0 WHERE {c} IS NOT NULL ORDER BY row_id LIMIT 100)""" for i, c in enumerate(PART_TEXTS)))
+    FROM (SELECT {c} FROM part0 WHERE {c} IS NOT NULL)""" for i, c in enumerate(PART_TEXTS)))
 def text_facts(spark, sf_dir):
     names = ["mean_length", "upper_share", "digit_share", "special_share", "symbol_share"]
     facts = fp.column_facts(_part(spark, sf_dir)).select("position", *names)
@@ -295,7 +295,7 @@ def number_tokens(spark, sf_dir):
        avg(CASE WHEN regexp_matches({c}, '\\d') THEN 1.0 ELSE 0.0 END) AS dg,
        avg(CASE WHEN regexp_matches({c}, '[^A-Za-z0-9\\s]') THEN 1.0 ELSE 0.0 END) AS sp,
        avg(CASE WHEN regexp_matches({c}, '^[A-Z][A-Z0-9]{{1,10}}$') THEN 1.0 ELSE 0.0 END) AS sy
-     FROM (SELECT {c} FROM part0 WHERE {c} IS NOT NULL ORDER BY row_id LIMIT 100))""" for i, c in enumerate(PART_TEXTS))
+     FROM (SELECT {c} FROM part0 WHERE {c} IS NOT NULL))""" for i, c in enumerate(PART_TEXTS))
     + f"""), t AS (SELECT c, i, list_concat(list_filter(['STRING', {_null_sql('nr')}, {_card_sql('ur')},
   CASE WHEN ml < 5 THEN 'SHORT_STR' WHEN ml < 20 THEN 'MED_STR' ELSE 'LONG_STR' END,
   CASE WHEN up > 0.8 THEN 'UPPERCASE' WHEN up < 0.2 THEN 'LOWERCASE' ELSE 'MIXEDCASE' END,
@@ -324,7 +324,7 @@ def table_shape(spark, sf_dir):
 
 def fingerprint_lineitem(spark, sf_dir):
     """The whole fingerprint of one table; its parts have SQL of their own."""
-    return fp.fingerprint(table(spark, sf_dir, "lineitem"), key="l_orderkey")
+    return fp.fingerprint(table(spark, sf_dir, "lineitem"), key="")
 
 
 query()(fingerprint_lineitem)

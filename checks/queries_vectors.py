@@ -140,7 +140,7 @@ round(list_cosine_similarity(v, list_reverse(v)), 6) AS cosine, round(pow(list_d
 def vector_functions(spark, sf_dir):
     v, r = F.col("vector"), F.reverse("vector")
     return _vectors(spark, sf_dir).select(
-        "id", F.size(v).alias("dims"), (vectors.fit_length(v, 3)[0] + vectors.fit_length(v, 3)[2] * 10).alias("first_three"), F.round(vectors.dot(v, v), 6).alias("own"),
+        "id", F.size(v).alias("dims"), (vectors.fit_length(v, 3, cut=True)[0] + vectors.fit_length(v, 3, cut=True)[2] * 10).alias("first_three"), F.round(vectors.dot(v, v), 6).alias("own"),
         F.round(vectors.cosine(v, r), 6).alias("cosine"), F.round(vectors.squared_l2(v, r), 6).alias("squared"))
 
 

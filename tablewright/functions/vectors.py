@@ -7,10 +7,13 @@ from pyspark.sql import Column, functions as F
 VECTOR_SIZE = 1000
 
 
-def fit_length(v: Column, n: int = VECTOR_SIZE) -> Column:
-    """Pad with zeros or cut to ``n`` elements; NULL becomes the zero vector."""
+def fit_length(v: Column, n: int = VECTOR_SIZE, cut: bool = False) -> Column:
+    """Pad with zeros to ``n`` elements; NULL becomes the zero vector. Longer vectors are an error, or cut on request."""
     zeros = F.array_repeat(F.lit(0.0), n)
-    return F.when(v.isNull(), zeros).otherwise(F.slice(F.concat(v, zeros), 1, n))
+    padded = F.slice(F.concat(v, zeros), 1, n)
+    if not cut:
+        padded = F.when(F.size(v) > n, F.raise_error(F.format_string(f"a vector of %d elements does not fit {n}", F.size(v))).cast("array<double>")).otherwise(padded)
+    return F.when(v.isNull(), zeros).otherwise(padded)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -7,8 +7,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tablewright.operators.clean import quoted
 from tablewright.plans.schema import ROW_ID
 
-TEXT_LIMIT = 50_000
-
 
 def row_blocks(df: DataFrame, n: int = 20, key: str = ROW_ID) -> DataFrame:
     """(position, block): the first n rows as "Row i:" with one "  key: value" line per column."""
@@ -36,8 +34,10 @@ def table_text(df: DataFrame, n: int = 20, key: str = ROW_ID) -> DataFrame:
         F.concat(F.lit(head), "body", more)).alias("text"))
 
 
-def cut_text(c: Column, limit: int = TEXT_LIMIT) -> Column:
-    """Long texts cut for display, with a note of their full length."""
+def cut_text(c: Column, limit: int | None = None) -> Column:
+    """Texts longer than ``limit`` cut for display, with a note of their full length; no limit, no cut."""
+    if limit is None:
+        return c
     note = F.format_string("\n\n... (file truncated, %d total chars)", F.length(c))
     return F.when(F.length(c) > limit, F.concat(F.substring(c, 1, limit), note)).otherwise(c)
 

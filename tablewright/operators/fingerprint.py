@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from tablewright.functions.text import matches_from_start
 from tablewright.operators.clean import quoted
 from tablewright.plans.schema import ROW_ID
+from tablewright.session import materialise
 
 # Substrings of column names and the name token they give.
 NAME_WORDS = {
@@ -20,7 +21,6 @@ NAME_WORDS = {
     "EXPRESSION": ["expr", "expression", "level", "count", "fpkm", "tpm", "rpkm"],
     "SAMPLE": ["sample", "patient", "subject", "case"],
 }
-SAMPLE_ROWS = 100
 ONE_TABLE = "table"
 
 
@@ -69,11 +69,11 @@ def _columns(df: DataFrame, by: list[str], key: str) -> list[str]:
     return [c for c in df.columns if c != key and c not in by]
 
 
-def column_facts(df: DataFrame, by: list[str] | None = None, key: str = ROW_ID) -> DataFrame:
-    """Measured facts per (by, column): counts, distinct values, moments, lengths, shares of the sample.
+def column_facts(df: DataFrame, by: list[str] | None = None, key: str = ROW_ID, sample_rows: int | None = None) -> DataFrame:
+    """Measured facts per (by, column): counts, distinct values, moments, lengths, shares of the texts.
 
-    The string shares look at the first 100 non-null values in key order; without a key column
-    they look at all values.
+    The shares look at all texts. With ``sample_rows`` they look at that many non-null texts from the
+    start, in the order of ``key``, which then has to be there.
     """
     by = list(by or [])
     names = _columns(df, by, key)
@@ -88,24 +88,15 @@ def column_facts(df: DataFrame, by: list[str] | None = None, key: str = ROW_ID)
         # Spark's skewness is the biased one; this is the bias-corrected estimate
         F.when(nx > 2, F.skewness(x) * F.sqrt(nx * (nx - 1)) / (nx - 2)).alias("skew"),
         F.avg((x < 0.05).cast("double")).alias("small_share"),
-        F.avg(F.length(t)).alias("mean_length"))
+        F.avg(F.length(t)).alias("mean_length"), *([] if sample_rows else _text_shares(t)))
     filled = long.where(x.isNotNull() | s.isNotNull())
     distinct = (filled.groupBy(*group, "x", "s").agg(F.lit(1).alias("seen"))
                 .groupBy(*group).agg(F.count(F.lit(1)).alias("distinct_values")))
-    texts = long.where(t.isNotNull())
-    if key in df.columns:
+    facts = stats.join(distinct, group, "left")
+    if sample_rows:
         order = Window.partitionBy(*group).orderBy(key)
-        texts = texts.withColumn("at", F.row_number().over(order)).where(F.col("at") <= SAMPLE_ROWS)
-
-    def share(test: Column) -> Column:
-        return F.avg(test.cast("double"))
-
-    sample = texts.groupBy(*group).agg(
-        share((t == F.upper(t)) & (t != F.lower(t))).alias("upper_share"),
-        share(t.rlike(r"\d")).alias("digit_share"),
-        share(t.rlike(r"[^A-Za-z0-9\s]")).alias("special_share"),
-        share(matches_from_start(t, r"^[A-Z][A-Z0-9]{1,10}$")).alias("symbol_share"))
-    facts = stats.join(distinct, group, "left").join(sample, group, "left")
+        first = long.where(t.isNotNull()).withColumn("at", F.row_number().over(order)).where(F.col("at") <= sample_rows)
+        facts = facts.join(first.groupBy(*group).agg(*_text_shares(t)), group, "left")
     labels = F.create_map(*[v for i, c in enumerate(names) for v in (F.lit(i), F.lit(c))])
     kinds = F.create_map(*[v for i, c in enumerate(names)
                            for v in (F.lit(i), F.lit(kind_of(df.schema[c].dataType)))])
@@ -122,6 +113,13 @@ def column_facts(df: DataFrame, by: list[str] | None = None, key: str = ROW_ID)
         "upper_share", "digit_share", "special_share", "symbol_share")
 
 
+def _text_shares(t: Column) -> list[Column]:
+    """Shares of the non-null texts."""
+    tests = {"upper_share": (t == F.upper(t)) & (t != F.lower(t)), "digit_share": t.rlike(r"\d"),
+             "special_share": t.rlike(r"[^A-Za-z0-9\s]"), "symbol_share": matches_from_start(t, r"^[A-Z][A-Z0-9]{1,10}$")}
+    return [F.avg(test.cast("double")).alias(name) for name, test in tests.items()]
+
+
 def null_token(ratio: Column) -> Column:
     return (F.when(ratio == 0, "NO_NULLS").when(ratio < 0.1, "FEW_NULLS")
             .when(ratio < 0.5, "SOME_NULLS").otherwise("MANY_NULLS"))
@@ -215,7 +213,8 @@ def fingerprint(df: DataFrame, by: list[str] | None = None, key: str = ROW_ID) -
     The gathered list has a few tokens per column, never anything per row.
     """
     by = list(by or [])
-    facts = column_facts(df, by, key)
+    # a row per column; both kinds of tokens read it
+    facts = materialise(column_facts(df, by, key), "facts")
     names = _columns(df, by, key)
     per_column = column_tokens(facts, names, by).select(*by, "position", "tokens")
     overall = table_tokens(facts, by).select(*by, F.lit(len(names)).alias("position"), "tokens")

@@ -7,30 +7,32 @@ Versions are never changed, so a reader is not disturbed and a failed write leav
 from __future__ import annotations
 
 import re
+import time
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tablewright.functions.text import head_with_dots
 from tablewright.functions.vectors import VECTOR_SIZE, fit_length
 from tablewright.operators.clean import quoted
 from tablewright.operators.similarity import nearest
 from tablewright.sources import archives
-from tablewright.sources.paths import child_names, path_exists
+from tablewright.sources.paths import child_names, claim, delete_path, path_exists
 
 LIBRARY_SCHEMA = (
     "id string, script_content string, status string, error_type string, source_file string, "
     "created_at string, execution_time double, error_message string, token_count int, "
     "fingerprint_tokens string, vector array<double>, vocab_id string")
 STATUSES = ["SUCCESS", "FAILURE", "PENDING"]
-STORED_TOKENS = 100
 _COLUMNS = [c.strip().split(" ")[0] for c in LIBRARY_SCHEMA.split(", ")]
 
 
-def entries(attempts: DataFrame, size: int = VECTOR_SIZE) -> DataFrame:
+def entries(attempts: DataFrame, size: int = VECTOR_SIZE, stored_tokens: int | None = None) -> DataFrame:
     """Library rows from attempts.
 
     Needs ``script_content``, ``status``, ``error_type``, ``source_file`` and ``tokens``; the rest is
-    filled in: the id from the content, the vector padded or cut to ``size``, the first 100 tokens.
+    filled in: the id from the content, the vector padded to ``size``. All tokens are stored, as vectors
+    are made anew from them after a refit, unless ``stored_tokens`` limits them.
     """
     have = set(attempts.columns)
 
@@ -50,7 +52,7 @@ def entries(attempts: DataFrame, size: int = VECTOR_SIZE) -> DataFrame:
         given("execution_time", F.lit(0.0)).alias("execution_time"),
         given("error_message", F.lit("")).alias("error_message"),
         F.size(tokens).alias("token_count"),
-        F.array_join(F.slice(tokens, 1, STORED_TOKENS), " ").alias("fingerprint_tokens"),
+        F.array_join(F.slice(tokens, 1, stored_tokens) if stored_tokens else tokens, " ").alias("fingerprint_tokens"),
         vector.alias("vector"), given("vocab_id", F.lit("")).alias("vocab_id"))
 
 
@@ -66,14 +68,23 @@ def add_new(library: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def only_new(library: DataFrame, new: DataFrame) -> DataFrame:
-    return new.dropDuplicates(["id"]).join(library.select("id"), "id", "left_anti")
+    """Rows of unknown ids; of several with one id the newest, ties by content."""
+    order = Window.partitionBy("id").orderBy(F.desc("created_at"), "script_content", "status") if "created_at" in new.columns \
+        else Window.partitionBy("id").orderBy(*[c for c in new.columns if c != "id"])
+    one = new.withColumn("__order", F.row_number().over(order)).where("__order = 1").drop("__order")
+    return one.join(library.select("id"), "id", "left_anti")
 
 
 def update_status(library: DataFrame, updates: DataFrame) -> DataFrame:
-    """Rows of ``updates`` (id, status, execution_time, error_message) change their entries; NULL keeps."""
+    """Rows of ``updates`` (id, status, execution_time, error_message) change their entries; NULL keeps.
+
+    Of several updates of an entry the last counts: by ``updated_at`` where there is one, ties by value.
+    """
     have = set(updates.columns)
     fields = [c for c in ("status", "execution_time", "error_message") if c in have]
-    u = updates.select("id", *[F.col(c).alias(f"__{c}") for c in fields])
+    order = [F.col("updated_at")] if "updated_at" in have else []
+    last = updates.groupBy("id").agg(F.max(F.struct(*order, *[F.col(c).alias(f"__{c}") for c in fields])).alias("__last"))
+    u = last.select("id", *[F.col(f"__last.__{c}").alias(f"__{c}") for c in fields])
     joined = library.join(u, "id", "left")
     return joined.select(*[
         F.coalesce(f"__{c}", quoted(c)).alias(c) if c in fields else quoted(c) for c in library.columns])
@@ -202,33 +213,59 @@ class FixLibrary:
             return self.spark.createDataFrame([], LIBRARY_SCHEMA)
         return self.spark.read.schema(LIBRARY_SCHEMA).parquet(*[f"{self.root}/{p}" for p in parts])
 
-    def _write(self, rows: DataFrame, kind: str) -> int:
-        known = self.versions()
-        version = known[-1] + 1 if known else 1
-        rows.select(*_COLUMNS).write.mode("overwrite").parquet(f"{self.root}/v{version:08d}-{kind}")
-        return version
+    def _commit(self, make: Callable[[DataFrame], DataFrame], kind: str) -> int:
+        """Write ``make(newest state)`` as the next version.
+
+        A version number is claimed before writing by a file that can be made only once. Whoever finds it
+        claimed starts again from the newer state, so no writer overwrites another's rows.
+        """
+        claimed = -1
+        for _ in range(1000):
+            known = self.versions()
+            version = max(known[-1] if known else 0, claimed) + 1
+            if not claim(self.spark, f"{self.root}/v{version:08d}-claim"):
+                # taken: finished by now, still being written, or left by a writer that died
+                claimed = version if version not in self.versions() and self._abandoned(version) else -1
+                continue
+            try:
+                rows = make(self.read(version - 1))
+                rows.select(*_COLUMNS).write.mode("errorifexists").parquet(f"{self.root}/v{version:08d}-{kind}")
+            except BaseException:
+                delete_path(self.spark, f"{self.root}/v{version:08d}-claim")
+                raise
+            return version
+        raise RuntimeError(f"no version of {self.root} could be claimed")
+
+    def _abandoned(self, version: int, patience: float = 600.0) -> bool:
+        """Wait for the writer of a claimed version; true if it does not finish in time."""
+        end = time.time() + patience
+        while time.time() < end:
+            if version in self.versions():
+                return False
+            time.sleep(0.2)
+        return True
 
     def write(self, library: DataFrame) -> int:
         """A new full version."""
-        return self._write(library, "full")
+        return self._commit(lambda _: library, "full")
 
     def add(self, attempts: DataFrame) -> int:
-        return self._write(only_new(self.read(), entries(attempts)), "add")
+        return self._commit(lambda known: only_new(known, entries(attempts)), "add")
 
     def import_rows(self, rows: DataFrame) -> int:
         """Add unknown entries; returns how many were new."""
-        version = self._write(only_new(self.read(), rows.select(*_COLUMNS)), "add")
+        version = self._commit(lambda known: only_new(known, rows.select(*_COLUMNS)), "add")
         return self.spark.read.parquet(f"{self.root}/v{version:08d}-add").count()
 
     def update(self, updates: DataFrame) -> int:
-        return self.write(update_status(self.read(), updates))
+        return self._commit(lambda known: update_status(known, updates), "full")
 
     def delete(self, ids: DataFrame) -> int:
-        return self.write(delete(self.read(), ids))
+        return self._commit(lambda known: delete(known, ids), "full")
 
     def compact(self) -> int:
         """Fold the additions into one full version."""
-        return self.write(self.read())
+        return self._commit(lambda known: known, "full")
 
     def clear(self) -> int:
         return self.write(self.spark.createDataFrame([], LIBRARY_SCHEMA))

@@ -80,8 +80,8 @@ def numeric_describe(df: DataFrame, columns: list[str] | None = None) -> DataFra
              "q75 double, max double")
 
 
-def top_values(df: DataFrame, columns: list[str] | None = None, k: int = 3, max_columns: int = 10) -> DataFrame:
-    """(column, value, n, rank): the most frequent values of the first non-numeric columns."""
+def top_values(df: DataFrame, columns: list[str] | None = None, k: int = 3, max_columns: int | None = None) -> DataFrame:
+    """(column, value, n, rank): the most frequent values of the non-numeric columns, or of the first ``max_columns``."""
     numeric = set(quantiles.numeric_columns(df))
     names = columns or [c for c in data_columns(df) if c not in numeric][:max_columns]
     order = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("value"))

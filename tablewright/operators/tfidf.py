@@ -14,7 +14,7 @@ from dataclasses import asdict, dataclass
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 from tablewright.functions.vectors import fit_length
 from tablewright.operators.fingerprint import fingerprint
@@ -48,7 +48,7 @@ def term_statistics(terms: DataFrame, terms_col: str = "__terms") -> DataFrame:
     Sorting a text's own terms marks first occurrences, so both numbers come from one shuffle,
     merged before it; a term found everywhere is no hot key.
     """
-    ordered = terms.select(F.array_sort(terms_col).alias("t"))
+    ordered = terms.select(F.sort_array(terms_col).alias("t"))
     t = F.col("t")
     marked = ordered.select(F.explode(F.transform(
         t, lambda x, i: F.struct(x.alias("term"), F.when(i == 0, F.lit(True))
@@ -107,22 +107,25 @@ class TfidfModel:
 
     def weights(self, df: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
         """(keys, term, weight) of the non-zero entries."""
-        dense = self.transform_dense(df.select(*keys, text_col), text_col, "v")
-        entries = F.filter(F.transform("v", lambda x, i: F.struct(i.alias("position"), x.alias("weight"))),
-                           lambda e: e["weight"] != 0)
-        vocabulary = self.vocabulary(df.sparkSession).select("position", "term")
-        return (dense.select(*keys, F.inline(entries))
-                .join(F.broadcast(vocabulary), "position").select(*keys, "term", "weight"))
+        terms = with_terms(df.select(*keys, text_col), text_col, "__terms", self.low, self.high)
+        vocabulary = self.vocabulary(df.sparkSession).select("term", "idf")  # at most max_features rows
+        found = terms.select(*keys, F.explode("__terms").alias("term")).join(F.broadcast(vocabulary), "term")
+        # a text's own terms are counted where the text is; one shuffle by text gives the norm
+        counted = found.groupBy(*keys, "term").agg((F.count(F.lit(1)) * F.first("idf")).alias("x"))
+        norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(*keys)))
+        return counted.select(*keys, "term", (F.col("x") / norm).alias("weight"))
 
 
 
 def fit(df: DataFrame, text_col: str, max_features: int = MAX_FEATURES, low: int = 1, high: int = 2) -> TfidfModel:
     """Most frequent terms over all texts (ties by term), at most ``max_features`` reach the driver."""
-    stats = term_statistics(with_terms(df.select(text_col), text_col, "__terms", low, high))
+    texts = Observation("texts")
+    seen = df.select(text_col).observe(texts, F.count(F.lit(1)).alias("n"))
+    stats = term_statistics(with_terms(seen, text_col, "__terms", low, high))
     chosen = stats.orderBy(F.col("total").desc(), "term").limit(max_features).collect()
     chosen.sort(key=lambda r: r.term)
     return TfidfModel([r.term for r in chosen], [r.total for r in chosen], [r.documents for r in chosen],
-                      df.count(), low, high)
+                      texts.get["n"], low, high)
 
 
 def fit_transform(df: DataFrame, text_col: str, out: str = "vector", **options) -> tuple[TfidfModel, DataFrame]:

@@ -29,7 +29,8 @@ def variant_changes(df: DataFrame, grid: list[tuple[int, float, int]], settings:
 def variant_fingerprints(df: DataFrame, grid: list[tuple[int, float, int]], settings: noise.NoiseSettings,
                          key: str = ROW_ID) -> DataFrame:
     """(variant, tokens, token_string)."""
-    return fp.fingerprint(noisy_variants(df, grid, settings, key), by=["variant"], key=key)
+    # written once: the facts look at the variants more than once
+    return fp.fingerprint(materialise(noisy_variants(df, grid, settings, key), "variants"), by=["variant"], key=key)
 
 
 def noise_sweep(df: DataFrame, grid: list[tuple[int, float, int]], settings: noise.NoiseSettings,
@@ -38,7 +39,7 @@ def noise_sweep(df: DataFrame, grid: list[tuple[int, float, int]], settings: noi
 
     Variants share all jobs: rows are multiplied by the grid, then reduced to one row per variant.
     """
-    prints = materialise(variant_fingerprints(df, grid, settings, key), "fingerprints")
+    prints = variant_fingerprints(df, grid, settings, key)
     model, vectors = tfidf.fit_transform(prints, "token_string")
     first_kind = settings.kinds[0] if settings.kinds else "mixed"
     labels = df.sparkSession.createDataFrame(

@@ -41,6 +41,13 @@ def tree_size(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(hpath).getLength() if fs.exists(hpath) else 0
 
 
+def claim(spark: SparkSession, path: str) -> bool:
+    """Make an empty file; false when it is there already."""
+    fs, hpath = _fs_and_path(spark, path)
+    fs.mkdirs(hpath.getParent())
+    return fs.createNewFile(hpath)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small file of metadata, written from the driver."""
     fs, hpath = _fs_and_path(spark, path)

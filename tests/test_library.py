@@ -16,7 +16,8 @@ def attempts(spark, n=6):
 def test_entries_are_padded_and_cut(spark):
     row = lib.entries(attempts(spark)).where("script_content = 's3'").first()
     assert len(row.vector) == 1000 and row.vector[:3] == [3.0, 1.0, 0.0]
-    assert row.token_count == 120 and len(row.fingerprint_tokens.split()) == 100
+    assert row.token_count == 120 and len(row.fingerprint_tokens.split()) == 120
+    assert len(lib.entries(attempts(spark), stored_tokens=100).where("script_content = 's3'").first().fingerprint_tokens.split()) == 100
     bare = attempts(spark).drop("vector")
     assert set(lib.entries(bare).first().vector) == {0.0}
 
@@ -82,3 +83,18 @@ def test_unfinished_versions_are_not_read(spark):
     assert store.versions() == [1] and store.read().count() == 6
 
 
+
+
+def test_two_writers_lose_nothing(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = lib.FixLibrary(spark, scratch_path(spark, "lib"))
+    store.import_rows(lib.entries(attempts(spark)).withColumn("id", F.col("script_content")))
+
+    def change(i):
+        return store.update(spark.createDataFrame([(f"s{i}", f"BY{i}")], "id string, status string"))
+
+    with ThreadPoolExecutor(3) as pool:
+        versions = list(pool.map(change, range(3)))
+    assert sorted(versions) == [2, 3, 4]
+    assert {r.id: r.status for r in store.read().collect() if r.status.startswith("BY")} == {f"s{i}": f"BY{i}" for i in range(3)}

@@ -17,6 +17,19 @@ def test_quantiles_equal_numpy(spark):
         assert got[name] == pytest.approx(np.quantile(values, probs), abs=1e-12)
 
 
+def test_quantiles_by_many_rounds(spark, monkeypatch):
+    """Coarse sketches and tiny final ranges: ties, infinities and bad brackets still give the exact values."""
+    monkeypatch.setattr(quantiles, "FINISH_ROWS", 3)
+    monkeypatch.setattr(quantiles, "SKETCH_ACCURACY", 20)
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.integers(0, 30, 500), rng.normal(10, 3, 500), [5.0] * 200, [-np.inf] * 20, [np.inf] * 20])
+    df = spark.createDataFrame([(float(v),) for v in rng.permutation(x)], "x double").repartition(5)
+    probs = [0.0, 0.3, 0.5, 0.77, 1.0]
+    want = [float(v) for v in np.quantile(x, probs, method="lower")]
+    low = quantiles._order_statistics(df, {("x", int(np.floor(q * (len(x) - 1)))): (7.0, 7.0) for q in probs}, {"x": len(x)})
+    assert [low["x", int(np.floor(q * (len(x) - 1)))] for q in probs] == want
+
+
 def test_a_missed_bracket_is_widened(spark):
     df = spark.range(100).select(F.col("id").cast("double").alias("x"))
     wrong = {"x": (100, [0.0, 1.0])}
@@ -90,7 +103,8 @@ def test_whole_fingerprint(spark):
         "DF_SMALL_ROWS", "DF_FEW_COLS", "DF_MIXED_TYPES", "DF_MANY_MISSING"]
 
 
-def test_string_shares_use_the_first_hundred_rows(spark):
+def test_string_shares_use_all_rows_or_the_first(spark):
     rows = [(i, "UP" if i < 100 else "down") for i in range(1000)]
     df = spark.createDataFrame(rows, "row_id bigint, s string").repartition(6)
-    assert fp.column_facts(df).first().upper_share == 1.0
+    assert fp.column_facts(df).first().upper_share == 0.1
+    assert fp.column_facts(df, sample_rows=100).first().upper_share == 1.0
