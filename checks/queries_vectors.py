@@ -174,3 +174,22 @@ def map_box(spark, sf_dir):
 
 for _fn in (principal_axes, similarity_map, map_box):
     query()(_fn)
+
+
+@query(f"""WITH {LIBRARY}, near AS (SELECT a.id, b.id AS other FROM lib a JOIN lib b ON a.id <> b.id AND list_cosine_similarity(a.vector, b.vector) >= {LOW}),
+linked AS (SELECT id, string_agg(other, ',' ORDER BY other) AS connections FROM near GROUP BY id)
+SELECT lib.id, error_type AS label, status, 'COL_0_INT DF_CLEAN' AS tokens, coalesce(connections, '') AS connections FROM lib LEFT JOIN linked USING (id)""")
+def similarity_map_links(spark, sf_dir):
+    """What the nodes of the map say, positions aside."""
+    nodes, _ = graph.build_map(library(spark, sf_dir), LOW)
+    return nodes.select("id", "label", "status", F.array_join("tokens", " ").alias("tokens"), F.array_join("connections", ",").alias("connections"))
+
+
+@query("SELECT count(*) AS nodes, -200.0::DOUBLE AS low, 200.0::DOUBLE AS high, true AS centred, true AS ordered FROM embeddings")
+def map_properties(spark, sf_dir):
+    """Positions fill the square, share one centre, and the first axis carries most."""
+    nodes, _ = graph.build_map(library(spark, sf_dir), LOW)
+    return nodes.agg(
+        F.count(F.lit(1)).alias("nodes"), F.round(F.least(F.min("x"), F.min("y")), 6).alias("low"),
+        F.round(F.greatest(F.max("x"), F.max("y")), 6).alias("high"),
+        (F.abs(F.avg("x") - F.avg("y")) < 1e-6).alias("centred"), (F.var_pop("x") >= F.var_pop("y")).alias("ordered"))

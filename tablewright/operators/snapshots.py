@@ -15,6 +15,10 @@ MANIFEST_SCHEMA = ("id string, stage string, timestamp timestamp, metadata strin
                    "rows bigint, columns int")
 
 
+#: names, in the metadata of a snapshot, the stage and id whose data it shares
+DATA_OF = "data_of"
+
+
 class SnapshotStore:
     """Snapshots below a root folder."""
 
@@ -22,6 +26,15 @@ class SnapshotStore:
         self.spark = spark
         self.root = root.rstrip("/")
 
+    def refer(self, stage: str, to: str, metadata: dict | None = None) -> str:
+        """A snapshot whose data is that of an earlier one; nothing is written again."""
+        known = self.manifest().where(F.col("id") == to).first()
+        if known is None:
+            raise ValueError(f"unknown snapshot {to!r}")
+        owner = json.loads(known.metadata).get(DATA_OF, f"{known.stage}/{to}")
+        return self._note(stage, datetime.now(timezone.utc), (metadata or {}) | {DATA_OF: owner},
+                          known.has_data, known.rows, known["columns"])
+
     def create(self, stage: str, df: DataFrame | None = None, metadata: dict | None = None) -> str:
         """Write a snapshot and its manifest row; the data is complete before the row appears."""
         if stage not in STAGES:
@@ -33,8 +46,13 @@ class SnapshotStore:
             path = self._data_path(stage, snapshot_id)
             df.write.parquet(path)
             rows = self.spark.read.parquet(path).count()  # footers only
-        line = [(snapshot_id, stage, now, json.dumps(metadata or {}), df is not None, rows,
-                 len(df.columns) if df is not None else None)]
+        return self._note(stage, now, metadata or {}, df is not None, rows, len(df.columns) if df is not None else None)
+
+    def _note(self, stage: str, now: datetime, metadata: dict, has_data: bool, rows: int | None, columns: int | None) -> str:
+        if stage not in STAGES:
+            raise ValueError(f"unknown stage {stage!r}")
+        snapshot_id = now.strftime("%Y%m%d_%H%M%S_%f")
+        line = [(snapshot_id, stage, now, json.dumps(metadata), has_data, rows, columns)]
         self.spark.createDataFrame(line, MANIFEST_SCHEMA).coalesce(1).write.mode("append").parquet(self._manifest)
         return snapshot_id
 
@@ -66,7 +84,8 @@ class SnapshotStore:
             return None
         info = row.asDict()
         info["metadata"] = json.loads(info["metadata"])
-        data = self.spark.read.parquet(self._data_path(row.stage, row.id)) if row.has_data else None
+        stage, owner = info["metadata"].get(DATA_OF, f"{row.stage}/{row.id}").split("/")
+        data = self.spark.read.parquet(self._data_path(stage, owner)) if row.has_data else None
         return info, data
 
     def totals(self) -> dict:

@@ -233,9 +233,12 @@ def run(df: DataFrame, schema: TargetSchema, fixes: dict[str, Callable[[DataFram
 
     Execution errors do not count as attempts; there are at most twice ``max_attempts`` rounds.
     """
-    def keep(stage: str, table: DataFrame, **facts) -> None:
+    held: dict[str, str] = {}  # the snapshot that already has the current table
+
+    def keep(stage: str, table: DataFrame | None = None, **facts) -> None:
+        """A snapshot of a new table, or one that refers to the data of the last."""
         if snapshots is not None:
-            snapshots.create(stage, table, facts)
+            held["id"] = snapshots.refer(stage, held["id"], facts) if table is None else snapshots.create(stage, table, facts)
 
     keep("preprocessing", df, action="before_preprocessing")
     prepared = preprocess(df, schema, transforms=False)
@@ -244,7 +247,7 @@ def run(df: DataFrame, schema: TargetSchema, fixes: dict[str, Callable[[DataFram
         current = materialise(current, "projected")
     keep("preprocessing", current, action="after_preprocessing")
     diagnosis = rule_diagnosis(prepared.issues, min_severity)
-    keep("diagnosing", current, action="after_diagnosis", is_valid=diagnosis.is_valid)
+    keep("diagnosing", action="after_diagnosis", is_valid=diagnosis.is_valid)
     outcome = Outcome(current, diagnosis.is_valid, prepared, diagnosis)
     if diagnosis.is_valid or not auto_fix or not fixes:
         return outcome
@@ -267,7 +270,7 @@ def run(df: DataFrame, schema: TargetSchema, fixes: dict[str, Callable[[DataFram
                 break
         if attempt >= max_attempts:
             break
-    keep("complete", current, attempts=attempt, success=outcome.success)
+    keep("complete", attempts=attempt, success=outcome.success)
     return outcome
 
 

@@ -19,7 +19,7 @@ from tablewright.plans.harmonise import diagnose, run
 from tablewright.plans.recipes import recipe
 from tablewright.plans.registry import SchemaRegistry
 from tablewright.plans.schema import STANDARD
-from tablewright.session import build_session
+from tablewright.session import build_session, clear_scratch
 from tablewright.sources.ingest import load_tables
 from tablewright.sources.sinks import write_table
 
@@ -91,6 +91,7 @@ def main(argv: list[str] | None = None) -> int:
                 said["output"] = numbered(args.output, k, len(tables))
                 write_table(outcome.df, said["output"])
         print(json.dumps(said))
+    clear_scratch(spark)
     return 0
 
 

@@ -7,7 +7,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tablewright.sources.paths import delete_path, qualified
+
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_made: list[str] = []
 
 
 def build_session(app_name: str = "tablewright", master: str | None = None,
@@ -29,23 +32,35 @@ def build_session(app_name: str = "tablewright", master: str | None = None,
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can see: the cluster's checkpoint folder.
+    """Folder every executor can see: the cluster's checkpoint folder, with its file system named.
 
     Only where the cluster names none (local tests) is a fresh local folder used.
     """
     named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if named:
-        return named.rstrip("/")
+        return qualified(spark, named).rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
     local = tempfile.mkdtemp(prefix="tablewright-")
     spark.sparkContext.setCheckpointDir(local)
-    return local
+    return qualified(spark, local)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    _made.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete what this process has put below the shared folder; returns how many paths that were.
+
+    For the end of a job: tables that still read those paths can no longer be used.
+    """
+    n = sum(delete_path(spark, path) for path in _made)
+    _made.clear()
+    return n
 
 
 def materialise(df: DataFrame, label: str = "stage") -> DataFrame:

@@ -94,6 +94,13 @@ def test_snapshots(spark):
     assert store.latest() is None and store.totals()["count"] == 0
     first = store.create("preprocessing", dirty(spark), {"k": 1})
     store.create("complete")
+    again = store.refer("diagnosing", store.refer("validating", first))
+    assert store.load(again)[1].count() == 3 and store.load(again)[0]["rows"] == 3 and store.latest()[0]["id"] == again
+    with pytest.raises(ValueError):
+        store.refer("complete", "zz")
+    store.clear()
+    first = store.create("preprocessing", dirty(spark), {"k": 1})
+    store.create("complete")
     info, data = store.load(first)
     assert info["metadata"] == {"k": 1} and data.count() == 3 and store.load("zz") is None
     assert store.latest()[0]["stage"] == "complete" and store.latest()[1] is None
@@ -132,6 +139,7 @@ def test_responses_take_defaults(spark):
 
 def test_job(spark, tmp_path, capsys, monkeypatch):
     monkeypatch.setattr(job, "build_session", lambda *a, **k: spark)
+    monkeypatch.setattr(job, "clear_scratch", lambda s: 0)  # other tests still read theirs
     (tmp_path / "d.csv").write_text("Gene,fold,p_val\nTP53,1.5,0.1\n_MYC,2,7\n")
     out = str(tmp_path / "out.parquet")
     assert job.main(["-i", str(tmp_path / "d.csv"), "-o", out]) == 0
