@@ -22,6 +22,8 @@ from tablewright.session import materialise
 
 PIECES = 65_536
 DIGEST_BITS = 63
+#: the first pieces share so many bits; the rest of PIECES is room for opening some of them
+FIRST_BITS = 14
 #: rows that are numbered in one go
 SLOT_ROWS = 200_000
 
@@ -85,8 +87,7 @@ def minimax_cuts(sized: DataFrame, shards: int) -> tuple[int, list[int]]:
 
     The capacity is the smallest for which contiguous shards of whole groups exist.
     """
-    shift = DIGEST_BITS - 16
-    pieces = _pieces(sized, shift)
+    pieces = _pieces(sized, DIGEST_BITS - FIRST_BITS)
     while True:
         ends = list(accumulate(p.size for p in pieces))
         total = ends[-1] if ends else 0
@@ -108,7 +109,7 @@ def minimax_cuts(sized: DataFrame, shards: int) -> tuple[int, list[int]]:
             return surest, [pieces[i].low for i in _even_cuts(pieces, ends, surest, shards)]
         # open them as finely as the bound on collected sums allows
         bits = max(1, (max(2, (PIECES - len(pieces)) // len(closed))).bit_length() - 1) if len(pieces) < PIECES else 1
-        pieces = _open(sized, pieces, sorted(closed), shift, min(bits, 16))
+        pieces = _open(sized, pieces, sorted(closed), min(bits, 16))
 
 
 def _even_cuts(pieces: list[Piece], ends: list[int], capacity: int, shards: int) -> list[int]:
@@ -130,7 +131,7 @@ def _even_cuts(pieces: list[Piece], ends: list[int], capacity: int, shards: int)
     return cuts
 
 
-def _open(sized: DataFrame, pieces: list[Piece], closed: list[int], shift: int, bits: int) -> list[Piece]:
+def _open(sized: DataFrame, pieces: list[Piece], closed: list[int], bits: int) -> list[Piece]:
     """Replace closed pieces by finer ones, each split into up to 2^bits equal ranges of its digests."""
     starts = F.array(*(F.lit(pieces[i].low) for i in closed))
     stops = F.array(*(F.lit(pieces[i].high) for i in closed))

@@ -182,12 +182,13 @@ def test_sharding(messy, messy_rows):
     assert fits(largest) and not fits(largest - 1)
 
 
-@pytest.mark.parametrize("bits", [61, 62])
-def test_cuts_found_by_opening_pieces(spark, monkeypatch, bits):
+@pytest.mark.parametrize("first", [0, 2, 4])
+def test_cuts_found_by_opening_pieces(spark, monkeypatch, first):
     """With very few first pieces the search has to open them, and still finds the least capacity."""
-    monkeypatch.setattr(sharding, "DIGEST_BITS", bits)
-    monkeypatch.setattr(sharding, "PIECES", 40)
-    rng = np.random.default_rng(bits)
+    monkeypatch.setattr(sharding, "DIGEST_BITS", 20)
+    monkeypatch.setattr(sharding, "FIRST_BITS", first)
+    monkeypatch.setattr(sharding, "PIECES", 60)
+    rng = np.random.default_rng(first)
     rows = [(int(d), int(s)) for d, s in zip(rng.choice(1 << 20, 400, replace=False), rng.integers(1, 100, 400))]
     capacity, cuts = sharding.minimax_cuts(spark.createDataFrame(rows, "digest long, size long"), 9)
     sizes = [s for _, s in sorted(rows)]
