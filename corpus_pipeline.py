@@ -25,7 +25,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` without the documents whose id ``gone`` lists."""
-    gone = gone.select(F.col("doc_id").alias("_gone")).distinct()
+    # the list grows with the corpus, so it is shuffled at every size
+    gone = gone.select(F.col("doc_id").alias("_gone")).distinct().hint("merge")
     return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti").select(*COLUMNS)
 
 
