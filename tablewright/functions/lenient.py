@@ -22,7 +22,13 @@ NUMBER_PATTERN = r"^\s*[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|(?i:inf(?:in
 TIMESTAMP_FORMATS = [
     "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSSSSS",
     "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy/MM/dd", "MM/dd/yyyy", "dd.MM.yyyy", "dd-MMM-yyyy",
+    # parts of one digit, times without seconds, month names, days first where the month comes second
+    "yyyy-M-d", "yyyy/M/d", "M/d/yyyy", "d.M.yyyy", "d-MMM-yyyy", "yyyy-M-d H:mm", "yyyy-M-d'T'H:mm", "yyyy-M-d H:mm:ss",
+    "yyyy/M/d H:mm", "yyyy/M/d H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "d.M.yyyy H:mm", "d.M.yyyy H:mm:ss",
+    "d MMM yyyy", "MMM d, yyyy", "d MMMM yyyy", "MMMM d, yyyy", "d/M/yyyy", "yyyyMMdd",
 ]
+#: with an offset; the instant is told in the session's time zone
+ZONED_FORMATS = ["yyyy-M-d'T'H:mm[:ss[.SSSSSS]]XXX", "yyyy-M-d H:mm[:ss[.SSSSSS]]XXX", "yyyy-M-d'T'H:mm[:ss[.SSSSSS]]X", "yyyy-M-d H:mm[:ss[.SSSSSS]] XXX"]
 
 NUMERIC_TYPES = (T.NumericType,)
 
@@ -60,14 +66,14 @@ def to_boolean(c: Column, dtype: T.DataType) -> Column:
 
 
 def to_timestamp(c: Column, dtype: T.DataType, formats: list[str] | None = None) -> Column:
-    """Text in one of the listed formats to TIMESTAMP_NTZ."""
+    """Text in one of the listed formats to TIMESTAMP_NTZ; the first that fits counts."""
     if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return c.cast("timestamp_ntz")
     if not isinstance(dtype, T.StringType):
         return F.lit(None).cast("timestamp_ntz")
     text = strip(c)
     tries = [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz")
-             for f in formats or TIMESTAMP_FORMATS]
+             for f in formats or TIMESTAMP_FORMATS + ZONED_FORMATS]
     return F.coalesce(*tries)
 
 

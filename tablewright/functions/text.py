@@ -55,10 +55,15 @@ def _compose(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFC", v), na_action="ignore")
 
 
+# Characters that NFC may change or join: marks, Hangul parts, letters with a canonical replacement (ranges
+# that hold them, so some harmless ones too), and everything beyond the basic plane.
+_UNSETTLED = (r"[\p{M}\u0374\u037E\u0387\u0958-\u095F\u09DC-\u09DF\u0A33-\u0A5E\u0B5C\u0B5D\u0F43-\u0FB9\u1100-\u11FF\u1F71-\u1FFD"
+              r"\u2000\u2001\u2126\u212A\u212B\u2329\u232A\u2ADC\uF900-\uFAFF\uFB1D-\uFB4E\x{10000}-\x{10FFFF}]")
+
+
 def compose_nfc(c: Column) -> Column:
-    """Unicode NFC. Only values with characters beyond ASCII are sent to Python."""
-    beyond_ascii = F.when(c.rlike(r"[^\x00-\x7F]"), c)
-    return F.coalesce(_compose(beyond_ascii), c)
+    """Unicode NFC. Only values that it may change are sent to Python."""
+    return F.coalesce(_compose(F.when(c.rlike(_UNSETTLED), c)), c)
 
 
 def drop_unprintable(c: Column) -> Column:

@@ -92,5 +92,23 @@ def test_code_and_json_in_answers(spark):
 
 
 def test_vectors_are_padded_and_cut(spark):
-    assert values(spark, [[1.0], [1.0, 2.0, 3.0], None], "array<double>", lambda c: vectors.fit_length(c, 2)) == [
+    assert values(spark, [[1.0], [1.0, 2.0, 3.0], None], "array<double>", lambda c: vectors.fit_length(c, 2, cut=True)) == [
         [1.0, 0.0], [1.0, 2.0], [0.0, 0.0]]
+    with pytest.raises(Exception, match="does not fit 2"):
+        values(spark, [[1.0, 2.0, 3.0]], "array<double>", lambda c: vectors.fit_length(c, 2))
+
+
+def test_more_dates(spark):
+    raw = ["2024-3-7", "3/7/2024", "7.3.2024", "2024-03-07 09:05", "2024-03-07T09:05:06+02:00", "2024-03-07T09:05:06.250000Z", "7 Mar 2024",
+           "March 7, 2024", "20240307", "25/12/2023", "2024-13-01", "7", "soon"]
+    got = values(spark, raw, "string", lambda c: lenient.to_timestamp(c, S).cast("string"))
+    day = "2024-03-07 00:00:00"
+    assert got == [day, day, day, "2024-03-07 09:05:00", "2024-03-07 07:05:06", "2024-03-07 09:05:06.25", day, day, day, "2023-12-25 00:00:00", None, None, None]
+
+
+def test_composed_only_where_it_matters(spark):
+    import unicodedata
+
+    raw = [chr(c) + "x" + chr(c) for c in range(0x80, 0x3400) if not unicodedata.category(chr(c)).startswith("C")]
+    raw += ["e\u0301", "\uf900", "\U0002f800", "\u1100\u1161", "\ufb1d", "plain"]
+    assert values(spark, raw, "string", text.compose_nfc) == [unicodedata.normalize("NFC", v) for v in raw]

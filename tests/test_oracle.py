@@ -19,7 +19,8 @@ SPREAD = [
     "adjust_in_buckets", "number_tokens", "text_tokens", "tfidf_weights", "text_clean", "file_typing", "build_contexts",
     "parse_responses", "knn_topk_by_blocks", "similarity_pairs", "noise_log", "noise_table", "noise_sweep_counts",
     "library_nearest", "library_stats", "library_versions", "csv_roundtrip", "read_nested_archives", "irregular_rows",
-    "incremental_harmonise",
+    "incremental_harmonise", "read_quoted_breaks", "ingest_typed", "ingest_two_layouts", "knn_near_ties", "map_properties",
+    "similarity_pairs_hashed", "library_update_repeated", "outliers", "text_facts", "issues_rendered",
 ]
 NAMES = list(QUERIES) if os.environ.get("CHECK_ALL") else SPREAD
 
