@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm import bytewords as bw
+from tablewright.llm.near_dedup import shingle_hashes
 from tablewright.llm.rule_ensemble import sample_rows
 from tablewright.llm.streams import bounded_batches
 from tablewright.session import materialise
@@ -168,16 +169,50 @@ def _counted(train: DataFrame) -> DataFrame:
         F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
 
 
+def _families(train: DataFrame, candidates: np.ndarray) -> DataFrame:
+    """(key, n, toxic): families of documents that hold a candidate key.
+
+    A family shares the least hash of its word triples, as copies and near copies mostly do; so the words of
+    a text that was copied often do not pass for words of many texts.
+    """
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, bounds in bw.slices(batch, "text"):
+                found = tokens(data, bounds)
+                first = found.words.first
+                triples, at = shingle_hashes(found.keys[0], first, 3)
+                family = np.zeros(part.num_rows, np.uint64)
+                worded = np.flatnonzero(np.diff(at))
+                if len(worded):
+                    family[worded] = np.minimum.reduceat(triples, at[:-1][worded])
+                toxic, owner = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64), found.words.owner()
+                for keys in found.keys:
+                    hit = np.flatnonzero(candidates[np.minimum(np.searchsorted(candidates, keys), len(candidates) - 1)] == keys)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[hit].astype(np.int64)), pa.array(family[owner[hit]].astype(np.int64)),
+                                                      pa.array(toxic[owner[hit]])], names=["key", "family", "toxic"])
+
+    seen = train.select("text", "label").mapInArrow(look, "key long, family long, toxic long")
+    return seen.groupBy("key", "family").agg(F.max("toxic").alias("toxic")).groupBy("key").agg(
+        F.count("*").alias("n"), F.sum("toxic").alias("toxic"))
+
+
 def toxic_marks(train: DataFrame, marks: int = MARKS) -> list[int]:
-    """Keys of features that stand almost only in toxic documents, the surest first, at most ``marks``."""
+    """Keys of features that stand almost only in toxic documents, the surest first, at most ``marks``.
+
+    They are found by document counts, and confirmed by the families of documents that hold them.
+    """
     n, toxic = train.agg(F.count("*"), F.sum("label")).first()
     if not n or not toxic or toxic == n:
         return []
-    hoped = F.col("n") * (toxic / n)
-    surety = (F.col("toxic") - hoped) / F.sqrt(hoped)
-    found = _counted(train).where((F.col("toxic") >= 3) & (F.col("toxic") >= 0.9 * F.col("n")))
-    rows = found.select("key", surety.alias("z")).where("z > 5").orderBy(F.desc("z"), "key").limit(marks).collect()
-    return [r["key"] for r in rows]
+
+    def surest(counted: DataFrame) -> list[int]:
+        hoped = F.col("n") * (toxic / n)
+        surety = (F.col("toxic") - hoped) / F.sqrt(hoped)
+        found = counted.where((F.col("toxic") >= 4) & (F.col("toxic") >= 0.9 * F.col("n")))
+        return [r["key"] for r in found.select("key", surety.alias("z")).where("z > 5").orderBy(F.desc("z"), "key").limit(marks).collect()]
+
+    candidates = np.sort(np.array(surest(_counted(train)), np.int64).astype(np.uint64))
+    return surest(_families(train, candidates)) if len(candidates) else []
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
