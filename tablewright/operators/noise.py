@@ -88,6 +88,7 @@ def _splice(s: Column, at: Column, new: Column, dropped: int) -> Column:
     return F.concat(F.substr(s, F.lit(1), at), new, F.substr(s, at + 1 + dropped))
 
 
+# Fixed values, here and below: the notes that a modification log holds for each kind of change.
 def _change(kind: str, modified: Column, note: Column) -> Column:
     return F.struct(F.lit(kind).alias("noise_type"), modified.cast("string").alias("modified"),
                     note.alias("modification"))
