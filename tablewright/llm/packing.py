@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from tablewright.llm import bytewords as bw
 from tablewright.llm.streams import bounded_batches
-from tablewright.llm.wordpiece import WORD
 from tablewright.session import scratch_path
 
 BUCKETS = 256
@@ -75,7 +74,7 @@ def curve_keys(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class WordIds(dict):
-    """Token ids by word as packed bytes. The tokenizer drops white space, so words are independent.
+    """Token ids by word (its UTF-8 bytes) as packed bytes. The tokenizer drops white space, so words are independent.
 
     A new word of Latin-1 characters is split by the tokenizer's pattern here, and only its new parts go
     to the tokenizer's model, as a whole call costs several times as much; every other word is encoded whole.
@@ -101,12 +100,13 @@ class WordIds(dict):
         # how the model writes the bytes of the Latin-1 characters
         self.written = {c: "".join(x for x, _ in shown.pre_tokenize_str(chr(c))) for c in range(256)}
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, raw: bytes) -> bytes:
+        word = raw.decode()
         if self.LATIN.fullmatch(word) and not any(s in word for s in self.specials):
             ids = b"".join(map(self._part, self.PARTS.findall(word.lower())))
         else:
             ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
-        self[word] = ids
+        self[raw] = ids
         return ids
 
     def _part(self, part: str) -> bytes:
@@ -116,12 +116,14 @@ class WordIds(dict):
             self.parts[part] = ids
         return ids
 
-    def of(self, texts: list[str | None], end: int) -> list[bytes]:
+    def of(self, data: np.ndarray, bounds: np.ndarray, end: int) -> list[bytes]:
+        """Ids of the texts of a slice. ``bytes.split`` cuts at the six ASCII spaces and nothing else."""
         for known in (self, self.parts):
             if len(known) > CACHE_WORDS:
                 known.clear()
         last = np.array([end], self.dtype).tobytes()
-        return [b"".join(map(self.__getitem__, WORD.findall(t))) + last if t else last for t in texts]
+        raw, at = data.tobytes(), bounds.tolist()
+        return [b"".join(map(self.__getitem__, raw[a:z].split())) + last for a, z in zip(at[:-1], at[1:])]
 
 
 _loaded: dict[str, WordIds] = {}
@@ -137,8 +139,8 @@ def tokenised(docs: DataFrame, tokenizer: str, end: int, doc_id: str = "doc_id",
             _loaded[tokenizer] = WordIds(tokenizer)
         known = _loaded[tokenizer]
         for batch in batches:
-            for part, _, _ in bw.slices(batch, "text"):
-                ids = known.of(part.column(1).to_pylist(), end)
+            for part, data, bounds in bw.slices(batch, "text"):
+                ids = known.of(data, bounds, end)
                 counts = np.array([len(x) // known.dtype.itemsize for x in ids])
                 curve = curve_keys(np.frombuffer(b"".join(ids), known.dtype), counts)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(curve), pa.array(ids, pa.binary()),
