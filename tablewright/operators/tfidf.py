@@ -14,7 +14,7 @@ from dataclasses import asdict, dataclass
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from tablewright.functions.vectors import fit_length
 from tablewright.operators.fingerprint import fingerprint
@@ -107,14 +107,12 @@ class TfidfModel:
 
     def weights(self, df: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
         """(keys, term, weight) of the non-zero entries."""
-        terms = with_terms(df.select(*keys, text_col), text_col, "__terms", self.low, self.high)
-        vocabulary = self.vocabulary(df.sparkSession).select("term", "idf")  # at most max_features rows
-        found = terms.select(*keys, F.explode("__terms").alias("term")).join(F.broadcast(vocabulary), "term")
-        # a text's own terms are counted where the text is; one shuffle by text gives the norm
-        counted = found.groupBy(*keys, "term").agg((F.count(F.lit(1)) * F.first("idf")).alias("x"))
-        norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(*keys)))
-        return counted.select(*keys, "term", (F.col("x") / norm).alias("weight"))
-
+        dense = self.transform_dense(df.select(*keys, text_col), text_col, "v")
+        entries = F.filter(F.transform("v", lambda x, i: F.struct(i.alias("position"), x.alias("weight"))),
+                           lambda e: e["weight"] != 0)
+        vocabulary = self.vocabulary(df.sparkSession).select("position", "term")
+        return (dense.select(*keys, F.inline(entries))
+                .join(F.broadcast(vocabulary), "position").select(*keys, "term", "weight"))
 
 
 def fit(df: DataFrame, text_col: str, max_features: int = MAX_FEATURES, low: int = 1, high: int = 2) -> TfidfModel:
