@@ -73,7 +73,8 @@ def postings(items: DataFrame, least: int = 1) -> DataFrame:
     """(item_id, words, split, term, tf, score): weights are shares of the item's own score.
 
     ``words`` are the term hashes of question and answer in order, ``split`` is the place of the answer.
-    Items of fewer than ``least`` words are left out, as are those without a word. Of items that repeat an id all count.
+    Items of fewer than ``least`` words are left out, as are those without a word. Of items that repeat an id all count;
+    rows that repeat id, question and answer are one item.
     """
     id_type = dict(items.dtypes)["item_id"]
 
@@ -93,7 +94,9 @@ def postings(items: DataFrame, least: int = 1) -> DataFrame:
 
     read = items.select("item_id", "question", "answer").mapInArrow(
         terms, f"item_id {id_type}, words binary, split long, length long, terms array<long>, tfs array<long>")
-    read = materialise(read.where(F.col("length") >= max(1, least)).withColumn("item", F.xxhash64("item_id", "words", "split")), "items")
+    # a row that stands twice is one item: its terms would count twice in its own score
+    read = read.where(F.col("length") >= max(1, least)).dropDuplicates(["item_id", "words", "split"])
+    read = materialise(read.withColumn("item", F.xxhash64("item_id", "words", "split")), "items")
     flat = read.select("item", "length", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select("item", "length", "p.terms", "p.tfs")
     df = flat.groupBy("terms").agg(F.count("*").alias("df"))
     corpus = read.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))

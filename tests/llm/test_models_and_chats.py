@@ -42,6 +42,14 @@ def test_leaks_with_many_shards(spark, bench_rows, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, items).collect()} == {(k, k) for k in range(25)}
 
 
+def test_leaks_of_items_that_stand_several_times(spark, bench_rows):
+    docs = spark.createDataFrame(bench_rows[:10], "doc_id long, text string")
+    items = spark.createDataFrame(bench_rows[:10] + bench_rows[:6] + bench_rows[:3], "item_id long, text string")
+    got = decontaminate.leaks(docs, decontaminate.split_items(items)).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(k, k) for k in range(10)]
+    assert all(r["score"] > 0.99 for r in got)
+
+
 def test_wand_finds_what_adding_up_finds():
     rng = np.random.default_rng(4)
     for _ in range(60):
