@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm.decontaminate import leaks, split_items
+from tablewright.llm.decontaminate import leaks, whole_items
 from tablewright.llm.line_dedup import remove_spread_lines
 from tablewright.llm.near_dedup import NearRule, near_duplicates
 from tablewright.llm.packing import pack
@@ -50,7 +50,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return _without(docs, leaks(docs, split_items(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))))
+    return _without(docs, leaks(docs, whole_items(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

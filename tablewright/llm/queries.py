@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm.chat import Template, formatted_and_read
-from tablewright.llm.decontaminate import leaks, split_items
+from tablewright.llm.decontaminate import leaks, whole_items
 from tablewright.llm.line_dedup import MIN_SITES, MIN_WORDS, remove_spread_lines
 from tablewright.llm.near_dedup import NearRule, near_duplicates
 from tablewright.llm.packing import pack
@@ -51,7 +51,7 @@ def fold(parts: int):
 @query()
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every verified match of a document and a benchmark item."""
-    return leaks(table(spark, sf_dir, "documents"), split_items(table(spark, sf_dir, "benchmark")))
+    return leaks(table(spark, sf_dir, "documents"), whole_items(table(spark, sf_dir, "benchmark")))
 
 
 @query()

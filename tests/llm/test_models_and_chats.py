@@ -50,6 +50,38 @@ def test_leaks_of_items_that_stand_several_times(spark, bench_rows):
     assert all(r["score"] > 0.99 for r in got)
 
 
+@pytest.mark.parametrize("shards", [20_000, 100])
+def test_parts_of_whole_items_leak(spark, monkeypatch, shards):
+    """Half of the words in runs of three, or thirteen in a row; brute force on the words."""
+    monkeypatch.setattr(decontaminate, "SHARD_POSTINGS", shards)
+    rng = random.Random(21)
+    # words of a small set, so that items and documents share most words but few runs
+    bag = [words(rng, 1) + str(k) for k in range(150)]
+    items = [(k, [rng.choice(bag) for _ in range(rng.choice([5, 8, 15, 40, 59, 70]))]) for k in range(60)]
+    docs = []
+    for k, w in items:
+        n = len(w)
+        changed = w.copy()
+        changed[-2 if n < 15 else n // 2] = "changed"
+        for part in (w[: -(-n * 4 // 5)], w[: -(-n * 2 // 3)], w[n // 2:], w[n // 4: n // 4 + -(-n // 2)], w[n // 3: n // 3 + 13], w[n // 3: n // 3 + 12], changed, w[: n // 3]):
+            around = [[rng.choice(bag) for _ in range(rng.choice([0, 3, 80, 300]))] for _ in range(2)]
+            docs.append((len(docs), around[0] + part + around[1]))
+
+    def leaked(w, d):
+        runs = {tuple(d[k:k + 3]) for k in range(len(d) - 2)}
+        held = {k + j for k in range(len(w) - 2) if tuple(w[k:k + 3]) in runs for j in range(3)}
+        long = {tuple(d[k:k + 13]) for k in range(len(d) - 12)}
+        return 2 * len(held) >= len(w) or any(tuple(w[k:k + 13]) in long for k in range(len(w) - 12))
+
+    # parts lie whole in one passage here, so a match in the document is one in a passage
+    want = {(i, k) for i, d in docs for k, w in items if leaked(w, d)}
+    assert {(8 * k + j, k) for k in range(60) for j in (0, 1, 2, 3)} <= want
+    frame = spark.createDataFrame([(i, " ".join(d)) for i, d in docs], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    got = decontaminate.leaks(frame, decontaminate.whole_items(bench)).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want
+
+
 def test_wand_finds_what_adding_up_finds():
     rng = np.random.default_rng(4)
     for _ in range(60):
