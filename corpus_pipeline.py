@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm.decontaminate import leaks, whole_items
-from tablewright.llm.line_dedup import remove_spread_lines
+from tablewright.llm.line_dedup import LONG_SITES, remove_spread_lines
 from tablewright.llm.near_dedup import NearRule, near_duplicates
 from tablewright.llm.packing import pack
 from tablewright.llm.quality_rules import quality_rules
@@ -36,8 +36,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that spread over many sources; one that loses all its words is dropped."""
-    clean = remove_spread_lines(docs.select(*COLUMNS))
+    """Documents without lines that spread over many sources, or long ones over a few; one that loses all its words is dropped."""
+    clean = remove_spread_lines(docs.select(*COLUMNS), long_sites=LONG_SITES)
     changed = F.size("removed_lines") > 0
     left = clean.where(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return left.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)

@@ -3,6 +3,7 @@
 Every line gets a hash; one HyperLogLog sketch of its sites per line hash is built map-side and merged
 by aggregation, so a line on every page of the corpus costs one small sketch per task. Lines whose
 estimate lies near the limit get an exact distinct count; the others are decided by the sketch alone.
+A long line is a passage and does not come about twice by chance, so it may have a lower limit than a short one.
 Of each boilerplate line the first occurrence in the corpus stays, so no content is lost altogether.
 """
 
@@ -21,6 +22,8 @@ from tablewright.session import materialise
 
 MIN_SITES = 8
 MIN_WORDS = 3
+#: a line of more words than LONG_WORDS is a passage, shared by chance on no site; so many sites are enough
+LONG_WORDS, LONG_SITES = 50, 3
 SKETCH_BITS = 8
 #: standard errors of the sketch within which the estimate is not trusted
 BAND = 4.0
@@ -54,32 +57,41 @@ def line_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site
     return rows.mapInArrow(split, "doc_id long, row_key long, site long, line_no int, line long, words int")
 
 
-def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, bits: int = SKETCH_BITS) -> DataFrame:
-    """(line, first): the lines on at least ``min_sites`` different sites, and where each stands first."""
+def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, bits: int = SKETCH_BITS,
+                 long_sites: int | None = None, long_words: int = LONG_WORDS) -> DataFrame:
+    """(line, first): the lines on at least ``min_sites`` different sites, and where each stands first.
+
+    With ``long_sites``, that is the limit of lines of more than ``long_words`` words, if it is lower.
+    """
     margin = BAND * 1.04 / 2 ** (bits / 2)
     sketched = lines.where(F.col("words") >= min_words).groupBy("line").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", bits)).alias("sites"),
-        F.min(F.struct("doc_id", "row_key", "line_no")).alias("first"))
-    far = materialise(sketched.where(F.col("sites") >= min_sites * (1 - margin)), "spread")
-    sure = far.where(F.col("sites") > min_sites * (1 + margin)).select("line", "first")
-    near = far.where(F.col("sites") <= min_sites * (1 + margin))
+        F.min(F.struct("doc_id", "row_key", "line_no")).alias("first"), F.max("words").alias("words"))
+    limit = F.lit(min_sites)
+    if long_sites is not None:
+        limit = F.when(F.col("words") > long_words, F.lit(min(long_sites, min_sites))).otherwise(limit)
+    sketched = sketched.select("line", "sites", "first", limit.alias("limit"))
+    far = materialise(sketched.where(F.col("sites") >= F.col("limit") * (1 - margin)), "spread")
+    sure = far.where(F.col("sites") > F.col("limit") * (1 + margin)).select("line", "first")
+    near = far.where(F.col("sites") <= F.col("limit") * (1 + margin))
     exact = lines.select("line", "site").join(near.select("line"), "line").distinct().groupBy("line").agg(F.count("*").alias("exact"))
-    return sure.union(near.join(exact.where(F.col("exact") >= min_sites), "line").select("line", "first"))
+    return sure.union(near.join(exact, "line").where(F.col("exact") >= F.col("limit")).select("line", "first"))
 
 
 def remove_spread_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source",
-                        min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
+                        min_sites: int = MIN_SITES, min_words: int = MIN_WORDS,
+                        long_sites: int | None = None, long_words: int = LONG_WORDS) -> DataFrame:
     """``docs`` without boilerplate lines, plus ``removed_lines`` (their numbers from 0).
 
     A line is boilerplate when it has ``min_words`` words or more and stands on ``min_sites`` different
-    sites or more; its occurrence with the lowest doc_id and line number stays. All rows are returned,
+    sites or more, or ``long_sites`` (if given) and more than ``long_words`` words; its occurrence with the lowest doc_id and line number stays. All rows are returned,
     with their columns; a column called ``removed_lines`` is replaced. Null texts stay null; texts with
     nothing removed are returned as they are; a text whose lines all go becomes empty. A null site is a
     site of its own. Rows that repeat both doc_id and text are treated alike.
     """
     columns = [c for c in docs.columns if c != "removed_lines"]
     lines = materialise(line_table(docs, doc_id, text, site), "lines")
-    spread = spread_lines(lines, min_sites, min_words)
+    spread = spread_lines(lines, min_sites, min_words, long_sites=long_sites, long_words=long_words)
     here = F.struct("doc_id", "row_key", "line_no")
     gone = lines.join(spread, "line").where(~here.eqNullSafe(F.col("first")))
     gone = gone.groupBy(F.col("row_key").alias("_row_key")).agg(F.sort_array(F.collect_set("line_no")).alias("_gone"))

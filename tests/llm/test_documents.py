@@ -152,6 +152,27 @@ def test_sketch_and_exact_count_agree_far_from_and_near_the_limit(spark):
     assert found == set(range(200, 301, 10))
 
 
+def test_long_lines_have_a_lower_limit(spark):
+    """Shared passages of otherwise different documents; the sites of short lines are as many as before."""
+    long, edge = (" ".join(f"{c}{k}" for k in range(n)) for c, n in (("p", 51), ("q", 50)))
+    rows = [(i, f"own text {i} here\n{long}\na short shared line", f"s{i}") for i in range(3)]
+    rows += [(10 + i, f"own text {i} there\n{edge}", f"s{i}") for i in range(7)]
+    rows += [(20 + i, f"more text {i}\n{long} end", f"s{i % 2}") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["removed_lines"] for r in line_dedup.remove_spread_lines(df, long_sites=line_dedup.LONG_SITES).collect()}
+    assert {i: x for i, x in got.items() if x} == {1: [1], 2: [1]}
+
+
+def test_pipeline_removes_shared_passages(spark):
+    import corpus_pipeline
+
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(i, f"own text {i} here\n{passage}", "en", f"s{i}", 0) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, df, "").collect()}
+    assert got == {0: rows[0][1], 1: "own text 1 here", 2: "own text 2 here"}
+
+
 def test_no_lines(nothing):
     assert line_dedup.remove_spread_lines(nothing).count() == 0
 
