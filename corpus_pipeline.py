@@ -1,8 +1,9 @@
 """A training corpus from raw documents, stage by stage.
 
 Every stage works on all rows that the stage before kept. The stages between are written to the shared
-folder as Parquet and read again, so a lost executor costs part of one stage. Rows with a null doc_id
-take part as one document; columns beside those of ``documents`` are dropped.
+folder as Parquet and read again, so a lost executor costs part of one stage. Verdicts are about rows, by
+a key that a stage writes with them, so rows with a null or repeated doc_id are judged one by one; columns
+beside those of ``documents`` are dropped.
 """
 
 from __future__ import annotations
@@ -23,16 +24,22 @@ from tablewright.session import materialise
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the documents whose id ``gone`` lists."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    """A written copy with a key of its own for each row, ``_row``; written, so that every read finds the same."""
+    return materialise(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "keyed")
+
+
+def _without(keyed: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` whose key ``gone`` does not list as ``doc_id``."""
     # the list grows with the corpus, so it is shuffled at every size
     gone = gone.select(F.col("doc_id").alias("_gone")).distinct().hint("merge")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti").select(*COLUMNS)
+    return keyed.join(gone, keyed["_row"] == F.col("_gone"), "left_anti").select(*COLUMNS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules, from hosts that do."""
-    return _without(docs, quality_rules(docs).where("not kept"))
+    keyed = _keyed(docs)
+    return _without(keyed, quality_rules(keyed, doc_id="_row").where("not kept"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,13 +51,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: five-word shingles, similarity 0.8 or more."""
-    return _without(docs, near_duplicates(docs, NearRule(shingle=5, percent=80)).where("not kept"))
+    """One row of each class of near duplicates, that of the lowest doc_id: five-word shingles, similarity 0.8 or more."""
+    keyed = _keyed(docs)
+    found = near_duplicates(keyed, NearRule(shingle=5, percent=80), doc_id="_row").select(F.col("doc_id").alias("_of"), "component_id")
+    # of a class a row with an id stays before one without
+    place = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "_row")
+    kept = keyed.select("doc_id", "_row").join(found.hint("merge"), F.col("_row") == F.col("_of")).groupBy("component_id").agg(F.min(place).alias("first"))
+    kept = kept.select(F.col("first._row").alias("_kept")).hint("merge")
+    return keyed.join(kept, keyed["_row"] == F.col("_kept"), "left_semi").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return _without(docs, leaks(docs, whole_items(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))))
+    keyed = _keyed(docs)
+    return _without(keyed, leaks(keyed, whole_items(spark.read.parquet(f"{sf_dir}/benchmark.parquet")), doc_id="_row"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,6 +54,25 @@ def test_stages(spark):
         rows, docs = kept, spark.createDataFrame(got, docs.schema)
 
 
+def test_rows_without_or_with_repeated_ids(spark, tmp_path):
+    """A bad row takes no clean row along that has no id either, or the same; copies go whatever their ids are."""
+    def text(name):
+        return " ".join(f"{name}{k}" for k in range(30))
+
+    spark.createDataFrame([(1, text("item"))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    def stage(name, rows):
+        docs = spark.createDataFrame([(i, t, "en", f"s{k}", len(t)) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+        return sorted(((r["doc_id"], r["text"]) for r in dict(corpus_pipeline.STAGES)[name](spark, docs, str(tmp_path)).collect()), key=str)
+
+    clean = [(None, text("a")), (None, text("b")), (7, text("c"))]
+    many = [(k, text(f"m{k}x")) for k in range(20, 60)]  # so that no host is rejected
+    assert stage("quality_rules", clean + many + [(None, "short"), (7, "short")]) == sorted(clean + many, key=str)
+    assert stage("decontamination", clean + [(None, text("item")), (7, text("item"))]) == sorted(clean, key=str)
+    copies = [(None, text("a")), (7, text("c")), (9, text("b")), (5, text("b")), (None, text("d")), (None, text("d"))]
+    assert stage("near_dedup", clean + copies) == sorted([(None, text("a")), (5, text("b")), (7, text("c")), (None, text("d"))], key=str)
+
+
 def test_whole_run_and_empty_documents(spark, tmp_path):
     spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{SF_DIR}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
