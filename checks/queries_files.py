@@ -160,6 +160,19 @@ def irregular_rows(spark, sf_dir):
     return tables.read_delimited(spark, folder, ["o_orderkey", "o_orderstatus", "o_orderpriority"])
 
 
+@query(CUSTOMER_SQL)
+def read_long_header(spark, sf_dir):
+    """A header of more than 64 KiB between the first column and the others; every row fills it."""
+    folder = scratch_path(spark, "header")
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    pads = [f"pad_{i}_" + "x" * 700 for i in range(100)]
+    line = F.concat_ws(",", k.cast("string"), F.lit("," * (len(pads) - 1)), "c_name", F.col("c_nationkey").cast("string"), "c_mktsegment")
+    lines = c.select(F.concat(F.lit("wide"), F.floor(k / 500).cast("string"), F.lit(".csv")).alias("file"), k.alias("part"),
+                     F.lit(",".join([CUSTOMER[0], *pads, *CUSTOMER[1:]])).alias("head"), line.alias("line"), F.lit("utf-8").alias("encoding"))
+    write_files(lines, folder, "plain").count()
+    return ingest(spark, folder).union().select(*CUSTOMER)
+
+
 @query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, CAST(n_chars AS VARCHAR) AS n_chars FROM documents")
 def read_quoted_breaks(spark, sf_dir):
     """Texts with line breaks and quotes, as quoted fields of CSV files."""

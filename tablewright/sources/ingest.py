@@ -98,8 +98,9 @@ def _manifest(spark: SparkSession, paths: list[str], staging: str | None, check_
     breaks = F.coalesce("breaks", F.lit(False)) if multi_line is None else F.lit(multi_line)
     files = files.withColumn("encoding", F.when(delimited, encoding)).withColumn("multi_line", delimited & breaks).drop("valid", "breaks")
     fixed = F.when(F.col("reader") == "csv", ",").when(F.col("reader") == "tsv", "\t")
-    layout = tables.sniff_layout(
-        F.when(delimited, F.col("head")).otherwise(F.lit(b"")), F.coalesce("encoding", F.lit("UTF-8")), fixed)
+    named = F.coalesce("encoding", F.lit("UTF-8"))
+    head = tables.whole_header(F.when(delimited, F.col("path")), F.when(delimited, F.col("head")).otherwise(F.lit(b"")), named, fixed)
+    layout = tables.sniff_layout(head, named, fixed)
     files = files.withColumn("layout", layout)
     readable = (F.col("reader").isin("parquet", "json")
                 | (delimited & F.col("layout.header").isNotNull() & (F.size("layout.header") > 0)))

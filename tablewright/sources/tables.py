@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 from collections import Counter
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from tablewright.functions.lenient import na_to_null
 from tablewright.functions.text import clean_text
 from tablewright.operators.clean import quoted
-from tablewright.sources.files import same_path
+from tablewright.sources.files import HEAD_BYTES, open_path, same_path
 
 # Delimiters in the order they are tried.
 DELIMITERS = [",", "\t", ";", "|"]
@@ -51,6 +52,34 @@ def _head_rows(text: str, sep: str) -> list[list[str]]:
     return out
 
 
+def _header_ends(text: str, seps: list[str]) -> bool:
+    """Does a second row begin in the text, whatever the delimiter; also true of what is no delimited text."""
+    def ends(sep: str) -> bool:
+        try:
+            return len(list(islice(filter(None, csv.reader(io.StringIO(text), delimiter=sep)), 2))) == 2
+        except csv.Error:
+            return True
+
+    return all(ends(sep) for sep in seps)
+
+
+@F.pandas_udf(T.BinaryType())
+def whole_header(path: pd.Series, head: pd.Series, encoding: pd.Series, fixed_sep: pd.Series) -> pd.Series:
+    """The file heads, read on where the header does not end in them. A null path leaves its head as it is."""
+    out = []
+    for at, data, enc, fixed in zip(path, head, encoding, fixed_sep):
+        seps = [fixed] if fixed else DELIMITERS
+        if at and data is not None and len(data) >= HEAD_BYTES and not _header_ends(bytes(data).decode(enc, errors="replace"), seps):
+            system, inner = open_path(at)
+            with system.open_input_stream(inner, compression=None) as stream:
+                data, more = b"", stream.read(2 * HEAD_BYTES)
+                while more:
+                    data += more
+                    more = b"" if _header_ends(data.decode(enc, errors="replace"), seps) else stream.read(len(data))
+        out.append(data)
+    return pd.Series(out, dtype=object)
+
+
 @F.pandas_udf(LAYOUT)
 def sniff_layout(head: pd.Series, encoding: pd.Series, fixed_sep: pd.Series) -> pd.DataFrame:
     """Delimiter and header of a file head. A fixed delimiter is taken as it is; otherwise the first

@@ -68,6 +68,18 @@ def test_every_kind_of_file_gives_the_same_table(spark, folder):
     assert (totals.files_extracted, totals.tabular_files, totals.failed_files) == (8, 8, 0)
 
 
+@pytest.mark.parametrize("name, sep", [("wide.csv", ","), ("wide.tsv", "\t"), ("wide.txt", ";")])
+def test_header_longer_than_the_head(spark, tmp_path, name, sep):
+    names = [f"column_{k}_" + "x" * 690 for k in range(100)]
+    lines = [sep.join(names)] + [sep.join(f"{r}_{k}" for k in range(100)) for r in range(3)]
+    (tmp_path / name).write_text("\n".join(lines) + "\n")
+    result = ingest(spark, str(tmp_path))
+    assert result.status == "SUCCESS"
+    df = result.tables[0].drop("source_file")
+    assert df.columns == names
+    assert sorted((r[0], r[99]) for r in df.collect()) == [(f"{r}_0", f"{r}_99") for r in range(3)]
+
+
 def test_one_file_of_a_layout(spark, folder):
     result = ingest(spark, [str(folder / "plain.csv"), str(folder / "semi.txt")])
     path = next(p for layout in result.layouts for p in layout.paths if p.endswith("semi.txt"))
