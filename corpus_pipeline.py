@@ -2,7 +2,7 @@
 
 Every stage works on all rows that the stage before kept. The stages between are written to the shared
 folder as Parquet and read again, so a lost executor costs part of one stage. Verdicts are about rows, by
-a key that a stage writes with them, so rows with a null or repeated doc_id are judged one by one; columns
+a hash of the whole row or a key written with it, so rows with a null or repeated doc_id are judged one by one; columns
 beside those of ``documents`` are dropped.
 """
 
@@ -29,6 +29,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return materialise(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "keyed")
 
 
+def _hashed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a hash of each whole row as ``_row``, for verdicts that equal rows share; nothing is written."""
+    return docs.select(*COLUMNS).withColumn("_row", F.xxhash64(*COLUMNS, *(F.col(c).isNull() for c in COLUMNS)))
+
+
 def _without(keyed: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of ``keyed`` whose key ``gone`` does not list as ``doc_id``."""
     # the list grows with the corpus, so it is shuffled at every size
@@ -38,7 +43,7 @@ def _without(keyed: DataFrame, gone: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules, from hosts that do."""
-    keyed = _keyed(docs)
+    keyed = _hashed(docs)
     return _without(keyed, quality_rules(keyed, doc_id="_row").where("not kept"))
 
 
@@ -63,7 +68,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    keyed = _keyed(docs)
+    keyed = _hashed(docs)
     return _without(keyed, leaks(keyed, whole_items(spark.read.parquet(f"{sf_dir}/benchmark.parquet")), doc_id="_row"))
 
 
