@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,12 @@ from tablewright.session import scratch_path
 BUCKETS = 256
 DIMENSIONS = 4
 BITS = 8
-#: ids by word that a Python worker keeps; the cache starts anew beyond
-CACHE_WORDS = 400_000
+#: bytes of words, parts and their ids that a Python worker keeps, with what Python needs for an entry
+CACHE_BYTES = 256 << 20
+ENTRY_BYTES = 200
+#: words looked up between two looks at the bound, and the length in bytes beyond which none is kept
+CACHE_STEP = 10_000
+LONG_WORD = 64
 #: sequence ids of a partition start at its number times this
 PER_PARTITION = 1 << 40
 
@@ -78,6 +83,8 @@ class WordIds(dict):
 
     A new word of Latin-1 characters is split by the tokenizer's pattern here, and only its new parts go
     to the tokenizer's model, as a whole call costs several times as much; every other word is encoded whole.
+    Words and parts are kept up to ``cache_bytes``: once half of it is full, what is kept becomes the older half
+    and the one before is dropped, so frequent words stay. A long word is never kept.
     """
 
     #: the tokenizer's pattern for lower-case Latin-1 without spaces: contractions, letters, a digit, the rest
@@ -85,7 +92,7 @@ class WordIds(dict):
     PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^\x85\xa0{LETTERS}{DIGITS}]+")
     LATIN = re.compile(r"[\x00-\xff]*")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -94,39 +101,64 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, specials)) or r"(?!)").search
         self.parts: dict[str, bytes] = {}
+        self.older: tuple[dict, dict] = {}, {}
+        self.cache_bytes, self.held = cache_bytes, 0
         shown = ByteLevel(add_prefix_space=False, use_regex=False)
         # how the model writes the bytes of the Latin-1 characters
         self.written = {c: "".join(x for x, _ in shown.pre_tokenize_str(chr(c))) for c in range(256)}
 
+    def _keep(self, known: dict, key, ids: bytes) -> None:
+        if len(key) <= LONG_WORD:
+            known[key] = ids
+            self.held += len(key) + len(ids) + ENTRY_BYTES
+
     def __missing__(self, raw: bytes) -> bytes:
-        word = raw.decode()
-        if self.LATIN.fullmatch(word) and not any(s in word for s in self.specials):
-            ids = b"".join(map(self._part, self.PARTS.findall(word.lower())))
-        else:
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
-        self[raw] = ids
+        ids = self.older[0].get(raw)
+        if ids is None:
+            word = raw.decode()
+            if raw.isalpha():  # ASCII letters are one part
+                ids = self._part(word.lower())
+            elif self.LATIN.fullmatch(word) and not self.special(word):
+                ids = b"".join(map(self._part, self.PARTS.findall(word.lower())))
+            else:
+                ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
+        self._keep(self, raw, ids)
         return ids
 
     def _part(self, part: str) -> bytes:
         ids = self.parts.get(part)
         if ids is None:
-            ids = np.array([t.id for t in self.model.tokenize(part.translate(self.written))], self.dtype).tobytes()
-            self.parts[part] = ids
+            ids = self.older[1].get(part)
+            if ids is None:
+                ids = np.array([t.id for t in self.model.tokenize(part.translate(self.written))], self.dtype).tobytes()
+            self._keep(self.parts, part, ids)
         return ids
 
     def of(self, data: np.ndarray, bounds: np.ndarray, end: int) -> list[bytes]:
         """Ids of the texts of a slice. ``bytes.split`` cuts at the six ASCII spaces and nothing else."""
-        for known in (self, self.parts):
-            if len(known) > CACHE_WORDS:
-                known.clear()
         last = np.array([end], self.dtype).tobytes()
-        raw, at = data.tobytes(), bounds.tolist()
-        return [b"".join(map(self.__getitem__, raw[a:z].split())) + last for a, z in zip(at[:-1], at[1:])]
-
-
-_loaded: dict[str, WordIds] = {}
+        raw, at, out = data.tobytes(), bounds.tolist(), []
+        for a, z in zip(at[:-1], at[1:]):
+            # in steps, so that a text of many new words cannot outgrow the cache's bound
+            words = raw[a:z].split()
+            ids = []
+            for k in range(0, len(words), CACHE_STEP):
+                if self.held > self.cache_bytes // 2:
+                    self.older = dict(self), self.parts
+                    self.parts, self.held = {}, 0
+                    self.clear()
+                ids.append(b"".join(map(self.__getitem__, words[k:k + CACHE_STEP])))
+            out.append(b"".join(ids) + last)
+        return out
+
+
+@cache
+def word_ids(path: str) -> WordIds:
+    """The tokenizer of a Python worker, kept with its words from task to task."""
+    return WordIds(path)
 
 
 def tokenised(docs: DataFrame, tokenizer: str, end: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -135,9 +167,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end: int, doc_id: str = "doc_id",
     id_type = dict(docs.dtypes)[doc_id]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _loaded:
-            _loaded[tokenizer] = WordIds(tokenizer)
-        known = _loaded[tokenizer]
+        known = word_ids(tokenizer)
         for batch in batches:
             for part, data, bounds in bw.slices(batch, "text"):
                 ids = known.of(data, bounds, end)

@@ -8,8 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.llm.centroids import cluster
 from tablewright.llm.chat import Template, formatted_and_read
 from tablewright.llm.decontaminate import leaks, whole_items
+from tablewright.llm.filter_audit import CAPITALS_PERCENT, DISTINCT_PERCENT, audit
+from tablewright.llm.filter_audit import MIN_WORDS as AUDIT_WORDS
+from tablewright.llm.idfiles import read_digests, write_id_files
 from tablewright.llm.line_dedup import MIN_SITES, MIN_WORDS, remove_spread_lines
 from tablewright.llm.near_dedup import NearRule, near_duplicates
 from tablewright.llm.packing import pack
@@ -18,6 +22,7 @@ from tablewright.llm.rule_ensemble import quality_scores
 from tablewright.llm.sharding import shard_by_bytes
 from tablewright.llm.toxic_spans import toxicity
 from tablewright.llm.wordpiece import token_counts
+from tablewright.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -184,3 +189,75 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy longest-match token counts of every document."""
     return token_counts(table(spark, sf_dir, "documents"), PIECES)
+
+
+@query()
+def op11_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded, written bit-packed in order of doc_id, and read back from the files."""
+    path = scratch_path(spark, "ids")
+    write_id_files(table(spark, sf_dir, "documents"), path, WORD_TOKENIZER)
+    return read_digests(spark, path)
+
+
+@query(rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
+m AS (
+  SELECT doc_id, part, len(ws) < {AUDIT_WORDS} AS a, 100 * len(list_distinct(ws)) < {DISTINCT_PERCENT} * len(ws) AS b,
+    100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > {CAPITALS_PERCENT} * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e
+  FROM d),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+cells AS (
+  SELECT part, a, b, c, d, e, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n
+  FROM m LEFT JOIN l USING (doc_id) GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT x1.x || x2.x || x3.x || x4.x || x5.x AS o FROM x x1, x x2, x x3, x x4, x x5
+  WHERE len(list_distinct([x1.x, x2.x, x3.x, x4.x, x5.x])) = 5),
+steps AS (
+  SELECT part, o AS filter_order, s AS step, o[s] AS letter, n, good, toxic,
+    CASE o[s] WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END AS fails, a::INT + b::INT + c::INT + d::INT + e::INT AS n_fails,
+    least(CASE WHEN a THEN strpos(o, 'A') ELSE 9 END, CASE WHEN b THEN strpos(o, 'B') ELSE 9 END, CASE WHEN c THEN strpos(o, 'C') ELSE 9 END,
+          CASE WHEN d THEN strpos(o, 'D') ELSE 9 END, CASE WHEN e THEN strpos(o, 'E') ELSE 9 END) AS gone
+  FROM cells, orders, (SELECT unnest(range(1, 6)) AS s)),
+sums AS (
+  SELECT part, filter_order, step::INT AS step, letter, coalesce(sum(n) FILTER (gone > step), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (gone = step), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (fails AND gone < step), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (fails AND n_fails = 1), 0)::BIGINT AS unique_fails, coalesce(sum(n) FILTER (gone = step AND good), 0)::BIGINT AS good_lost,
+    coalesce(sum(n) FILTER (gone = step AND toxic), 0)::BIGINT AS toxic_lost
+  FROM steps GROUP BY ALL)
+SELECT * EXCLUDE (letter), (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM sums
+""")
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from all documents, in each of their 120 orders, by source."""
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _round_sql(r: int) -> str:
+    """The nearest centroids of round ``r`` and the centroids after it."""
+    return f"""
+a{r} AS MATERIALIZED (
+  SELECT vec_id, any_value(v) AS v, arg_min(c, away * 8 + c) AS c, min(away) AS away
+  FROM (SELECT vec_id, v, c, (list_dot_product(v, v) - 2 * list_dot_product(v, cv) + list_dot_product(cv, cv))::BIGINT AS away FROM kept, c{r}) GROUP BY vec_id),
+c{r + 1} AS MATERIALIZED (
+  SELECT c, coalesce(moved, cv) AS cv FROM c{r} LEFT JOIN (
+    SELECT c, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY i) AS moved
+    FROM (SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT c, unnest(v)::BIGINT AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY c, i)
+    GROUP BY c) USING (c))"""
+
+
+@query(f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY h) - 1)::INT AS c, v AS cv FROM (SELECT sha256('3:' || vec_id) AS h, v FROM kept ORDER BY h LIMIT 8)),
+{",".join(map(_round_sql, range(11)))}
+SELECT vec_id, c AS cluster, away AS distance, (sum(away) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(away) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(list_transform(cv, lambda x: x::BIGINT), ',')) AS centroid_sha256
+FROM a10 JOIN c10 USING (c)
+""")
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole embedding with the nearest of eight centroids after ten rounds."""
+    return cluster(table(spark, sf_dir, "embeddings"))
