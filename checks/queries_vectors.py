@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks.catalog import query, table
 from checks.fixtures import LIBRARY, library
 from tablewright.functions import vectors
-from tablewright.operators import graph, similarity
+from tablewright.operators import graph, pivots, similarity
 
 LOW = 0.3
 
@@ -60,6 +60,31 @@ def similarity_pairs_close(spark, sf_dir):
     return _shown(similarity.similar_pairs(_vectors(spark, sf_dir), 0.7), "similarity")
 
 
+@query(f"""WITH {PAIRS} SELECT 'low' AS kind, a, b, round(similarity, 6) AS similarity FROM pairs WHERE similarity >= {LOW}
+UNION ALL SELECT 'close', a, b, round(similarity, 6) FROM pairs WHERE similarity >= 0.7
+UNION ALL SELECT 'moved', a.id, b.id, round(list_cosine_similarity(a.v, b.v), 6)
+FROM (SELECT id, list_transform(v, lambda x, i: CASE WHEN i = 1 + label THEN x + 3 ELSE x END) AS v FROM emb) a
+JOIN (SELECT id, list_transform(v, lambda x, i: CASE WHEN i = 1 + label THEN x + 3 ELSE x END) AS v FROM emb) b ON a.id < b.id
+WHERE list_cosine_similarity(a.v, b.v) >= 0.9""")
+def similarity_pairs_pivots(spark, sf_dir):
+    """Cells around pivots: at two thresholds over the rows as they are, and over rows moved apart by label, where cells keep rows from each other."""
+    v = _vectors(spark, sf_dir)
+    moved = v.withColumn("vector", F.transform("vector", lambda x, i: F.when(i == F.col("label"), x + 3).otherwise(x)))
+    kinds = {"low": (v, LOW), "close": (v, 0.7), "moved": (moved, 0.9)}
+    found = [pivots.similar_pairs_pivots(rows, threshold, block_bytes=64 * 1024).select(F.lit(kind).alias("kind"), "a", "b", "similarity")
+             for kind, (rows, threshold) in kinds.items()]
+    return _shown(found[0].unionByName(found[1]).unionByName(found[2]), "similarity")
+
+
+@query(f"""WITH {EMB}, s AS (SELECT q.id AS query_id, c.id AS id, list_cosine_similarity(q.v, c.v) AS score FROM emb q, emb c)
+SELECT query_id, id, round(score, 6) AS score, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM s)
+WHERE k <= 5""")
+def knn_join_bounded(spark, sf_dir):
+    """All vectors ask: first in their own cell, then in those within the distance found there."""
+    v = _vectors(spark, sf_dir)
+    return _shown(pivots.nearest_by_pivots(v, v, 5, block_bytes=64 * 1024), "score")
+
+
 @query(f"WITH {PAIRS} SELECT count(*) AS exact_pairs, 0::BIGINT AS wrong, true AS enough FROM pairs WHERE similarity >= {LOW}")
 def similarity_pairs_hashed(spark, sf_dir):
     """Hashing may miss pairs: none that it finds is wrong, and it finds at least nine of ten."""

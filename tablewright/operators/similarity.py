@@ -200,8 +200,20 @@ def similar_pairs(df: DataFrame, threshold: float = 0.7, id_col: str = "id", vec
         F.explode(F.sequence(F.lit(0), F.lit(g - 1))).alias("other"), "own", "cid", "cv")
     sent = sent.withColumn("cell", F.struct(F.least("own", "other").alias("i"),
                                             F.greatest("own", "other").alias("j")))
+    flat = sent.select(F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "own", "cid", "cv")
+    return flat.groupBy("i", "j").applyInPandas(pairs_of_blocks(threshold), _pair_schema(v))
+
+
+def _pair_schema(v: DataFrame) -> str:
     id_type = v.schema["cid"].dataType.simpleString()
+    return f"a {id_type}, b {id_type}, similarity double"
+
 
+def pairs_of_blocks(threshold: float):
+    """A function of the rows (i, j, own, cid, cv) of one pair of blocks: its pairs a < b of at least ``threshold``.
+
+    Rows of block i meet those of block j, or each other where both are the same.
+    """
     def compare(part: pd.DataFrame) -> pd.DataFrame:
         first, last = part["i"].iloc[0], part["j"].iloc[0]
         rows = part if first == last else part[part["own"] == first]
@@ -227,9 +239,7 @@ def similar_pairs(df: DataFrame, threshold: float = 0.7, id_col: str = "id", vec
         empty = pd.DataFrame({"a": part["cid"].iloc[:0], "b": part["cid"].iloc[:0], "similarity": []})
         return pd.concat(out, ignore_index=True) if out else empty
 
-    flat = sent.select(F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "own", "cid", "cv")
-    return flat.groupBy("i", "j").applyInPandas(
-        compare, f"a {id_type}, b {id_type}, similarity double")
+    return compare
 
 
 def similar_pairs_lsh(df: DataFrame, threshold: float = 0.7, id_col: str = "id", vector_col: str = "vector",
