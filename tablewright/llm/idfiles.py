@@ -57,7 +57,7 @@ def pack_bits(ids: np.ndarray, width: int) -> bytes:
     if len(ids) and int(ids.max()) >> width:
         raise ValueError(f"an id has more than {width} bits")
     if width in (8, 16, 32):
-        return ids.astype(f"<u{width // 8}").tobytes()
+        return ids.astype(f"<u{width // 8}", copy=False).tobytes()
     eights = np.zeros((-(-len(ids) // 8), 8), np.uint64)
     eights.reshape(-1)[:len(ids)] = ids
     out = np.zeros((len(eights), width), np.uint8)
@@ -145,8 +145,9 @@ def _images(tokenizer: str, end: int, block: int, file_bytes: int):
         size = 0
 
         def close() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), known.dtype).astype("<u4")
             counts = np.array([len(x) for x in held]) // known.dtype.itemsize
+            ids = np.frombuffer(b"".join(held), known.dtype)
+            held.clear()  # before the next copies are made
             whole = image(pa.concat_arrays(docs), counts, ids, width, part, ordinal, block)
             return pa.RecordBatch.from_arrays([pa.array([whole], pa.binary())], names=["image"])
 
@@ -160,7 +161,7 @@ def _images(tokenizer: str, end: int, block: int, file_bytes: int):
                     if size * width >= 8 * file_bytes:
                         docs.append(rows.column(0).slice(at, k + 1 - at))
                         yield close()
-                        docs, held, size, at, ordinal = [], [], 0, k + 1, ordinal + 1
+                        docs, size, at, ordinal = [], 0, k + 1, ordinal + 1
                 if at < len(ids):
                     docs.append(rows.column(0).slice(at))
         if held:

@@ -28,7 +28,7 @@ BUCKETS = 256
 DIMENSIONS = 4
 BITS = 8
 #: bytes of words, parts and their ids that a Python worker keeps, with what Python needs for an entry
-CACHE_BYTES = 256 << 20
+CACHE_BYTES = 160 << 20
 ENTRY_BYTES = 200
 #: words looked up between two looks at the bound, and the length in bytes beyond which none is kept
 CACHE_STEP = 10_000
