@@ -6,6 +6,7 @@ import gzip
 import io
 import tarfile
 import zipfile
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from checks.catalog import query, table
 from checks.fixtures import MESSY, messy, sql_bool, sql_number, sql_repair
 from tablewright.operators.snapshots import SnapshotStore
 from tablewright.plans.schema import STANDARD, TargetColumn, TargetSchema
-from tablewright.session import scratch_path
+from tablewright.session import materialise, scratch_path
 from tablewright.sources import sinks, tables
 from tablewright.sources.archives import expand, read_members
 from tablewright.sources.files import inventory, list_files, open_path, typed, with_heads
@@ -283,3 +284,48 @@ def incremental_harmonise(spark, sf_dir):
     return incremental.harmonised(spark, out)
 
 
+
+
+@contextmanager
+def _splits_of(spark, size: int):
+    """Plain files are dealt out in splits of about ``size`` bytes inside."""
+    names = {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": str(size)}
+    before = {n: spark.conf.get(n, None) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
+    try:
+        yield
+    finally:
+        for n, v in before.items():
+            if v is None:
+                spark.conf.unset(n)
+            else:
+                spark.conf.set(n, v)
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, source, CAST(n_chars AS VARCHAR) AS n_chars, true AS many_tasks FROM documents""")
+def read_quoted_breaks_split(spark, sf_dir):
+    """One file of all documents, with line breaks inside its fields, read by several tasks."""
+    path = scratch_path(spark, "breaks") + ".csv"
+    sinks.write_table(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "n_chars"), path)
+    with _splits_of(spark, 256 * 1024):
+        read = tables.read_delimited(spark, path, ["doc_id", "text", "source", "n_chars"], multi_line=True, compose=False, with_start=True)
+        # written here, as the size of splits is that of the time a scan runs
+        kept = materialise(read.withColumn("task", F.spark_partition_id()), "read")
+    tasks = kept.agg((F.count_distinct("task") > 1).alias("many_tasks"))
+    return kept.drop("task", tables.START).join(F.broadcast(tasks))
+
+
+@query("""SELECT doc_id, text, source, n_chars, len(string_split(text, ' ')) AS words, doc_id % 7 AS part FROM documents""")
+def read_json_array_split(spark, sf_dir):
+    """One JSON array of all documents on a single line, with objects inside objects, read by several tasks."""
+    path = scratch_path(spark, "array")
+    d = table(spark, sf_dir, "documents")
+    held = d.select(F.struct("doc_id", "text", "source", "n_chars", F.struct(F.size(F.split("text", " ", -1)).alias("words"), F.struct((F.col("doc_id") % 7).alias("part")).alias("own")).alias("facts")).alias("o"))
+    # the text sink with a comma for line ends makes one line of objects; a bracket comes first, and none closes the array
+    objects = held.select(F.lit(1).alias("place"), F.to_json("o").alias("value"))
+    first = spark.range(1).select(F.lit(0).alias("place"), F.lit('[{"doc_id":null}').alias("value"))
+    first.unionByName(objects).coalesce(1).sortWithinPartitions("place").select("value").write.option("lineSep", ",").text(path)
+    with _splits_of(spark, 256 * 1024):
+        read = materialise(tables.read_json_table(spark, path, lines=False), "read")
+    return read.where("doc_id IS NOT NULL").select("doc_id", "text", "source", "n_chars", F.col("facts.words").cast("int").alias("words"), F.col("facts.own.part").alias("part"))

@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from tablewright.functions.lenient import na_to_null
 from tablewright.functions.text import clean_text
 from tablewright.operators.clean import quoted
+from tablewright.session import materialise
 from tablewright.sources.files import HEAD_BYTES, open_path, same_path
+from tablewright.sources.records import ArrayElements, QuotedLines, records
 
 # Delimiters in the order they are tried.
 DELIMITERS = [",", "\t", ";", "|"]
@@ -21,6 +23,7 @@ SPARE = "__extra"
 START = "__start"
 # marks "no field here" apart from "empty field"; cannot occur in text read as a table
 ABSENT = "\x00absent"
+PARSING = {"quote": '"', "escape": '"', "nullValue": ABSENT, "emptyValue": "", "maxCharsPerColumn": "-1"}
 LAYOUT = T.StructType([
     T.StructField("sep", T.StringType()),
     T.StructField("header", T.ArrayType(T.StringType())),
@@ -120,9 +123,7 @@ def _delimited(reader, header: list[str], sep: str, encoding: str, multi_line: b
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*header, SPARE]])
     reader = (reader.schema(schema)
               .option("header", True).option("enforceSchema", True).option("sep", sep).option("encoding", encoding)
-              .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
-              .option("nullValue", ABSENT).option("emptyValue", "")
-              .option("maxCharsPerColumn", -1).option("mode", "PERMISSIVE"))
+              .options(**PARSING).option("multiLine", multi_line).option("mode", "PERMISSIVE"))
     # line ends of UTF-16 are two bytes wide and have to be named to be found
     return reader.option("lineSep", "\n") if encoding.startswith("UTF-16") and not multi_line else reader
 
@@ -150,13 +151,36 @@ def read_delimited(spark: SparkSession, paths: list[str] | str, header: list[str
 
     Short rows are padded with NULL; rows with too many fields are left out (an empty field after the
     last separator does not count as one); missing-value literals become NULL; characters that cannot
-    be shown are cleaned. ``multi_line`` is for quoted line breaks: such files are read whole, one task each.
+    be shown are cleaned. ``multi_line`` is for quoted line breaks; such files are split as others are, but for
+    UTF-16, whose files are read whole, one task each.
     """
-    raw = _fitting(_delimited(spark.read, header, sep, encoding, multi_line).csv(paths), header, encoding)
     cells = [na_to_null(clean_text(quoted(n), compose)).alias(n) for n in header]
+    if multi_line and not encoding.startswith("UTF-16"):
+        return _from_records(spark, paths, header, sep, encoding, with_source, with_start).select(*cells, *_kept_origin(with_source, with_start))
+    raw = _fitting(_delimited(spark.read, header, sep, encoding, multi_line).csv(paths), header, encoding)
     return raw.select(*cells, *_origin(with_source, with_start))
 
 
+def _from_records(spark: SparkSession, paths: list[str] | str, header: list[str], sep: str, encoding: str, *origin: bool) -> DataFrame:
+    """Fitting rows of files whose records may run over line ends, parsed record by record."""
+    found = records(spark, paths, QuotedLines(sep), encoding)
+    options = {**PARSING, "sep": sep, "multiLine": "true", "lineSep": "\n", "mode": "PERMISSIVE"}
+    places = [f"c{i}" for i in range(len(header) + 1)]
+    record = F.regexp_replace("record", "\r$", "")
+    parsed = found.withColumn("row", F.from_csv(record, ", ".join(f"{c} string" for c in places), options))
+    fields = [F.col(f"row.{c}").alias(n) for c, n in zip(places, header)]
+    return parsed.where(F.col(f"row.{places[-1]}").isNull()).select(*fields, *_named_origin(*origin))
+
+
+def _named_origin(with_source: bool, with_start: bool) -> list[Column]:
+    """The origin of rows that were made of records."""
+    return ([F.col("path").alias("source_file")] if with_source else []) + ([F.col("start").alias(START)] if with_start else [])
+
+
+def _kept_origin(with_source: bool, with_start: bool) -> list[str]:
+    return ["source_file"] * with_source + [START] * with_start
+
+
 def _origin(with_source: bool, with_start: bool) -> list[Column]:
     """The file of a row, and where the split of that file begins that it was read from."""
     source = [source_path().alias("source_file")] if with_source else []
@@ -188,7 +212,15 @@ def typed_columns(df: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
 
 def read_json_table(spark: SparkSession, paths: list[str] | str, lines: bool | None = None,
                     with_source: bool = False, with_start: bool = False) -> DataFrame:
-    """Records from JSON lines, or from files that hold one array (read whole, one task each)."""
+    """Records from JSON lines, from files that each hold one array of objects (``lines`` is False), or, where that is not said,
+    from files of one value (read whole, one task each)."""
+    if lines is False:
+        found = materialise(records(spark, paths, ArrayElements()), "elements")
+        schema = spark.read.json(found.select("record").rdd.map(lambda r: r[0])).schema
+        origin = _named_origin(with_source, with_start)
+        raw = found.withColumn("row", F.from_json("record", schema)).select("row.*", *origin)
+        columns = [clean_text(quoted(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else quoted(f.name) for f in schema]
+        return raw.select(*columns, *_kept_origin(with_source, with_start))
     raw = spark.read.option("multiLine", not lines).json(paths)
     columns = [clean_text(quoted(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else quoted(f.name)
                for f in raw.schema]
