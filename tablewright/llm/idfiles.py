@@ -37,7 +37,7 @@ HEADER = ">8sIIQQQQQQ"
 HEADER_BYTES = struct.calcsize(HEADER)
 BLOCK_IDS = 4096
 #: a file ends after the document with which it reaches so many bytes of packed ids
-FILE_BYTES = 32 << 20
+FILE_BYTES = 16 << 20
 
 
 def bits_for(vocabulary: int) -> int:
