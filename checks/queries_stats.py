@@ -8,9 +8,11 @@ from checks.catalog import query, table
 from checks.fixtures import (
     MESSY, MESSY_TWICE, P_VALUES, SNAPSHOTS, TEXT_COLUMNS, adjusted_sql, messy, messy_twice, p_values, snapshots,
 )
+from tablewright.operators import profile_state
 from tablewright.operators import fingerprint as fp
 from tablewright.operators import padjust, profile
 from tablewright.operators import snapshots as snap
+from tablewright.session import scratch_path
 
 LINEITEM_TYPES = {
     "l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int", "l_quantity": "double",
@@ -363,3 +365,32 @@ def log_totals(spark, sf_dir):
     log = table(spark, sf_dir, "conversations").select(
         F.col("role").alias("phase"), F.floor(F.length("text") / 4).cast("bigint").alias("token_count"))
     return snap.log_totals(log)
+
+
+MERGED = ["l_suppkey", "l_quantity", "l_discount", "l_linenumber", "l_returnflag"]
+POINTS = (0.055, 0.255, 0.755)
+_NUMBERS = """round(avg(v), 8) AS mean, round(stddev_samp(v), 6) AS std, round(skewness(v), 4) AS skew,
+  quantile_disc(v::DOUBLE, 0.055) AS low, quantile_disc(v::DOUBLE, 0.255) AS mid, quantile_disc(v::DOUBLE, 0.755) AS high"""
+_TEXTS = "NULL::DOUBLE AS mean, NULL::DOUBLE AS std, NULL::DOUBLE AS skew, NULL::DOUBLE AS low, NULL::DOUBLE AS mid, NULL::DOUBLE AS high"
+_COLUMNS = " UNION ALL ".join(f"""
+SELECT '{c}' AS "column", count(*) AS rows, count(*) - count(v) AS nulls, count(DISTINCT v) AS distinct_values, min(v)::VARCHAR AS least, max(v)::VARCHAR AS largest,
+  {_TEXTS if c == 'l_returnflag' else _NUMBERS},
+  (SELECT string_agg(t || ':' || n, ' ' ORDER BY n DESC, t) FROM (
+    SELECT v::VARCHAR AS t, count(*) AS n FROM (SELECT {c} AS v FROM lineitem WHERE l_orderkey % 7 <> 0 OR '{c}' <> 'l_quantity') WHERE v IS NOT NULL GROUP BY v ORDER BY n DESC, t LIMIT 3)) AS top_values
+FROM (SELECT CASE WHEN l_orderkey % 7 = 0 AND '{c}' = 'l_quantity' THEN NULL ELSE {c} END AS v FROM lineitem)""" for c in MERGED)
+
+
+@query(_COLUMNS)
+def profile_merged(spark, sf_dir):
+    """The states of seven parts, stored one by one and merged twice over, without reading rows again."""
+    path, key = scratch_path(spark, "states"), F.col("l_orderkey")
+    rows = table(spark, sf_dir, "lineitem").withColumn("l_quantity", F.when(key % 7 != 0, F.col("l_quantity")))
+    for k in range(7):
+        profile_state.profile_state(rows.where(key % 7 == k), f"part {k}", MERGED, precision=18).write.mode("append").parquet(path)
+    states = spark.read.parquet(path)
+    first = profile_state.merge_states(states.where("part < 'part 3'"), "first")
+    last = profile_state.merge_states(states.where("part >= 'part 3'"), "last")
+    shown = profile_state.read_profile(profile_state.merge_states(first.unionByName(last)), POINTS)
+    tops = F.array_join(F.transform("top_values", lambda x: F.concat_ws(":", x["item"], x["count"].cast("string"))), " ")
+    return shown.select("column", "rows", "nulls", "distinct_values", "least", "largest", F.round("mean", 8).alias("mean"), F.round("std", 6).alias("std"),
+                        F.round("skew", 4).alias("skew"), *(F.col("quantiles")[i].alias(q) for i, q in enumerate(("low", "mid", "high"))), tops.alias("top_values"))
