@@ -20,7 +20,7 @@ from tablewright.sources import sinks, tables
 from tablewright.sources.archives import expand, read_members
 from tablewright.sources.files import inventory, list_files, open_path, typed, with_heads
 from tablewright.sources.ingest import ingest, load_tables
-from tablewright.streaming import incremental
+from tablewright.streaming import incremental, issue_state
 
 CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
 CUSTOMER_SQL = ("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, "
@@ -329,3 +329,47 @@ def read_json_array_split(spark, sf_dir):
     with _splits_of(spark, 256 * 1024):
         read = materialise(tables.read_json_table(spark, path, lines=False), "read")
     return read.where("doc_id IS NOT NULL").select("doc_id", "text", "source", "n_chars", F.col("facts.words").cast("int").alias("words"), F.col("facts.own.part").alias("part"))
+
+
+@query("""SELECT CAST(o_orderkey AS BIGINT) AS "row_id", CASE WHEN o_orderkey % 5 NOT IN (1, 2) THEN 'Caf' || chr(233) || ' ' || o_orderpriority END AS priority,
+  CASE WHEN o_orderkey % 5 <> 1 THEN 'one' || chr(10) || 'two, "' || o_orderstatus || '"' END AS status,
+  CASE WHEN o_orderkey % 5 <> 1 THEN o_totalprice END AS price FROM orders WHERE o_orderkey % 5 <> 0""")
+def incremental_irregular(spark, sf_dir):
+    """Arriving Latin-1 files with surplus and short rows, missing-value literals, quotes and line breaks inside fields."""
+    folder = scratch_path(spark, "irregular-arrivals")
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    status = F.concat(F.lit('"one\ntwo, ""'), "o_orderstatus", F.lit('"""'))
+    price, label = F.col("o_totalprice").cast("string"), F.concat(F.lit("Café "), "o_orderpriority")
+    line = (F.when(k % 5 == 0, F.concat_ws(",", k.cast("string"), status, price, label, F.lit("surplus")))
+            .when(k % 5 == 1, k.cast("string")).when(k % 5 == 2, F.concat_ws(",", k.cast("string"), status, price, F.lit("N/A")))
+            .otherwise(F.concat_ws(",", k.cast("string"), status, price, label)))
+    lines = o.select(F.concat(F.lit("orders"), F.floor(k / 2000).cast("string"), F.lit(".csv")).alias("file"), k.alias("part"),
+                     F.lit("row_id,status,price,priority").alias("head"), line.alias("line"), F.lit("latin-1").alias("encoding"))
+    write_files(lines, folder, "plain").count()
+    arrivals = incremental.read_arrivals(spark, folder, ["row_id", "status", "price", "priority"], max_files=3, encoding="ISO-8859-1", multi_line=True)
+    schema = TargetSchema("orders", columns=[TargetColumn("status", "string", required=False), TargetColumn("price", "float", required=False),
+                                             TargetColumn("priority", "string", required=False)])
+    out, notes, state = (scratch_path(spark, x) for x in ("irregular", "irregular-issues", "irregular-state"))
+    incremental.start(arrivals.withColumn("row_id", F.col("row_id").cast("bigint")), schema, out, notes, state).awaitTermination()
+    return incremental.harmonised(spark, out)
+
+
+@query(f"""WITH {MESSY}, s AS (SELECT CASE WHEN "Gene_ID" <> 'NA' THEN trim("Gene_ID", ' ' || chr(9)) END AS g,
+    CASE WHEN "log2FC" <> 'N/A' THEN "log2FC" END AS f, CASE WHEN adj_p <> '' THEN adj_p END AS a FROM messy),
+t AS (SELECT g, {sql_repair('g')} AS r, f, {sql_number('f')} AS fn, a, {sql_number('a')} AS p FROM s)
+SELECT 'GeneSymbol' AS target, 'Gene_ID' AS "column", unnest(['coerced', 'nulls', 'pattern_after', 'pattern_before', 'rows']) AS counter, unnest([
+  0, count(*) FILTER (r IS NULL), count(*) FILTER (NOT regexp_matches(r, '^[A-Za-z][A-Za-z0-9-]*$')), count(*) FILTER (NOT regexp_matches(g, '^[A-Za-z][A-Za-z0-9-]*$')), count(*)]) AS n,
+  count(*) AS rows FROM t
+UNION ALL SELECT 'FoldChange', 'log2FC', unnest(['coerced', 'nulls', 'rows']), unnest([count(*) FILTER (f IS NOT NULL AND fn IS NULL), count(*) FILTER (fn IS NULL), count(*)]), count(*) FROM t
+UNION ALL SELECT 'PValue', 'adj_p', unnest(['clamped', 'coerced', 'nulls', 'rows']), unnest([
+  count(*) FILTER (p < 0 OR p > 1), count(*) FILTER (a IS NOT NULL AND p IS NULL), count(*) FILTER (p IS NULL), count(*)]), count(*) FROM t""")
+def incremental_issue_state(spark, sf_dir):
+    """Issue counters of two waves of files, the second one after a restart of the stream."""
+    folder, header = scratch_path(spark, "issue-arrivals"), ["row_id", "Gene_ID", "log2FC", "adj_p"]
+    rows = messy(spark, sf_dir).select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in header])
+    out, state = scratch_path(spark, "issue-totals"), scratch_path(spark, "issue-state")
+    for wave in (0, 1):
+        rows.where(F.col("row_id") % 2 == wave).repartition(6).write.mode("append").option("header", True).option("quoteAll", True).option("escape", '"').csv(folder)
+        arrivals = incremental.read_arrivals(spark, folder, header, max_files=4)
+        issue_state.start_issue_state(arrivals, STANDARD, out, state).awaitTermination()
+    return issue_state.current_issues(spark, out)

@@ -10,6 +10,7 @@ from checks.fixtures import (
     messy_twice, sql_bool, sql_number, sql_repair,
 )
 from tablewright.functions import lenient, numbers, text
+from tablewright.operators import unmatched
 from tablewright.operators import clean, compare, issues, padjust, profile, project, repair, validate
 from tablewright.operators.clean import quoted
 from tablewright.plans.harmonise import diagnose, preprocess, rule_diagnosis
@@ -411,3 +412,35 @@ def null_delta(spark, sf_dir):
     return profile.null_delta(messy(spark, sf_dir), prepared.df)
 
 
+
+
+_REWRITTEN = """
+after_ AS (SELECT c_custkey + 1 AS row_id, c_name AS "full name", CAST(CASE WHEN c_nationkey < 5 THEN c_nationkey + 100 ELSE c_nationkey END AS VARCHAR) AS c_nationkey,
+  c_acctbal, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_mktsegment END AS segment, c_custkey % 3 AS added FROM customer),
+olds AS (SELECT unnest(['c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment']) AS "column", unnest([c_name, c_nationkey::VARCHAR, c_acctbal::VARCHAR, c_mktsegment]) AS v FROM customer),
+news AS (SELECT unnest(['full name', 'c_nationkey', 'c_acctbal', 'segment', 'added']) AS found, unnest(["full name", c_nationkey, c_acctbal::VARCHAR, segment, added::VARCHAR]) AS v FROM after_),
+old_sets AS (SELECT "column", list_sort(list(coalesce(v, '-'))) AS vs FROM olds GROUP BY 1),
+new_sets AS (SELECT found, list_sort(list(coalesce(v, '-'))) AS vs FROM news GROUP BY 1),
+exact_ AS (SELECT "column", arg_min(found, CASE WHEN "column" = found THEN 0 ELSE 1 END) AS found FROM old_sets JOIN new_sets USING (vs) GROUP BY 1),
+shares AS (SELECT o."column", n.found, count(*) AS both_ FROM (SELECT DISTINCT "column", v FROM olds) o JOIN (SELECT DISTINCT found, v FROM news) n USING (v)
+  WHERE o."column" NOT IN (SELECT "column" FROM exact_) AND n.found NOT IN (SELECT found FROM exact_) GROUP BY 1, 2),
+best AS (SELECT "column", found, both_ / (SELECT count(DISTINCT v) FROM olds WHERE olds."column" = shares."column") AS share,
+  row_number() OVER (PARTITION BY "column" ORDER BY "column" = found DESC, both_ DESC, found) AS n FROM shares
+  WHERE both_ >= 0.5 * (SELECT count(DISTINCT v) FROM olds WHERE olds."column" = shares."column")),
+fates AS (
+  SELECT "column", CASE WHEN "column" = found THEN 'kept' ELSE 'renamed' END AS fate, found, 1.0::DOUBLE AS share FROM exact_
+  UNION ALL SELECT "column", 'changed', found, round(share, 6) FROM best WHERE n = 1)"""
+
+
+@query(f"""WITH {_REWRITTEN.strip()}
+SELECT * FROM fates
+UNION ALL SELECT DISTINCT "column", 'missing', NULL, 0.0 FROM olds WHERE "column" NOT IN (SELECT "column" FROM fates)
+UNION ALL SELECT DISTINCT found, 'new', found, 0.0 FROM news WHERE found NOT IN (SELECT found FROM fates)""")
+def unmatched_columns(spark, sf_dir):
+    """A rewritten table in another order: a renamed column, changed values, changed rows of an unnamed one, one lost and one new."""
+    before = table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "row_id")
+    after = before.select(
+        (F.col("row_id") + 1).alias("row_id"), F.col("c_name").alias("full name"),
+        F.when(F.col("c_nationkey") < 5, F.col("c_nationkey") + 100).otherwise(F.col("c_nationkey")).cast("string").alias("c_nationkey"), "c_acctbal",
+        F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).alias("segment"), (F.col("row_id") % 3).alias("added")).orderBy("c_acctbal")
+    return unmatched.column_fates(before, after).withColumn("share", F.round("share", 6))

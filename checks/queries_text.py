@@ -8,6 +8,7 @@ from checks.catalog import query, table
 from checks.fixtures import MESSY, RESPONSES, messy, responses
 from tablewright.functions import files as ff
 from tablewright.functions import text
+from tablewright.operators.names import mentions_anywhere
 from tablewright.operators import context, tfidf
 from tablewright.operators import responses as resp
 
@@ -204,6 +205,16 @@ def name_mentions(spark, sf_dir):
     return context.mentions(docs, names)
 
 
+@query("""WITH names AS (SELECT DISTINCT regexp_extract(text, '([A-Za-z]{2,} [A-Za-z]{2,})', 1) || CASE WHEN item_id % 2 = 0 THEN '.csv' ELSE '' END AS name FROM benchmark)
+SELECT DISTINCT doc_id AS request_id, name FROM documents JOIN names ON contains(text, name) OR contains(text, regexp_replace(name, '\\.[^.]*$', '')) WHERE name <> ''""")
+def name_mentions_blanks(spark, sf_dir):
+    """Names of two words, found anywhere in whole texts by automata over shards of a few names."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("request_id"), "text")
+    two = F.regexp_extract("text", r"([A-Za-z]{2,} [A-Za-z]{2,})", 1)
+    names = table(spark, sf_dir, "benchmark").select(F.concat(two, F.when(F.col("item_id") % 2 == 0, ".csv").otherwise("")).alias("name"))
+    return mentions_anywhere(docs, names, shard_bytes=256)
+
+
 # responses
 
 @query(f"""WITH {RESPONSES} SELECT resp_id, resp_id % 5 IN (0, 1) AS parsed, resp_id % 5 IN (0, 1) AS is_valid,

@@ -97,27 +97,27 @@ class RepairPlan:
             ("filled", fill_null(F.col(self.at("ranged")), self.col)),
         ]
 
-    def counters(self) -> dict[str, Column]:
-        """Named aggregates over the staged table; all of them fit in one ``agg``."""
+    def checks(self) -> dict[str, Column]:
+        """Named conditions over a row of the staged table."""
         moved, typed, ranged = (F.col(self.at(x)) for x in ("moved", "typed", "ranged"))
-        out = {
-            "coerced": F.count_if(moved.isNotNull() & typed.isNull()),
-            "nulls": F.count_if(ranged.isNull()),
-        }
+        out = {"coerced": moved.isNotNull() & typed.isNull(), "nulls": ranged.isNull()}
         if self.transform != "none":
-            out["transformed"] = F.count_if(
-                ~moved.cast("string").eqNullSafe(quoted(self.start).cast("string")))
+            out["transformed"] = ~moved.cast("string").eqNullSafe(quoted(self.start).cast("string"))
         if self.col.type == "int":
             x = moved.try_cast("double")
-            out["fractional"] = F.count_if(x != F.rint(x))
+            out["fractional"] = x != F.rint(x)
         if self.checks_pattern:
             rule = self.col.validation_regex
-            out["pattern_before"] = F.count_if(~text.matches_from_start(typed, rule))
-            out["pattern_after"] = F.count_if(~text.matches_from_start(ranged, rule))
+            out["pattern_before"] = ~text.matches_from_start(typed, rule)
+            out["pattern_after"] = ~text.matches_from_start(ranged, rule)
         if self.checks_range:
-            out["clamped"] = F.count_if(_outside(typed, self.col.min_value, self.col.max_value))
+            out["clamped"] = _outside(typed, self.col.min_value, self.col.max_value)
         return out
 
+    def counters(self) -> dict[str, Column]:
+        """Named aggregates over the staged table; all of them fit in one ``agg``."""
+        return {name: F.count_if(condition) for name, condition in self.checks().items()}
+
 
 def _outside(c: Column, low: float | None, high: float | None) -> Column:
     tests = []

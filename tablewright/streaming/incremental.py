@@ -23,12 +23,12 @@ def row_local(df: DataFrame, schema: TargetSchema) -> DataFrame:
     """Clean text, trim, repair and project, row by row."""
     if any(c.is_adjustment for c in schema.columns):
         raise ValueError("adjusted p-values need the whole table; run them as a batch job")
-    clean = _cleaned(df)
+    clean = cleaned(df)
     bound = mapping(resolve(clean.columns, schema))
     return project(apply_repairs(clean, plan_repairs(clean, schema, bound, transforms=False)), schema, bound)
 
 
-def _cleaned(df: DataFrame) -> DataFrame:
+def cleaned(df: DataFrame) -> DataFrame:
     cells = [na_to_null(clean_text(quoted(f.name))).alias(f.name) if isinstance(f.dataType, T.StringType)
              else quoted(f.name) for f in df.schema]
     return trim_column_names(trim_strings(df.select(*cells)))
@@ -36,7 +36,7 @@ def _cleaned(df: DataFrame) -> DataFrame:
 
 def batch_issues(df: DataFrame, schema: TargetSchema) -> DataFrame:
     """(target, column, coerced, clamped, nulls, pattern_after, rows) of one batch."""
-    clean = _cleaned(df)
+    clean = cleaned(df)
     bound = mapping(resolve(clean.columns, schema))
     return repair_counters(clean, plan_repairs(clean, schema, bound, transforms=False)).drop("position")
 
