@@ -8,6 +8,7 @@ projection, and a rerun or another partitioning gives the same result.
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -194,12 +195,13 @@ def _limit(chance: Column) -> Column:
 
 
 def touched_cells(df: DataFrame, settings: NoiseSettings, key: str = ROW_ID, variant: str | None = None,
-                  ratio_col: str | None = None) -> DataFrame:
+                  ratio_col: str | None = None, chosen: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
     """``df`` with ``__hits``, an array of the touched cells of each row with their changes.
 
     ``variant`` names a column that gives each variant of the table its own draws; ``ratio_col``
     takes the ratio from a column instead of the settings (uniform mode). The corruption is written
-    once, over the cells of a row, so the plan does not grow with the number of columns.
+    once, over the cells of a row, so the plan does not grow with the number of columns. ``chosen`` tells, from
+    the key's text, the column and its position, which cells are touched; without it each cell draws.
     """
     columns = noisy_columns(df, key, variant, ratio_col)
     chances = settings.chances(columns)
@@ -224,7 +226,10 @@ def touched_cells(df: DataFrame, settings: NoiseSettings, key: str = ROW_ID, var
     fields = ("position", "column", "s", "x", "numeric", "whole", "limit")
     drawn = F.transform("__cells", lambda c: F.struct(
         *[c[f].alias(f) for f in fields], F.md5(F.concat_ws("|", prefix, c["column"])).alias("h")))
-    work = work.select(*base, prefix, F.filter(drawn, lambda c: F.substring(c["h"], 1, 8) < c["limit"]).alias("__drawn"))
+    def taken(c: Column) -> Column:
+        return chosen(prefix, c["column"], c["position"]) if chosen else F.substring(c["h"], 1, 8) < c["limit"]
+
+    work = work.select(*base, prefix, F.filter(drawn, taken).alias("__drawn"))
     hits = F.transform("__drawn", lambda c: F.struct(
         c["position"].alias("position"), c["column"].alias("column"), c["s"].alias("original"),
         _corrupt(c, prefix, settings.kinds).alias("change")))
@@ -236,14 +241,14 @@ def noisy_columns(df: DataFrame, key: str, variant: str | None, ratio_col: str |
 
 
 def inject(df: DataFrame, settings: NoiseSettings, key: str = ROW_ID, variant: str | None = None,
-           ratio_col: str | None = None) -> DataFrame:
+           ratio_col: str | None = None, chosen: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
     """The corrupted table. Columns that may be touched become STRING."""
     columns = noisy_columns(df, key, variant, ratio_col)
     eligible = settings.chances(columns)
     base = [quoted(c) for c in df.columns]
     changed = F.map_from_entries(F.transform(
         "__hits", lambda h: F.struct(h["position"].alias("key"), h["change"]["modified"].alias("value"))))
-    touched = touched_cells(df, settings, key, variant, ratio_col).select(*base, changed.alias("__new"))
+    touched = touched_cells(df, settings, key, variant, ratio_col, chosen).select(*base, changed.alias("__new"))
     out = [F.col(c) for c in (variant, key) if c]
     for i, name in enumerate(columns):
         if name in eligible:
@@ -256,10 +261,10 @@ def inject(df: DataFrame, settings: NoiseSettings, key: str = ROW_ID, variant: s
 
 
 def noise_log(df: DataFrame, settings: NoiseSettings, key: str = ROW_ID, variant: str | None = None,
-              ratio_col: str | None = None) -> DataFrame:
+              ratio_col: str | None = None, chosen: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
     """([variant,] row_id, column, original, modified, noise_type, modification) of every touched cell,
     cells the noise left as they were included."""
-    touched = touched_cells(df, settings, key, variant, ratio_col)
+    touched = touched_cells(df, settings, key, variant, ratio_col, chosen)
     keys = [F.col(c) for c in (variant,) if c] + [F.col(key).alias("row_id")]
     return touched.select(*keys, F.explode("__hits").alias("h")).select(
         *[c for c in (variant,) if c], "row_id", "h.column", "h.original", "h.change.modified",

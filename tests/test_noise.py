@@ -118,3 +118,43 @@ def test_sweep_stores_pending_entries(spark, people):
     assert len(rows) == 6 and {r.status for r in rows} == {"PENDING"} and len({r.id for r in rows}) == 6
     assert {r.error_type for r in rows} == {"noise_typo_10%", "noise_typo_20%", "noise_typo_30%"}
     assert all(len(r.vector) == 1000 for r in rows)
+
+
+@pytest.mark.parametrize("settings", [
+    NoiseSettings(ratio=0.1, seed=3), NoiseSettings(ratio=0.25, mode="targeted", targets=["b"], seed=1), NoiseSettings(ratio=0.3, mode="weighted", weights={"a": 0.0, "b": 5.0}, seed=2),
+    NoiseSettings(ratio=1.0), NoiseSettings(ratio=0.0), NoiseSettings(ratio=0.5, mode="targeted", targets=["none"])])
+def test_exact_amount(spark, settings):
+    from tablewright.operators import exact_noise
+
+    df = spark.createDataFrame([(i, f"text {i}", i, float(i), None) for i in range(301)], "row_id long, a string, b long, c double, d string").repartition(3)
+    log = exact_noise.exact_log(df, settings)
+    may = {"uniform": "abcd", "targeted": [t for t in settings.targets if t in "abcd"], "weighted": "bcd"}[settings.mode]
+    want = min(int(round(settings.ratio * 301 * 4, 6)), 301 * len(may))
+    cells = {(r.row_id, r.column) for r in log.collect()}
+    assert log.count() == len(cells) == want and {c for _, c in cells} <= set(may)
+    assert cells == {(r.row_id, r.column) for r in exact_noise.exact_log(df.repartition(5), settings).collect()}
+    noisy = {r.row_id: r for r in exact_noise.inject_exact(df, settings).collect()}
+    for r in df.collect():
+        for c in "abcd":
+            assert (r["row_id"], c) in cells or noisy[r["row_id"]][c] == (r[c] if c not in may or r[c] is None else str(r[c]))
+    if settings.mode == "weighted" and want:
+        counts = [sum(c == x for _, c in cells) for x in "bcd"]
+        assert counts[0] > 2.5 * counts[1] and counts[0] > 2.5 * counts[2]
+
+
+def test_exact_choice_is_the_least_priorities(spark):
+    from pyspark.sql import functions as F
+
+    from tablewright.operators import exact_noise
+
+    df = spark.range(500).select(F.col("id").alias("row_id"), F.lit("x").alias("a"), F.lit("y").alias("b"))
+    for ratio in (0.001, 0.013, 0.5):
+        log = exact_noise.exact_log(df, NoiseSettings(ratio=ratio, seed=9))
+        ranked = df.select(F.concat_ws("|", F.lit("9"), "row_id").alias("p"), "row_id", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("column")).orderBy(
+            exact_noise.priority(F.col("p"), F.col("column"), F.lit(1.0))).limit(int(ratio * 1000))
+        assert {(r.row_id, r.column) for r in log.collect()} == {(r.row_id, r["column"]) for r in ranked.collect()}
+    import pytest as _pytest
+
+    twice = df.unionByName(df)
+    with _pytest.raises(ValueError):
+        exact_noise.choose(twice, NoiseSettings(ratio=0.0005, seed=9))
