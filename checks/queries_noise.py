@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.catalog import query, table
+from tablewright.operators import exact_noise
 from tablewright.operators import noise
 from tablewright.operators.noise import NoiseSettings
 from tablewright.plans import sweep
@@ -190,3 +191,23 @@ def noise_sweep_fingerprints(spark, sf_dir):
 
 
 query()(noise_sweep_fingerprints)
+
+
+_CELLS = """SELECT c_custkey AS row_id, unnest(['c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment']) AS "column" FROM customer"""
+_DIGEST = """('0x' || substr(md5(concat_ws('|', '7', row_id, "column", 'choice')), 1, 13))::BIGINT"""
+
+
+@query(f"""WITH cells AS ({_CELLS}), ranked AS (SELECT *, {_DIGEST} AS d FROM cells),
+n AS (SELECT CAST(floor(round(0.03 * count(*), 6)) AS BIGINT) AS n FROM cells)
+SELECT 'uniform' AS mode, row_id, "column", n AS touched FROM (SELECT *, row_number() OVER (ORDER BY d DESC) AS k FROM ranked), n WHERE k <= n
+UNION ALL SELECT 'targeted', row_id, "column", n FROM (SELECT *, row_number() OVER (ORDER BY d DESC) AS k FROM ranked WHERE "column" IN ('c_name', 'c_acctbal')), n WHERE k <= n""")
+def noise_exact(spark, sf_dir):
+    """The wanted number of cells to the cell, and which: those of the least digests."""
+    df = table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "row_id")
+    kinds = [NoiseSettings(ratio=0.03, seed=7), NoiseSettings(ratio=0.03, seed=7, mode="targeted", targets=["c_name", "c_acctbal"])]
+    out = None
+    for settings in kinds:
+        log = exact_noise.exact_log(df, settings)
+        one = log.select(F.lit(settings.mode).alias("mode"), "row_id", "column").join(F.broadcast(log.agg(F.count("*").alias("touched"))))
+        out = one if out is None else out.unionByName(one)
+    return out

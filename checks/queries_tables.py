@@ -11,6 +11,7 @@ from checks.fixtures import (
 )
 from tablewright.functions import lenient, numbers, text
 from tablewright.operators import unmatched
+from tablewright.plans.table_function import Contract, register_fix
 from tablewright.operators import clean, compare, issues, padjust, profile, project, repair, validate
 from tablewright.operators.clean import quoted
 from tablewright.plans.harmonise import diagnose, preprocess, rule_diagnosis
@@ -444,3 +445,21 @@ def unmatched_columns(spark, sf_dir):
         F.when(F.col("c_nationkey") < 5, F.col("c_nationkey") + 100).otherwise(F.col("c_nationkey")).cast("string").alias("c_nationkey"), "c_acctbal",
         F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).alias("segment"), (F.col("row_id") % 3).alias("added")).orderBy("c_acctbal")
     return unmatched.column_fates(before, after).withColumn("share", F.round("share", 6))
+
+
+@query(f"""WITH {MESSY}, s AS (SELECT row_id, "Gene_ID" AS g, upper(trim("Gene_ID", ' ' || chr(9))) AS symbol, {sql_number('"log2FC"')} AS fc, "log2FC" AS f FROM messy)
+SELECT row_id, CASE WHEN f IS NOT NULL AND fc IS NOT NULL THEN symbol END AS symbol, fc AS change,
+  CASE WHEN fc IS NULL THEN 'ValueError' WHEN symbol IS NULL THEN 'symbol is missing' WHEN fc < -100 OR fc > 400 THEN 'change is out of range'
+    WHEN NOT regexp_full_match(symbol, '[A-Z][A-Z0-9]*') THEN 'symbol does not match' END AS contract_error FROM s""")
+def fix_udtf(spark, sf_dir):
+    """A fix called from SQL on a table; rows that break its contract say why."""
+    def fix(row):
+        symbol = row["Gene_ID"]
+        return {"symbol": None if symbol is None else symbol.strip(" \t").upper(), "change": float(row["log2FC"])}
+
+    contract = Contract('Gene_ID string, log2FC string', "symbol string, change double", keep=("row_id",), required=("symbol",),
+                        ranges={"change": (-100.0, 400.0)}, patterns={"symbol": "[A-Z][A-Z0-9]*"})
+    register_fix(spark, "fix_symbols", fix, contract)
+    messy(spark, sf_dir).createOrReplaceTempView("messy_symbols")
+    called = spark.sql("SELECT * FROM fix_symbols(TABLE(SELECT row_id, Gene_ID, log2FC FROM messy_symbols))")
+    return called.withColumn("contract_error", F.regexp_extract("contract_error", "^[^:]*", 0))

@@ -9,7 +9,7 @@ from checks.fixtures import MESSY, RESPONSES, messy, responses
 from tablewright.functions import files as ff
 from tablewright.functions import text
 from tablewright.operators.names import mentions_anywhere
-from tablewright.operators import context, tfidf
+from tablewright.operators import context, terms, tfidf
 from tablewright.operators import responses as resp
 
 TERMS = """
@@ -251,3 +251,15 @@ def digest_draws(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", h.alias("digest"), unit(h, 1).alias("draw"))
 
 
+
+
+ALL_TERMS = TERMS.replace("ORDER BY total DESC, term LIMIT 1000", "HAVING count(*) >= 2")
+
+
+@query(f"""WITH {ALL_TERMS}, r AS (SELECT doc_id, term, position, tf * idf AS x FROM c JOIN vocab USING (term))
+SELECT doc_id, term, CAST(position AS BIGINT) AS position, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 6) AS weight FROM r""")
+def tfidf_unbounded(spark, sf_dir):
+    """Every term of two texts or more, without a limit on their number."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = terms.fit_terms(docs, "text", min_documents=2)
+    return model.weights(docs, "text", ["doc_id"]).withColumn("weight", F.round("weight", 6))
