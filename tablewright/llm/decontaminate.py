@@ -9,10 +9,11 @@ Retrieval is block-max WAND. For a whole batch of passages at once the sums of t
 the block maxima, are compared with the threshold: below it there is no pivot, and nothing is opened.
 What remains goes item by item through cursors over the posting lists: the pivot is the first item at
 which the maxima of the lists reach the threshold, blocks that cannot reach it are skipped whole.
+The threshold is ``share`` of the item's own score, whatever verification asks for, so retrieval decides what is looked at:
+every passage queries the index, and nothing but the bounds of the index keeps it from being searched.
 Retrieved items are verified on the words: the question and the answer must both be covered by runs of
 words that stand in the passage. An item without an answer of its own is verified as a whole, by the share
-of its words or by one long run. Its threshold is the least score that such an overlap can have, so
-retrieval loses none. Only passages with enough such runs of some item are searched.
+of its words or by one long run.
 
 The index is built by aggregation and cut into shards of at most about ``SHARD_POSTINGS`` postings. A pass
 over the documents broadcasts and searches ``PASS_SHARDS`` of them, so what is broadcast is bounded
@@ -21,11 +22,9 @@ however many test items there are.
 
 from __future__ import annotations
 
-import math
 from bisect import bisect_left
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +39,7 @@ from tablewright.session import materialise
 SHARD_POSTINGS = 20_000
 #: shards that one pass over the documents searches
 PASS_SHARDS = 8
-BLOCK_ITEMS = 4
+BLOCK_ITEMS = 2
 #: items of a class differ in length by less than this factor
 CLASS_FACTOR = 4
 K1, B = 1.2, 0.75
@@ -48,12 +47,12 @@ K1, B = 1.2, 0.75
 
 @dataclass(frozen=True)
 class LeakRule:
-    """``share``: of an item's own BM25 score; ``overlap``: of the words of question and of answer, each;
-    ``run``: words in a row that must agree for a word to count; ``least``: words of an item, as fewer
-    cannot be told from ordinary text. An item that is one text matches by ``overlap`` of all its words or
-    by ``streak`` words in a row; ``share`` is lowered to what these imply."""
+    """``share``: of an item's own BM25 score, for a passage to retrieve it; ``overlap``: of the words of question and of answer,
+    each; ``run``: words in a row that must agree for a word to count. An item that is one text matches by ``overlap``
+    of all its words or by ``streak`` words in a row. Fewer than ``least`` words cannot be told from ordinary text by a
+    part of them: such an item matches where all its words stand in a row."""
 
-    share: float = 0.6
+    share: float = 0.4
     overlap: float = 0.5
     run: int = 3
     least: int = 5
@@ -80,11 +79,11 @@ def term_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return found.hashes(), found.first
 
 
-def postings(items: DataFrame, least: int = 1) -> DataFrame:
+def postings(items: DataFrame) -> DataFrame:
     """(item_id, words, split, term, tf, score): weights are shares of the item's own score.
 
     ``words`` are the term hashes of question and answer in order, ``split`` is the place of the answer.
-    Items of fewer than ``least`` words are left out, as are those without a word. Of items that repeat an id all count;
+    Items without a word are left out. Of items that repeat an id all count;
     rows that repeat id, question and answer are one item.
     """
     id_type = dict(items.dtypes)["item_id"]
@@ -106,7 +105,7 @@ def postings(items: DataFrame, least: int = 1) -> DataFrame:
     read = items.select("item_id", "question", "answer").mapInArrow(
         terms, f"item_id {id_type}, words binary, split long, length long, terms array<long>, tfs array<long>")
     # a row that stands twice is one item: its terms would count twice in its own score
-    read = read.where(F.col("length") >= max(1, least)).dropDuplicates(["item_id", "words", "split"])
+    read = read.where("length > 0").dropDuplicates(["item_id", "words", "split"])
     read = materialise(read.withColumn("item", F.xxhash64("item_id", "words", "split")), "items")
     flat = read.select("item", "length", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select("item", "length", "p.terms", "p.tfs")
     df = flat.groupBy("terms").agg(F.count("*").alias("df"))
@@ -119,26 +118,10 @@ def postings(items: DataFrame, least: int = 1) -> DataFrame:
     return read.drop("terms", "tfs").join(scored, "item")
 
 
-def least_score(words: np.ndarray, scores: dict[int, float], rule: LeakRule) -> float:
-    """A bound: no passage that holds ``overlap`` of the words, or ``streak`` in a row, scores less."""
-    terms, place, counts = np.unique(words, return_inverse=True, return_counts=True)
-    # the score of a term, dealt over its places
-    each = (np.array([scores[t] for t in terms.astype(np.int64).tolist()]) / counts)[place]
-    need = math.ceil(rule.overlap * len(words) - 1e-9)
-    least = np.sort(each)[:need].sum()
-    if len(words) >= rule.streak:
-        sums = np.concatenate([[0.0], np.cumsum(each)])
-        least = min(least, (sums[rule.streak:] - sums[:-rule.streak]).min())
-    return max(float(least) * (1 - 1e-9), 1e-6)  # a bound also after rounding
-
-
 class Shard:
-    """The index of some items of one length class, as arrays.
-
-    With a ``rule``, weights of items that are one text are raised so that ``share`` is their threshold too.
-    """
+    """The index of some items of one length class, as arrays."""
 
-    def __init__(self, rows: list, share: float, rule: LeakRule | None = None):
+    def __init__(self, rows: list, share: float):
         rows = sorted(rows, key=lambda r: (r["length"], r["item"]))
         self.ids = [r["item_id"] for r in rows]
         self.words = [np.frombuffer(r["words"], np.uint64) for r in rows]
@@ -148,13 +131,6 @@ class Shard:
         item = np.repeat(np.arange(len(rows)), [len(r["postings"]) for r in rows])
         term = np.array([p["term"] for r in rows for p in r["postings"]], np.int64).astype(np.uint64)
         weight = np.array([p["score"] / r["own"] for r in rows for p in r["postings"]])
-        self.whole = [rule is not None and r["split"] in (0, len(w)) for r, w in zip(rows, self.words)]
-        self.scale = np.ones(len(rows))
-        for i in np.flatnonzero(self.whole):
-            scores = {p["term"]: p["score"] / rows[i]["own"] for p in rows[i]["postings"]}
-            self.scale[i] = max(1.0, share / least_score(self.words[i], scores, rule))
-        weight = weight * self.scale[item]
-        self.runs = self._runs(rule) if rule and rule.overlap > 0 else {}
         self.terms, place = np.unique(term, return_inverse=True)
         order = np.lexsort((item, place))
         # lists: cursors step through single numbers
@@ -163,67 +139,24 @@ class Shard:
         self.blocks = -(-len(rows) // BLOCK_ITEMS)
         self.block_max = np.zeros((len(self.terms), self.blocks), np.float32)
         np.maximum.at(self.block_max, (place, item // BLOCK_ITEMS), weight.astype(np.float32))
-        self.block_max *= np.float32(1 + 1e-6)  # a bound also after rounding
+        self.block_max *= np.float32(1 + 1e-5)  # a bound also after rounding, of sums too
         self.term_max = self.block_max.max(axis=1)
-        self.bounds = self.block_max.tolist()
-
-    def _runs(self, rule: LeakRule) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """Length -> sorted hashes of the runs of words of all items, and the item of each.
-
-        ``least_runs`` has how many runs of an item a passage needs at least to verify it.
-        """
-        found: dict[int, list[tuple[np.ndarray, int]]] = {}
-        self.least_runs = np.ones(len(self.words), np.int64)
-        for i, (words, split, whole) in enumerate(zip(self.words, self.split, self.whole)):
-            part = words if whole or not split else words[:split]
-            n = min(rule.run, rule.streak, len(part)) if whole else min(rule.run, len(part))
-            # a run covers the words of one window of the part; repeated ones count once for each window
-            need = -(-math.ceil(rule.overlap * len(part) - 1e-9) // min(rule.run, len(part)))
-            self.least_runs[i] = max(1, min(need, rule.streak - n + 1) if whole else need)
-            found.setdefault(n, []).append((shingle_hashes(part, np.array([0, len(part)]), n)[0], i))
-        out = {}
-        for n, some in found.items():
-            values = np.concatenate([v for v, _ in some])
-            order = np.argsort(values)
-            out[n] = values[order], np.repeat([i for _, i in some], [len(v) for v, _ in some])[order]
-        return out
-
-    def near(self, first: np.ndarray, shingles: Callable[[int], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Which segments (see ``passages``) begin a window that holds, with what verification reads around it,
-        as many runs of some item as its overlap needs."""
-        base = np.concatenate([[0], np.cumsum(-(-np.diff(first) // self.longest))])
-        near = np.zeros(base[-1], bool)
-        for n, (known, item) in self.runs.items():
-            values, at = shingles(n)
-            low = np.minimum(np.searchsorted(known, values), len(known) - 1)
-            found = np.flatnonzero(known[low] == values)
-            if not len(found):
-                continue
-            owner = np.searchsorted(at, found, side="right") - 1
-            segment = base[owner] + (found - at[owner]) // self.longest
-            low, high = low[found], np.searchsorted(known, values[found], side="right")
-            sizes = high - low
-            place = np.arange(sizes.sum()) + np.repeat(low - (np.cumsum(sizes) - sizes), sizes)
-            pair, counts = np.unique(np.repeat(segment, sizes) * np.int64(len(self.ids)) + item[place], return_counts=True)
-            segment, of = pair // len(self.ids), pair % len(self.ids)
-            # read are the segments from the one before a window to the second after its begin
-            window = np.concatenate([segment - 2, segment - 1, segment, segment + 1])
-            kept = (window >= 0) & (window < base[-1])
-            pair, back = np.unique((window * len(self.ids) + np.tile(of, 4))[kept], return_inverse=True)
-            total = np.bincount(back, np.tile(counts, 4)[kept], minlength=len(pair))
-            near[pair[total >= self.least_runs[pair % len(self.ids)]] // len(self.ids)] = True
-        return near
 
     def look_up(self, hashes: np.ndarray) -> np.ndarray:
         """The term number of each word, -1 for words outside the index."""
         at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
         return np.where(self.terms[at] == hashes, at, -1)
 
-    def wand(self, query: np.ndarray) -> list[tuple[int, float]]:
-        """(item, score) of all items that the distinct terms of ``query`` give the threshold, by block-max WAND."""
-        items, bounds, share, last = self.item, self.bounds, self.share, len(self.ids)
+    def wand(self, query: np.ndarray, live: np.ndarray | None = None) -> list[tuple[int, float]]:
+        """(item, score) of all items that the distinct terms of ``query`` give the threshold, by block-max WAND.
+
+        ``live`` are the blocks whose maxima reach it, where they are known.
+        """
+        if live is None:
+            live = np.flatnonzero(self.block_max[query].sum(axis=0) >= self.share)
+        items, share, last, blocks = self.item, self.share, len(self.ids), live.tolist()
         most = self.term_max[query].tolist()
-        cursors = [[items[self.first[t]], self.first[t], self.first[t + 1], m, t] for t, m in zip(query.tolist(), most)]
+        cursors = [[items[self.first[t]], self.first[t], self.first[t + 1], m] for t, m in zip(query.tolist(), most)]
         found = []
 
         def advance(some: list[list], item: int) -> None:
@@ -232,6 +165,7 @@ class Shard:
                     c[1] = at = bisect_left(items, item, c[1], c[2])
                     c[0] = items[at] if at < c[2] else last
 
+        place = 0
         while True:
             cursors.sort()
             while cursors and cursors[-1][0] == last:
@@ -247,14 +181,12 @@ class Shard:
             item = cursors[pivot][0]
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
                 pivot += 1
-            block = item // BLOCK_ITEMS
+            place = bisect_left(blocks, item // BLOCK_ITEMS, place)
+            if place == len(blocks):
+                return found
             ahead = cursors[:pivot + 1]
-            bound = 0.0
-            for c in ahead:
-                bound += bounds[c[4]][block]
-            if bound < share:
-                to = (block + 1) * BLOCK_ITEMS  # nothing of this block can reach it
-                advance(ahead, min(to, cursors[pivot + 1][0]) if pivot + 1 < len(cursors) else to)
+            if blocks[place] * BLOCK_ITEMS > item:
+                advance(cursors, blocks[place] * BLOCK_ITEMS)  # nothing of the blocks before can reach it
             elif ahead[0][0] == item:
                 score = sum(self.weight[c[1]] for c in ahead)
                 if score >= share:
@@ -263,28 +195,17 @@ class Shard:
             else:
                 advance(ahead, item)
 
-    def passages(self, hashes: np.ndarray, first: np.ndarray, near: np.ndarray | None = None) -> Iterator[tuple[int, int, int, np.ndarray]]:
-        """(text, from word, to word, term numbers) of the passages that some block could answer.
-
-        With ``near``, only the windows that begin with these segments count.
-        """
+    def passages(self, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+        """(text, from word, to word, term numbers, blocks) of the passages that some blocks could answer."""
         step = self.longest
         counts = np.diff(first)
         segments = -(-counts // step)
         base = np.concatenate([[0], np.cumsum(segments)])
-        if not base[-1] or near is not None and not near.any():
+        if not base[-1]:
             return
-        at = np.arange(len(hashes))
-        if near is not None:
-            read = near.copy()  # the second segment of a window too
-            read[1:] |= near[:-1]
-            read = np.flatnonzero(read)
-            text = np.searchsorted(base, read, side="right") - 1
-            begin = first[text] + (read - base[text]) * step
-            sizes = np.minimum(begin + step, first[text + 1]) - begin
-            at = np.arange(sizes.sum()) + np.repeat(begin - (np.cumsum(sizes) - sizes), sizes)
-        term = self.look_up(hashes[at])
-        known, term = at[term >= 0], term[term >= 0]
+        term = self.look_up(hashes)
+        known = np.flatnonzero(term >= 0)
+        term = term[known]
         owner = np.searchsorted(first, known, side="right") - 1
         segment = base[owner] + (known - first[owner]) // step
         pair = np.unique(segment * np.int64(len(self.terms)) + term)
@@ -303,8 +224,6 @@ class Shard:
             return own
 
         alive = reach(self.term_max) >= self.share
-        if near is not None:
-            alive &= near
         # a text of several segments is covered by the windows that start at all but its last one
         starts = follows | (segments[text_of] == 1)
         alive &= starts
@@ -320,7 +239,7 @@ class Shard:
                 s = some[k]
                 text = int(text_of[s])
                 begin = int(first[text] + (s - base[text]) * step)
-                yield text, begin, min(begin + 2 * step, int(first[text + 1])), np.unique(term[bounds[s]:ends[k]])
+                yield text, begin, min(begin + 2 * step, int(first[text + 1])), np.unique(term[bounds[s]:ends[k]]), np.flatnonzero(sums[k] >= self.share)
 
 
 def covered(part: np.ndarray, passage: np.ndarray, run: int) -> float:
@@ -347,12 +266,21 @@ def streak_stands(part: np.ndarray, passage: np.ndarray, streak: int) -> bool:
     return bool(np.isin(mine, theirs).any())
 
 
+def verified(words: np.ndarray, split: int, passage: np.ndarray, rule: LeakRule) -> tuple[float, float, bool]:
+    """(overlap of the question, of the answer, do they make a match) of an item and a passage that retrieved it."""
+    question, answer = covered(words[:split], passage, rule.run), covered(words[split:], passage, rule.run)
+    if len(words) < rule.least:
+        return question, answer, streak_stands(words, passage, len(words))
+    whole = split in (0, len(words))
+    return question, answer, min(question, answer) >= rule.overlap or whole and streak_stands(words, passage, rule.streak)
+
+
 def leaks(docs: DataFrame, items: DataFrame, rule: LeakRule = LeakRule(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): every verified match of a document and an item.
 
     ``items`` has item_id, question and answer (see ``whole_items`` and ``split_items``); an empty or null question
     or answer counts as covered, and the item is verified as a whole: by ``rule.overlap`` of its words or
-    ``rule.streak`` of them in a row. An item of fewer than ``rule.least`` words matches nothing. ``score`` is the share of the item's own BM25 score in the best passage. Null and empty
+    ``rule.streak`` of them in a row. An item of fewer than ``rule.least`` words matches where all of them stand in a row. ``score`` is the share of the item's own BM25 score in the best passage. Null and empty
     texts match nothing; an empty table of either kind gives no rows. Rows that repeat a doc_id are one
     document. Other columns are ignored.
     """
@@ -360,7 +288,7 @@ def leaks(docs: DataFrame, items: DataFrame, rule: LeakRule = LeakRule(), doc_id
     bounded_batches(spark)
     doc_type, item_type = dict(docs.dtypes)[doc_id], dict(items.dtypes)["item_id"]
     schema = f"doc_id {doc_type}, item_id {item_type}, score double, question_overlap double, answer_overlap double"
-    index = postings(items, rule.least).withColumn("class", F.floor(F.log(F.col("length")) / F.log(F.lit(float(CLASS_FACTOR)))))
+    index = postings(items).withColumn("class", F.floor(F.log(F.col("length")) / F.log(F.lit(float(CLASS_FACTOR)))))
     total = index.agg(F.sum(F.size("postings"))).first()[0] or 0
     shards = max(1, -(-total // SHARD_POSTINGS))
     index = materialise(index.withColumn("shard", F.pmod("item", F.lit(shards))), "index")
@@ -370,7 +298,7 @@ def leaks(docs: DataFrame, items: DataFrame, rule: LeakRule = LeakRule(), doc_id
         held: dict[tuple, list] = {}
         for r in index.where(F.col("shard").between(low, low + PASS_SHARDS - 1)).collect():  # bounded, see above
             held.setdefault((r["shard"], r["class"]), []).append(r)
-        shared = spark.sparkContext.broadcast([Shard(own, rule.share, rule) for own in held.values()])
+        shared = spark.sparkContext.broadcast([Shard(own, rule.share) for own in held.values()])
         part = rows.mapInArrow(_search(shared, rule), schema)
         found = part if found is None else found.union(part)
     return found.groupBy("doc_id", "item_id").agg(F.max(F.struct(
@@ -385,18 +313,15 @@ def _search(shared, rule: LeakRule):
             for part, data, bounds in bw.slices(batch, "text"):
                 found = bw.runs(data, bounds, bw.ALNUM_BYTES, bw.LOWER_ASCII)
                 hashes = found.hashes()
-                shingles = cache(partial(shingle_hashes, hashes, found.first))  # of one length for all shards
                 for shard in shared.value:
-                    near = shard.near(found.first, shingles) if shard.runs else None
-                    for text, begin, end, query in shard.passages(hashes, found.first, near):
-                        for item, score in shard.wand(query):
+                    for text, begin, end, query, live in shard.passages(hashes, found.first):
+                        for item, score in shard.wand(query, live):
                             # an item may reach over the edge of the passage
                             low = max(begin - shard.longest, int(found.first[text]))
                             passage = hashes[low:min(end + shard.longest, int(found.first[text + 1]))]
-                            words, split = shard.words[item], shard.split[item]
-                            question, answer = covered(words[:split], passage, rule.run), covered(words[split:], passage, rule.run)
-                            if min(question, answer) >= rule.overlap or shard.whole[item] and streak_stands(words, passage, rule.streak):
-                                out.append((part.column(0)[text].as_py(), shard.ids[item], score / shard.scale[item], question, answer))
+                            question, answer, matches = verified(shard.words[item], shard.split[item], passage, rule)
+                            if matches:
+                                out.append((part.column(0)[text].as_py(), shard.ids[item], score, question, answer))
             if out:
                 columns = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])

@@ -55,7 +55,7 @@ def fold(parts: int):
 
 @query()
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every verified match of a document and a benchmark item."""
+    """Every verified match of a document and a benchmark item. The items are one text each, so there is no answer to verify apart."""
     return leaks(table(spark, sf_dir, "documents"), whole_items(table(spark, sf_dir, "benchmark")))
 
 

@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 from tablewright.llm.streams import bounded_batches
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: counts kept per Python worker; the cache starts anew beyond
+#: counts kept per Python worker, and the characters of a word beyond which its count is not kept; the cache starts anew when full
 CACHE_WORDS = 300_000
+LONG_WORD = 64
+#: words looked up between two looks at the bound
+CACHE_STEP = 10_000
 
 
 class Automaton:
@@ -115,9 +118,20 @@ class _Counts(dict):
 
     def __missing__(self, word: str) -> int:
         pieces, unknown = self.automaton.count(word)
-        self[word] = value = pieces | unknown << 40
+        value = pieces | unknown << 40
+        if len(word) <= LONG_WORD:
+            self[word] = value
         return value
 
+    def total(self, words: list[str]) -> int:
+        """The sum over the words, in steps, so that a text of many new words cannot outgrow the bound."""
+        out = 0
+        for k in range(0, len(words), CACHE_STEP):
+            if len(self) > CACHE_WORDS:
+                self.clear()
+            out += sum(map(self.__getitem__, words[k:k + CACHE_STEP]))
+        return out
+
 
 _loaded: dict[str, _Counts] = {}
 
@@ -140,9 +154,7 @@ def token_counts(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text:
             out = []
             for text in batch.column(1).to_pylist():
                 words = WORD.findall(text) if text else []
-                if len(known) > CACHE_WORDS:
-                    known.clear()
-                out.append((len(words), sum(map(known.__getitem__, words))))
+                out.append((len(words), known.total(words)))
             tokens = [t & (1 << 40) - 1 for _, t in out]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([n for n, _ in out], pa.int64()), pa.array(tokens, pa.int64()),

@@ -301,3 +301,15 @@ def test_hilbert_curve_visits_every_cell_by_single_steps():
     assert sorted(keys) == list(range(512))
     path = cells[np.argsort(keys)]
     assert (np.abs(np.diff(path, axis=0)).sum(axis=1) == 1).all()
+
+
+def test_count_cache_keeps_no_long_words():
+    """Texts without spaces leave nothing behind, and many new words stay within the bound and a step."""
+    from tablewright.llm import wordpiece
+
+    known = wordpiece._Counts(wordpiece.Automaton(["a", "b"], ["a", "b"]))
+    for k in range(200):
+        assert known.total(["ab" * (2_000 + k)]) == 2 * (2_000 + k)
+    assert not known
+    many = [format(k, "b").replace("0", "a").replace("1", "b") for k in range(400_000)]
+    assert known.total(many) == sum(map(len, many)) and len(known) <= wordpiece.CACHE_WORDS + wordpiece.CACHE_STEP

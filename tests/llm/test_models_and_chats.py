@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,7 +33,8 @@ def test_leaks(spark, messy, bench_rows):
     docs = messy.select("doc_id", "text", "score").unionByName(spark.createDataFrame(rows, "doc_id long, text string"), allowMissingColumns=True)
     items = decontaminate.split_items(spark.createDataFrame(bench_rows, "item_id long, text string"))
     got = decontaminate.leaks(docs, items).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in got} == set(leaked)
+    # three documents hold the item of one word
+    assert {(r["doc_id"], r["item_id"]) for r in got} == set(leaked) | {(306, 92), (307, 92), (308, 92)}
     assert all(r["score"] > 0.99 and r["question_overlap"] == 1 == r["answer_overlap"] for r in got)
 
 
@@ -73,13 +76,77 @@ def test_parts_of_whole_items_leak(spark, monkeypatch, shards):
         long = {tuple(d[k:k + 13]) for k in range(len(d) - 12)}
         return 2 * len(held) >= len(w) or any(tuple(w[k:k + 13]) in long for k in range(len(w) - 12))
 
-    # parts lie whole in one passage here, so a match in the document is one in a passage
-    want = {(i, k) for i, d in docs for k, w in items if leaked(w, d)}
-    assert {(8 * k + j, k) for k in range(60) for j in (0, 1, 2, 3)} <= want
+    # retrieval, by adding BM25 up for every window and item
+    own_terms = [Counter(w) for _, w in items]
+    df = Counter(t for c in own_terms for t in c)
+    mean = sum(len(w) for _, w in items) / len(items)
+
+    def weight(t, k):
+        tf = own_terms[k][t]
+        return np.log1p((len(items) - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(items[k][1]) / mean))
+
+    weights = [{t: weight(t, k) for t in own_terms[k]} for k in range(len(items))]
+    longest = {}
+    for _, w in items:
+        kind = int(np.log(len(w)) / np.log(4))
+        longest[kind] = max(longest.get(kind, 0), len(w))
+    retrieved, want = set(), set()
+    for i, d in docs:
+        for kind, step in longest.items():
+            for begin in range(0, max(1, len(d) - step), step):
+                held = set(d[begin:begin + 2 * step])
+                for k, w in items:
+                    if int(np.log(len(w)) / np.log(4)) == kind and sum(x for t, x in weights[k].items() if t in held) >= 0.4 * sum(weights[k].values()):
+                        retrieved.add((i, k))
+                        if leaked(w, d[max(0, begin - step):begin + 3 * step]):
+                            want.add((i, k))
+    overlap = {(i, k) for i, d in docs for k, w in items if leaked(w, d)}
+    # what the threshold leaves out of all that the words alone would verify, and the parts that no threshold may leave out
+    assert want <= overlap and len(want) >= 0.9 * len(overlap) and len(retrieved) > 2 * len(want)
+    assert {(8 * k + j, k) for k in range(60) for j in (0, 1)} <= want
+    # retrieval decides: some documents hold thirteen words of an item in a row, and too little of its score
+    assert overlap - want
     frame = spark.createDataFrame([(i, " ".join(d)) for i, d in docs], "doc_id long, text string")
     bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
-    got = decontaminate.leaks(frame, decontaminate.whole_items(bench)).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in got} == want
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(frame, decontaminate.whole_items(bench)).collect()}
+    if shards == 20_000:
+        assert got == want
+    else:  # items of a shard have windows of their own longest item
+        assert got <= overlap and len(got) >= 0.9 * len(overlap)
+
+
+def test_retrieval_decides(spark, monkeypatch):
+    """Thirteen words of a long item in a row would verify it, but are too little of its score; a search that gives all items finds it."""
+    item = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(20, 33))), (2, item)], "doc_id long, text string")
+    items = decontaminate.whole_items(spark.createDataFrame([(1, item), (2, "some other words " * 9)], "item_id long, text string"))
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, items).collect()] == [(2, 1)]
+    rows = decontaminate.postings(items).collect()
+    shard = decontaminate.Shard(rows, 0.4)
+    words, first = decontaminate.term_hashes(pa.array([" ".join(f"w{k}" for k in range(20, 33))]))
+    assert not list(shard.passages(words, first)) and shard.wand(np.unique(shard.look_up(words))) == []
+    # the words alone would have verified it
+    at = next(k for k, w in enumerate(shard.words) if len(w) == 60)
+    assert decontaminate.verified(shard.words[at], shard.split[at], words, decontaminate.LeakRule())[2]
+
+
+def test_short_items_match_as_phrases(spark):
+    docs = spark.createDataFrame([(1, "so Ten times ten, it is"), (2, "ten it times ten"), (3, "times ten"), (4, "what was asked: ten times ten")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "ten times ten"), (2, "was"), (3, "!")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, decontaminate.whole_items(items)).collect()}
+    assert got == {(1, 1), (4, 1), (4, 2)}
+    parts = spark.createDataFrame([(1, "was asked", "ten times")], "item_id long, question string, answer string")
+    assert [r["doc_id"] for r in decontaminate.leaks(docs, parts).collect()] == [4]
+
+
+def test_question_and_answer_in_the_stage(spark):
+    """Items with both parts: a document needs both of them."""
+    rng = random.Random(5)
+    items = [(k, words(rng, 20), words(rng, 12)) for k in range(12)]
+    docs = [(3 * k + j, words(rng, 60) + " " + part) for k, q, a in items for j, part in enumerate((f"{q} {a}", q, a))]
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, question string, answer string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(3 * k, k) for k in range(12)}
+    assert all(r["question_overlap"] == r["answer_overlap"] == 1 for r in got)
 
 
 def test_wand_finds_what_adding_up_finds():
