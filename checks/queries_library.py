@@ -9,7 +9,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import functions as F
 
-from checks.catalog import query
+from checks.catalog import query, table
 from checks.fixtures import LIBRARY, library
 from tablewright.operators import library as lib
 from tablewright.session import scratch_path
@@ -170,3 +170,34 @@ def library_bundle_import(spark, sf_dir):
     rows.groupBy("bundle").applyInPandas(pack, "path string").count()
     return lib.read_bundles(spark, [folder]).select(
         "id", "script_content", "status", "error_type", F.posexplode("vector").alias("pos", "element"))
+
+
+@query("""SELECT 'bundle' || (c_custkey // 50) || '.zip' AS archive, 'entry' || c_custkey || '/embedding.json' AS member, 'not the JSON that is expected' AS error
+FROM customer WHERE c_custkey % 11 = 0 AND (c_custkey // 50) % 3 <> 1
+UNION ALL SELECT DISTINCT 'bundle' || (c_custkey // 50) || '.zip', '', 'cannot be read' FROM customer WHERE (c_custkey // 50) % 3 = 1""")
+def library_bundle_errors(spark, sf_dir):
+    """Bundles of which some are cut off and some hold a malformed vector: each is told."""
+    folder = scratch_path(spark, "bundles")
+
+    def pack(batch: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for key in batch["key"]:
+                z.writestr(f"entry{key}/embedding.json", "[1.0, 2.0" if key % 11 == 0 else "[1.0, 2.0]")
+                z.writestr(f"entry{key}/script.py", f"step {key}")
+        number = int(batch["bundle"].iloc[0])
+        data = out.getvalue()[:-40] if number % 3 == 1 else out.getvalue()
+        path = f"{folder}/bundle{number}.zip"
+        system, inner = open_path(path)
+        system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+        with system.open_output_stream(inner, compression=None) as stream:
+            stream.write(data)
+        return pd.DataFrame({"path": [path]})
+
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.floor(F.col("c_custkey") / 50).alias("bundle"))
+    rows.groupBy("bundle").applyInPandas(pack, "path string").count()
+    found = lib.bundle_errors(spark, [folder])
+    # what the reader of the archive says is its own; that it says it is what counts
+    whole = F.col("error").startswith("not the JSON")
+    return found.select(F.element_at(F.split("archive", "/"), -1).alias("archive"), F.coalesce(F.when(whole, F.col("member")), F.lit("")).alias("member"),
+                        F.when(whole, F.col("error")).otherwise("cannot be read").alias("error"))

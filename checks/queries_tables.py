@@ -10,7 +10,7 @@ from checks.fixtures import (
     messy_twice, sql_bool, sql_number, sql_repair,
 )
 from tablewright.functions import lenient, numbers, text
-from tablewright.operators import unmatched
+from tablewright.operators import dates, unmatched
 from tablewright.plans.table_function import Contract, register_fix
 from tablewright.operators import clean, compare, issues, padjust, profile, project, repair, validate
 from tablewright.operators.clean import quoted
@@ -463,3 +463,18 @@ def fix_udtf(spark, sf_dir):
     messy(spark, sf_dir).createOrReplaceTempView("messy_symbols")
     called = spark.sql("SELECT * FROM fix_symbols(TABLE(SELECT row_id, Gene_ID, log2FC FROM messy_symbols))")
     return called.withColumn("contract_error", F.regexp_extract("contract_error", "^[^:]*", 0))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS row_id, CAST(o_orderdate AS DATE) AS d, o_orderkey % 97 = 0 AS odd, day(o_orderdate) <= 12 AS low FROM orders)
+SELECT row_id, CASE WHEN NOT odd THEN d END AS day_first, d AS month_first, CASE WHEN NOT odd THEN d END AS named,
+  CASE WHEN low THEN make_date(year(d), day(d), month(d)) END AS unsure FROM o""")
+def lenient_dates_by_column(spark, sf_dir):
+    """Days first or months first for whole columns; where no day settles it, months first; what has another format is not read."""
+    o, d = table(spark, sf_dir, "orders"), F.col("o_orderdate")
+    odd = F.col("o_orderkey") % 97 == 0
+    texts = o.select(
+        F.col("o_orderkey").alias("row_id"), F.when(odd, F.date_format(d, "yyyy-MM-dd")).otherwise(F.date_format(d, "dd/MM/yyyy")).alias("day_first"),
+        F.date_format(d, "M/d/yyyy").alias("month_first"), F.when(odd, "soon").otherwise(F.date_format(d, "d MMM yyyy")).alias("named"),
+        F.when(F.dayofmonth(d) <= 12, F.date_format(d, "dd/MM/yyyy")).alias("unsure"))
+    typed, _ = dates.dates_by_column(texts, ["day_first", "month_first", "named", "unsure"])
+    return typed

@@ -72,9 +72,11 @@ def to_timestamp(c: Column, dtype: T.DataType, formats: list[str] | None = None)
     if not isinstance(dtype, T.StringType):
         return F.lit(None).cast("timestamp_ntz")
     text = strip(c)
-    tries = [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz")
-             for f in formats or TIMESTAMP_FORMATS + ZONED_FORMATS]
-    return F.coalesce(*tries)
+    if formats is None:
+        formats = TIMESTAMP_FORMATS + ZONED_FORMATS
+    if not formats:
+        return F.lit(None).cast("timestamp_ntz")
+    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats])
 
 
 def to_date(c: Column, dtype: T.DataType, formats: list[str] | None = None) -> Column:
@@ -86,8 +88,8 @@ def to_text(c: Column) -> Column:
     return c.cast("string")
 
 
-def convert(c: Column, dtype: T.DataType, target: str) -> Column:
-    """Lenient conversion to a schema type name."""
+def convert(c: Column, dtype: T.DataType, target: str, formats: list[str] | None = None) -> Column:
+    """Lenient conversion to a schema type name; dates in one of ``formats``, or of all known ones."""
     if target == "float":
         return to_number(c, dtype)
     if target == "int":
@@ -95,7 +97,7 @@ def convert(c: Column, dtype: T.DataType, target: str) -> Column:
     if target == "bool":
         return to_boolean(c, dtype)
     if target == "date":
-        return to_date(c, dtype)
+        return to_date(c, dtype, formats)
     if target == "datetime":
-        return to_timestamp(c, dtype)
+        return to_timestamp(c, dtype, formats)
     return to_text(c)

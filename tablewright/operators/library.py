@@ -180,6 +180,18 @@ def read_bundles(spark: SparkSession, paths: list[str], size: int = VECTOR_SIZE)
         "m.fingerprint_tokens", "vector", F.coalesce("m.vocab_id", F.lit("")).alias("vocab_id"))
 
 
+def bundle_errors(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(archive, member, error) of what ``read_bundles`` could not read: bundles that are broken or cut off, members that are, and
+    entries whose vector or metadata is no JSON. Its rows are those of the other entries and members."""
+    members = archives.read_members(spark, paths)
+    broken = members.where(F.col("error").isNotNull()).select("archive", "member", "error")
+    text, file = F.decode("content", "UTF-8"), F.element_at(F.split("member", "/"), -1)
+    vector, facts = F.from_json(text, "array<double>"), F.try_parse_json(text)
+    bad = F.when(file == "embedding.json", vector.isNull()).when(file == "metadata.json", facts.isNull())
+    malformed = members.where(F.col("error").isNull() & (F.size(F.split("member", "/")) >= 2) & F.coalesce(bad, F.lit(False)))
+    return broken.unionByName(malformed.select("archive", "member", F.lit("not the JSON that is expected").alias("error")))
+
+
 class FixLibrary:
     """A library at a path: full versions, and additions on top of them.
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablewright.functions import lenient, numbers, text
+from tablewright.operators.dates import column_formats
 from tablewright.operators.clean import quoted
 from tablewright.plans.schema import TargetColumn, TargetSchema
 
@@ -62,6 +63,7 @@ class RepairPlan:
     start_type: T.DataType
     round: int  # 0 for the first plan on a source, 1 for the second, ...
     transforms: bool
+    formats: tuple[str, ...] | None = None  # of dates; None tries all formats on every value
 
     def at(self, stage: str) -> str:
         return f"__{self.index}_{stage}"
@@ -92,7 +94,7 @@ class RepairPlan:
             ranged = typed
         return [
             ("moved", transform_value(quoted(self.start), self.start_type, self.transform)),
-            ("typed", lenient.convert(F.col(self.at("moved")), moved_type, self.col.type)),
+            ("typed", lenient.convert(F.col(self.at("moved")), moved_type, self.col.type, None if self.formats is None else list(self.formats))),
             ("ranged", ranged),
             ("filled", fill_null(F.col(self.at("ranged")), self.col)),
         ]
@@ -129,9 +131,15 @@ def _outside(c: Column, low: float | None, high: float | None) -> Column:
 
 
 def plan_repairs(df: DataFrame, schema: TargetSchema, mapping: dict[str, str],
-                 transforms: bool) -> list[RepairPlan]:
-    """Plans in schema order. A source bound twice continues from its earlier plan."""
+                 transforms: bool, by_column: bool = True) -> list[RepairPlan]:
+    """Plans in schema order. A source bound twice continues from its earlier plan.
+
+    ``by_column``: dates of a text column all have the format that fits most of its values, found in a pass over
+    such columns; else each value takes the first format that fits it, as it must where a column is never seen whole.
+    """
     types = {f.name: f.dataType for f in df.schema}
+    dated = [mapping[c.name] for c in schema.columns if c.type in ("date", "datetime") and isinstance(types.get(mapping.get(c.name)), T.StringType)]
+    formats = column_formats(df, dated) if by_column and dated else {}
     last: dict[str, RepairPlan] = {}
     plans = []
     for col in schema.columns:
@@ -143,7 +151,8 @@ def plan_repairs(df: DataFrame, schema: TargetSchema, mapping: dict[str, str],
             start, dtype, turn = source, types[source], 0
         else:
             start, dtype, turn = earlier.at("filled"), earlier.col.spark_type, earlier.round + 1
-        plan = RepairPlan(len(plans), col, source, start, dtype, turn, transforms)
+        known = (formats[source],) if formats.get(source) else () if source in formats else None
+        plan = RepairPlan(len(plans), col, source, start, dtype, turn, transforms, known if earlier is None else None)
         plans.append(plan)
         last[source] = plan
     return plans

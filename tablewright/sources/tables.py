@@ -19,6 +19,8 @@ from tablewright.sources.records import ArrayElements, QuotedLines, records
 
 # Delimiters in the order they are tried.
 DELIMITERS = [",", "\t", ";", "|"]
+#: bytes that a header may have
+MOST_HEADER = 16 << 20
 SPARE = "__extra"
 START = "__start"
 # marks "no field here" apart from "empty field"; cannot occur in text read as a table
@@ -68,7 +70,10 @@ def _header_ends(text: str, seps: list[str]) -> bool:
 
 @F.pandas_udf(T.BinaryType())
 def whole_header(path: pd.Series, head: pd.Series, encoding: pd.Series, fixed_sep: pd.Series) -> pd.Series:
-    """The file heads, read on where the header does not end in them. A null path leaves its head as it is."""
+    """The file heads, read on where the header does not end in them. A null path leaves its head as it is.
+
+    A header that does not end within MOST_HEADER bytes gives an empty head, so that the file counts as unreadable.
+    """
     out = []
     for at, data, enc, fixed in zip(path, head, encoding, fixed_sep):
         seps = [fixed] if fixed else DELIMITERS
@@ -78,6 +83,9 @@ def whole_header(path: pd.Series, head: pd.Series, encoding: pd.Series, fixed_se
                 data, more = b"", stream.read(2 * HEAD_BYTES)
                 while more:
                     data += more
+                    if len(data) > MOST_HEADER:
+                        data = b""
+                        break
                     more = b"" if _header_ends(data.decode(enc, errors="replace"), seps) else stream.read(len(data))
         out.append(data)
     return pd.Series(out, dtype=object)

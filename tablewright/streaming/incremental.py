@@ -25,7 +25,7 @@ def row_local(df: DataFrame, schema: TargetSchema) -> DataFrame:
         raise ValueError("adjusted p-values need the whole table; run them as a batch job")
     clean = cleaned(df)
     bound = mapping(resolve(clean.columns, schema))
-    return project(apply_repairs(clean, plan_repairs(clean, schema, bound, transforms=False)), schema, bound)
+    return project(apply_repairs(clean, plan_repairs(clean, schema, bound, transforms=False, by_column=False)), schema, bound)
 
 
 def cleaned(df: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def batch_issues(df: DataFrame, schema: TargetSchema) -> DataFrame:
     """(target, column, coerced, clamped, nulls, pattern_after, rows) of one batch."""
     clean = cleaned(df)
     bound = mapping(resolve(clean.columns, schema))
-    return repair_counters(clean, plan_repairs(clean, schema, bound, transforms=False)).drop("position")
+    return repair_counters(clean, plan_repairs(clean, schema, bound, transforms=False, by_column=False)).drop("position")
 
 
 def read_arrivals(spark: SparkSession, folder: str, header: list[str], sep: str = ",",

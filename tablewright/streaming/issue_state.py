@@ -79,7 +79,7 @@ def start_issue_state(arrivals: DataFrame, schema: TargetSchema, output: str, ch
     """Keep the counters of every bound column of ``schema`` while rows arrive; each batch writes the totals it changed."""
     spark = arrivals.sparkSession
     rows = cleaned(arrivals)
-    plans = plan_repairs(rows, schema, mapping(resolve(rows.columns, schema)), transforms=False)
+    plans = plan_repairs(rows, schema, mapping(resolve(rows.columns, schema)), transforms=False, by_column=False)
     totals = checked(rows, plans).groupBy("target", "column").transformWithStateInPandas(
         statefulProcessor=Totals(share), outputStructType=TOTALS, outputMode="Update", timeMode="None")
 
