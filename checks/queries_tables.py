@@ -14,8 +14,11 @@ from tablewright.operators import dates, unmatched
 from tablewright.plans.table_function import Contract, register_fix
 from tablewright.operators import clean, compare, issues, padjust, profile, project, repair, validate
 from tablewright.operators.clean import quoted
-from tablewright.plans.harmonise import diagnose, preprocess, rule_diagnosis
+from tablewright.operators.snapshots import SnapshotStore
+from tablewright.plans.harmonise import diagnose, preprocess, rule_diagnosis, run
+from tablewright.plans.recipes import recipe, recipe_json
 from tablewright.plans.resolve import mapping, resolve
+from tablewright.session import scratch_path
 from tablewright.plans.schema import STANDARD, TargetColumn, TargetSchema
 
 STRING = T.StringType()
@@ -478,3 +481,25 @@ def lenient_dates_by_column(spark, sf_dir):
         F.when(F.dayofmonth(d) <= 12, F.date_format(d, "dd/MM/yyyy")).alias("unsure"))
     typed, _ = dates.dates_by_column(texts, ["day_first", "month_first", "named", "unsure"])
     return typed
+
+
+@query(f"""WITH {CLEANED}, r AS (SELECT row_id, {sql_repair('"Gene_ID"')} AS g, {SQL_FC} AS f, coalesce({SQL_P01}, 1.0) AS p FROM cleaned),
+t AS (SELECT row_id, 'table' AS kind, g AS "GeneSymbol", f AS "FoldChange", p AS "PValue", NULL AS fix, NULL::BOOLEAN AS worked FROM r WHERE g IS NOT NULL AND f IS NOT NULL)
+SELECT * FROM t
+UNION ALL SELECT 1, 'attempt', NULL, NULL, NULL, 'broken', false UNION ALL SELECT 2, 'attempt', NULL, NULL, NULL, 'clamps', true
+UNION ALL SELECT 3, 'attempt', NULL, NULL, NULL, 'fills', true
+UNION ALL SELECT count(*), 'rows in the last snapshot', NULL, NULL, NULL, NULL, true FROM t""")
+def run_with_recipes(spark, sf_dir):
+    """The whole run with recipes: one that fails, one that does not settle the issues, and one that does; with snapshots."""
+    recipes = {"broken": [{"op": "convert", "column": "nowhere", "type": "float"}], "clamps": [{"op": "clamp", "column": "PValue", "low": 0, "high": 1}],
+               "fills": [{"op": "fill", "column": "PValue", "value": 1.0}, {"op": "drop_nulls", "columns": ["GeneSymbol", "FoldChange"]}]}
+    store = SnapshotStore(spark, scratch_path(spark, "run-snapshots"))
+    outcome = run(nulled(spark, sf_dir), STANDARD, {name: recipe(recipe_json(steps)) for name, steps in recipes.items()}, snapshots=store, min_severity="warning")
+    if not outcome.success:
+        raise ValueError("the run did not end with a valid table")
+    attempts = outcome.attempts_table(spark).select(F.col("iteration").cast("bigint").alias("row_id"), F.lit("attempt").alias("kind"), F.col("fix"), F.col("success").alias("worked"))
+    _, last = store.latest_of("fix_attempt")
+    kept = last.agg(F.count("*").alias("row_id")).select(
+        "row_id", F.lit("rows in the last snapshot").alias("kind"), F.lit(None).cast("string").alias("fix"), F.lit(True).alias("worked"))
+    table_rows = outcome.df.withColumns({"kind": F.lit("table"), "fix": F.lit(None).cast("string"), "worked": F.lit(None).cast("boolean")})
+    return table_rows.unionByName(attempts.unionByName(kept), allowMissingColumns=True)
