@@ -14,7 +14,7 @@ from tablewright.llm.decontaminate import leaks, whole_items
 from tablewright.llm.filter_audit import CAPITALS_PERCENT, DISTINCT_PERCENT, audit
 from tablewright.llm.filter_audit import MIN_WORDS as AUDIT_WORDS
 from tablewright.llm.idfiles import read_digests, write_id_files
-from tablewright.llm.line_dedup import MIN_SITES, MIN_WORDS, remove_spread_lines
+from tablewright.llm.line_dedup import LONG_SITES, LONG_WORDS, MIN_SITES, MIN_WORDS, remove_spread_lines
 from tablewright.llm.near_dedup import NearRule, near_duplicates
 from tablewright.llm.packing import pack
 from tablewright.llm.quality_rules import BASE_RULES, DEFAULT_STRENGTH, HOST_RULES, REJECT_RATE, quality_rules
@@ -171,15 +171,15 @@ l AS (SELECT doc_id, source, unnest(ls) AS line, generate_subscripts(ls, 1) AS i
 k AS (SELECT *, regexp_replace(line, '^{SPACE}+|{SPACE}+$', '', 'g') AS body FROM l),
 far AS (
   SELECT body, min((doc_id, i)) AS first FROM k WHERE len(regexp_extract_all(body, '{WORD}')) >= {MIN_WORDS}
-  GROUP BY body HAVING count(DISTINCT source) >= {MIN_SITES}),
+  GROUP BY body HAVING count(DISTINCT source) >= CASE WHEN len(regexp_extract_all(body, '{WORD}')) > {LONG_WORDS} THEN {LONG_SITES} ELSE {MIN_SITES} END),
 marked AS (SELECT k.*, far.body IS NOT NULL AND (doc_id, i) <> first AS gone FROM k LEFT JOIN far USING (body))
 SELECT doc_id, count(*) FILTER (regexp_matches(line, '{WORD}')) AS n_lines, count(*) FILTER (gone) AS n_removed,
   md5(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS text_md5
 FROM marked GROUP BY doc_id
 """)
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the lines that spread over many sources."""
-    clean = remove_spread_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    """Every document without the lines that spread over many sources, or long ones over a few, as in the pipeline."""
+    clean = remove_spread_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), long_sites=LONG_SITES)
     lines = F.size(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(WORD)))
     removed = F.size("removed_lines")
     return clean.select("doc_id", (lines + removed).cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"), F.md5(F.col("text").cast("binary")).alias("text_md5"))

@@ -26,8 +26,6 @@ from tablewright.session import materialise
 #: labelled documents that are counted, and those the chain is fitted on, at most
 COUNT_DOCS = 20_000
 CHAIN_DOCS = 3_000
-#: marks that are taken as toxic, at most
-MARKS = 20_000
 WEIGHT_BITS = 18
 #: bytes of the beginnings and of the end that are features of a word
 PARTS = (4, 6, -3)
@@ -196,10 +194,11 @@ def _families(train: DataFrame, candidates: np.ndarray) -> DataFrame:
         F.count("*").alias("n"), F.sum("toxic").alias("toxic"))
 
 
-def toxic_marks(train: DataFrame, marks: int = MARKS) -> list[int]:
-    """Keys of features that stand almost only in toxic documents, the surest first, at most ``marks``.
+def toxic_marks(train: DataFrame) -> list[int]:
+    """Keys of features that stand almost only in toxic documents, the surest first.
 
-    They are found by document counts, and confirmed by the families of documents that hold them.
+    They are found by document counts, and confirmed by the families of documents that hold them. The statistics alone
+    decide how many there are; as each stands in four documents or more of a sample of bounded size, so is their number bounded.
     """
     n, toxic = train.agg(F.count("*"), F.sum("label")).first()
     if not n or not toxic or toxic == n:
@@ -209,7 +208,7 @@ def toxic_marks(train: DataFrame, marks: int = MARKS) -> list[int]:
         hoped = F.col("n") * (toxic / n)
         surety = (F.col("toxic") - hoped) / F.sqrt(hoped)
         found = counted.where((F.col("toxic") >= 4) & (F.col("toxic") >= 0.9 * F.col("n")))
-        return [r["key"] for r in found.select("key", surety.alias("z")).where("z > 5").orderBy(F.desc("z"), "key").limit(marks).collect()]
+        return [r["key"] for r in found.select("key", surety.alias("z")).where("z > 5").orderBy(F.desc("z"), "key").collect()]
 
     candidates = np.sort(np.array(surest(_counted(train)), np.int64).astype(np.uint64))
     return surest(_families(train, candidates)) if len(candidates) else []
