@@ -20,7 +20,9 @@ SPREAD = [
     "parse_responses", "knn_topk_by_blocks", "similarity_pairs", "noise_log", "noise_table", "noise_sweep_counts",
     "library_nearest", "library_stats", "library_versions", "csv_roundtrip", "read_nested_archives", "irregular_rows",
     "incremental_harmonise", "read_quoted_breaks", "ingest_typed", "ingest_two_layouts", "knn_near_ties", "map_properties",
-    "similarity_pairs_hashed", "library_update_repeated", "outliers", "text_facts", "issues_rendered",
+    "similarity_pairs_hashed", "library_update_repeated", "outliers", "text_facts", "issues_rendered", "knn_join_bounded", "profile_merged",
+    "noise_exact", "unmatched_columns", "name_mentions_blanks", "fix_udtf", "incremental_irregular", "incremental_issue_state",
+    "read_quoted_breaks_split", "read_json_array_split", "lenient_dates_by_column", "library_bundle_errors", "run_with_recipes",
 ]
 NAMES = list(QUERIES) if os.environ.get("CHECK_ALL") else SPREAD
 
