@@ -27,8 +27,8 @@ from tablewright.session import scratch_path
 BUCKETS = 256
 DIMENSIONS = 4
 BITS = 8
-#: bytes of words, parts and their ids that a Python worker keeps, with what Python needs for an entry
-CACHE_BYTES = 160 << 20
+#: bytes of words and their ids that a Python worker keeps, with what Python needs for an entry
+CACHE_BYTES = 200 << 20
 ENTRY_BYTES = 200
 #: words looked up between two looks at the bound, and the length in bytes beyond which none is kept
 CACHE_STEP = 10_000
@@ -83,7 +83,7 @@ class WordIds(dict):
 
     A new word of Latin-1 characters is split by the tokenizer's pattern here, and only its new parts go
     to the tokenizer's model, as a whole call costs several times as much; every other word is encoded whole.
-    Words and parts are kept up to ``cache_bytes``: once half of it is full, what is kept becomes the older half
+    Words, and parts as the words they would be, are kept up to ``cache_bytes``: once half of it is full, what is kept becomes the older half
     and the one before is dropped, so frequent words stay. A long word is never kept.
     """
 
@@ -103,39 +103,36 @@ class WordIds(dict):
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, specials)) or r"(?!)").search
-        self.parts: dict[str, bytes] = {}
-        self.older: tuple[dict, dict] = {}, {}
+        self.older: dict[bytes, bytes] = {}
         self.cache_bytes, self.held = cache_bytes, 0
         shown = ByteLevel(add_prefix_space=False, use_regex=False)
         # how the model writes the bytes of the Latin-1 characters
         self.written = {c: "".join(x for x, _ in shown.pre_tokenize_str(chr(c))) for c in range(256)}
 
-    def _keep(self, known: dict, key, ids: bytes) -> None:
-        if len(key) <= LONG_WORD:
-            known[key] = ids
-            self.held += len(key) + len(ids) + ENTRY_BYTES
-
     def __missing__(self, raw: bytes) -> bytes:
-        ids = self.older[0].get(raw)
+        ids = self.older.get(raw)
         if ids is None:
-            word = raw.decode()
-            if raw.isalpha():  # ASCII letters are one part
-                ids = self._part(word.lower())
-            elif self.LATIN.fullmatch(word) and not self.special(word):
-                ids = b"".join(map(self._part, self.PARTS.findall(word.lower())))
-            else:
-                ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
-        self._keep(self, raw, ids)
+            ids = self._encoded(raw)
+        if len(raw) <= LONG_WORD:
+            self[raw] = ids
+            self.held += len(raw) + len(ids) + ENTRY_BYTES
         return ids
 
-    def _part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
-        if ids is None:
-            ids = self.older[1].get(part)
-            if ids is None:
-                ids = np.array([t.id for t in self.model.tokenize(part.translate(self.written))], self.dtype).tobytes()
-            self._keep(self.parts, part, ids)
-        return ids
+    def _encoded(self, raw: bytes) -> bytes:
+        if raw.isalpha():  # ASCII letters are one part
+            low = raw.lower()
+            return self._tokenised(raw.decode()) if low == raw else self[low]
+        word = raw.decode()
+        if not self.LATIN.fullmatch(word) or self.special(word):
+            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
+        parts = self.PARTS.findall(word.lower())
+        if len(parts) == 1 and parts[0] == word:
+            return self._tokenised(word)
+        # a part is looked up like the word that it would be
+        return b"".join([self[p.encode()] for p in parts])
+
+    def _tokenised(self, part: str) -> bytes:
+        return np.array([t.id for t in self.model.tokenize(part.translate(self.written))], self.dtype).tobytes()
 
     def of(self, data: np.ndarray, bounds: np.ndarray, end: int) -> list[bytes]:
         """Ids of the texts of a slice. ``bytes.split`` cuts at the six ASCII spaces and nothing else."""
@@ -147,8 +144,7 @@ class WordIds(dict):
             ids = []
             for k in range(0, len(words), CACHE_STEP):
                 if self.held > self.cache_bytes // 2:
-                    self.older = dict(self), self.parts
-                    self.parts, self.held = {}, 0
+                    self.older, self.held = dict(self), 0
                     self.clear()
                 ids.append(b"".join(map(self.__getitem__, words[k:k + CACHE_STEP])))
             out.append(b"".join(ids) + last)

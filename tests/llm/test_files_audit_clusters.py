@@ -105,7 +105,7 @@ def test_word_cache_keeps_its_bound():
     for _ in range(50):
         text = "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(3_000)).encode()
         known.of(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 1)
-    assert not known and not known.parts and not known.held
+    assert not known and not known.older and not known.held
     for _ in range(5):
         text = " ".join(f"w{rng.randrange(10 ** 9)}" for _ in range(20_000)).encode()
         ids = known.of(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 1)
