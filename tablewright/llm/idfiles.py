@@ -38,6 +38,8 @@ HEADER_BYTES = struct.calcsize(HEADER)
 BLOCK_IDS = 4096
 #: a file ends after the document with which it reaches so many bytes of packed ids
 FILE_BYTES = 16 << 20
+#: words kept by a Python worker, less than in packing, as the texts are sorted beside it
+CACHE_BYTES = 112 << 20
 
 
 def bits_for(vocabulary: int) -> int:
@@ -137,7 +139,7 @@ class IdFile:
 
 def _images(tokenizer: str, end: int, block: int, file_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = word_ids(tokenizer)
+        known = word_ids(tokenizer, CACHE_BYTES)
         width = bits_for(max(known.tokenizer.get_vocab_size(), end + 1))
         part, ordinal = TaskContext.get().partitionId(), 0
         docs: list[pa.Array] = []

@@ -152,9 +152,9 @@ class WordIds(dict):
 
 
 @cache
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, cache_bytes: int = CACHE_BYTES) -> WordIds:
     """The tokenizer of a Python worker, kept with its words from task to task."""
-    return WordIds(path)
+    return WordIds(path, cache_bytes)
 
 
 def tokenised(docs: DataFrame, tokenizer: str, end: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
